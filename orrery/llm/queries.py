@@ -7,13 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
-from ._common import read
+from . import quality, sharding, url_filter, warc
+from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    where = shared_path(spark, "warc")
+    index = warc.CaptureIndex.build(warc.write_archives(pages, where), where)
+    found = index.locate(pages.select(warc.sort_key(F.col("url"), F.col("page_id")).alias("k")))
+    out = cut(
+        warc.fetch(found, where, payload=False).select(
+            F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+        )
+    )
+    store, top = warc.open_folder(where)
+    store.delete_dir(top)  # the digest is kept, the archives were written for it alone
+    return out
+
+
+#: Host, path, verdict.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+#: Sites whose pages are blocked where no rule says otherwise.
+LISTED = [
+    ("ads-track.example.org", "/"),
+    ("adult-x.example.net", "/"),
+    ("casino-win.example.org", "/"),
+    ("cheap-pills.example.com", "/"),
+    ("free-bets.example.com", "/"),
+    ("spam-farm.example.org", "/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"select * from values {', '.join(map(str, RULES))} as t(host, path, verdict)")
+    listed = spark.sql(f"select * from values {', '.join(map(str, LISTED))} as t(host, path)")
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), rules, listed)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     failed = (F.col("n_words") < quality.MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -34,6 +74,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc": op3_warc,
+    "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
 }
@@ -41,7 +83,37 @@ QUERIES: dict[str, Query] = {
 #: Words of a text in DuckDB: the runs that are not ASCII blanks.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LIST = ", ".join([*(f"('{h}', '{p}', '{v}')" for h, p, v in RULES), *(f"('{h}', '{p}', null)" for h, p in LISTED)])
+
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+with p as (
+    select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as payload_digest,
+        cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes from pages
+), g as (
+    select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as keeper from p
+)
+select page_id, payload_bytes, payload_digest,
+    case when keeper is not null and page_id is distinct from keeper then 'revisit' else 'response' end as record_type,
+    case when page_id is distinct from keeper then keeper end as refers_to
+from g
+""",
+    "op6_url_filter": f"""
+with list(lhost, lpath, verdict) as (values {_LIST}),
+u as (select row_number() over () as r, page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (
+    select r, page_id, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from u
+), fits as (
+    select r, lhost || lpath as key, verdict from p join list
+    on (host = lhost or ends_with(host, '.' || lhost)) and starts_with(path, lpath)
+), best as (
+    select r, max_by(key, len(key)) filter (verdict is not null) as rule,
+        max_by(verdict, len(key)) filter (verdict is not null) as verdict from fits group by r
+)
+select page_id, host, path, rule, coalesce(best.verdict, case when best.r is not null then 'block' end, 'allow') as verdict
+from p left join best using (r)
+""",
     "op8_quality_rules": rf"""
 with d as (
     select row_number() over () as r, doc_id, coalesce(text, '') as t, {_WORDS} as w from documents
