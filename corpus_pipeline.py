@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import quality, sharding
+from orrery.llm import quality, sharding, simhash
 
 SHARDS = 24
 #: SQL cannot express the SimHash and mixing stages; tests hold run() against a brute-force version.
@@ -19,12 +19,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_one(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard."""
     return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
-STAGES = [("quality_rules", quality_rules), ("sharding", shard)]
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
