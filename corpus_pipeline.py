@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import quality, sharding, simhash
+from orrery.llm import decontaminate, quality, sharding, simhash
 
 SHARDS = 24
 #: SQL cannot express the SimHash and mixing stages; tests hold run() against a brute-force version.
@@ -24,12 +24,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard."""
     return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("sharding", shard)]
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

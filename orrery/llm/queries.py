@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash, url_filter, warc
+from . import decontaminate, quality, sharding, simhash, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,12 +77,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: Words of a text in DuckDB: the runs that are not ASCII blanks.
