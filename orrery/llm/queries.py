@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding, simhash, url_filter, warc
+from . import decontaminate, quality, secret_scan, sharding, simhash, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def spans_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    kind = lambda k: F.filter("findings", lambda x: x["kind"] == k)
+    joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select(
+        key,
+        *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(F.filter("findings", lambda x: x["kind"] != "model")), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_digest(secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 #: Host, path, verdict.
 RULES = [
     ("org", "/", "allow"),
@@ -84,6 +99,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
+    "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
