@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontaminate, quality, sharding, simhash
+from orrery.llm import decontaminate, mixing, quality, sharding, simhash
 
 SHARDS = 24
 #: SQL cannot express the SimHash and mixing stages; tests hold run() against a brute-force version.
@@ -29,12 +29,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mix(docs).rows_of(docs).select(*docs.columns)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard."""
     return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("sharding", shard)]
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
