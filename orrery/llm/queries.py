@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secret_scan, sharding, simhash, url_filter, warc
+from . import decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, model: str = token_counts.MODEL) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.Vocabulary.load(model))
+
+
 def spans_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     kind = lambda k: F.filter("findings", lambda x: x["kind"] == k)
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -77,6 +81,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), rules, listed)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all evidence; documents by text, source (as host) and declared language. Either id is null in the
+    other's rows. The models learn from documents' declared languages."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")).unionByName(
+        pages.select(
+            none.alias("doc_id"), "page_id", F.col("html").alias("text"), language_id.declared_in(F.col("html")).alias("declared"), language_id.host_of(F.col("url")).alias("host")
+        )
+    )
+    return language_id.identify(rows, language_id.fit(docs), ["doc_id", "page_id"])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     failed = (F.col("n_words") < quality.MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -104,8 +121,10 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
+    "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
