@@ -33,6 +33,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     store, top = warc.open_folder(where)
+    store.create_dir(top)  # an empty table has written nothing
     store.delete_dir(top)  # the digest is kept, the archives were written for it alone
     return out
 
