@@ -8,15 +8,22 @@ of its own distance. A shard too large for one task is split into parts, and eac
 of its own. A task returns a spanning forest of the links it finds, never all pairs; the components of all forests
 are those of all links.
 
-Defined results: a null or empty text, or one of blanks, has fingerprint 0 and links as any other; a text shorter than
-a shingle is one shingle; equal rows share a component; a component's id is its smallest id, nulls aside (null if it
-has no other); an empty table gives an empty result. Other columns are not read by ``near_duplicates`` and pass
-through ``keep_one``.
+``keep_one`` links texts of a similarity (Jaccard, on word shingles) of ``SIMILAR`` and more. Fingerprints of such
+texts differ in up to ``WIDE`` bits, too many for blocks of bits to shard by. There, texts meet in a shard if a band of
+minima of their shingles' hashes is equal, the shard's BK-tree finds those within ``WIDE`` bits, and a link stands if
+enough of ``MINIMA`` minima are equal: the wanted share less ``SLACK``, one standard error at a similarity of 0.8, so
+that texts at the limit are rather taken than missed. A pair at 0.8 shares a band with a probability of 0.998.
+
+Defined results: a null or empty text, or one of blanks, has fingerprint 0 and links as any other (``keep_one``: all
+such texts are one group); a text shorter than a shingle is one shingle; equal rows share a component; a component's id
+is its smallest id, nulls aside (null if it has no other); an empty table gives an empty result. Other columns are not
+read by ``near_duplicates`` and pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import cut, free_name, small_batches
 from .components import components
@@ -36,25 +44,36 @@ SEED = 42
 PART = 4096
 #: Members that a tree's node compares one by one.
 LEAF = 64
+#: Of keep_one: words of a shingle, similarity, radius; minima of a text's shingles, and bands of so many of them.
+WORDS, SIMILAR, WIDE = 5, 0.8, 18
+MINIMA, BANDS, ROWS, SLACK = 256, 12, 4, 0.025
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' hashes; a shingle counts as often as it occurs."""
+def hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the text's shingles, in order; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() and split() know ASCII alone
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(starts)
+    digest, stops = xxhash.xxh64_intdigest, (ends[width - 1 :] - 1).tolist()
+    return np.array([digest(whole[s:e], SEED) for s, e in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; a long text's are counted in pieces."""
     counts = np.zeros(64, np.int64)
-    stops = (ends[width - 1 :] - 1).tolist()
-    for i in range(0, n, 1 << 16):  # a long text's hashes are counted in pieces
-        h = np.array([digest(whole[s:e], SEED) for s, e in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The SimHash of the text; a shingle counts as often as it occurs."""
+    return majority(hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, also: Sequence[str] = ()) -> DataFrame:
@@ -137,49 +156,129 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """a, b: forests of the links between the distinct fingerprints ``fp`` of ``fps``."""
-    fps = cut(fps.select("fp").distinct())
-    masks = choices(fps.count(), radius)
-    shards = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)])
-    members = fps.select("fp", F.inline(shards).alias("c", "v"))
-    sizes = members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = members.join(sizes, ["c", "v"])
-    # Part p of m meets part q in task (p, q), p <= q, and so each pair of parts meets once.
+def deal(members: DataFrame, node: str, part: int) -> DataFrame:
+    """Members (c, v, n, the node and others) by task: part p of a shard meets part q in task (p, q), p <= q, and so each
+    pair of parts meets once."""
     m = F.ceil(F.col("n") / part).cast("int")
-    p = F.pmod(F.xxhash64("fp", "c"), m).cast("int")
+    p = F.pmod(F.xxhash64(node, "c"), m).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
-    dealt = own.select("c", "v", "fp", m.alias("m"), p.alias("p")).select("c", "v", "fp", "p", F.inline(pairs).alias("i", "j"))
+    rest = [c for c in members.columns if c != "n"]
+    return members.select(*rest, m.alias("m"), p.alias("p")).select(*rest, "p", F.inline(pairs).alias("i", "j"))
+
 
-    def whole(key: np.ndarray, fp: np.ndarray, mine: np.ndarray) -> list[tuple[np.uint64, np.uint64]]:
-        _, _, i, j = key
-        return forest(np.sort(fp[mine == i]), np.sort(fp if i == j else fp[mine != i]), radius)
+def in_tasks(dealt: DataFrame, find: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: what ``find`` returns for the columns of each task's rows. Rows come sorted by task; a task's rows are
+    searched when they are whole."""
+    keys, columns = ["c", "v", "i", "j"], dealt.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by task key; a group is searched when it is whole."""
-        keys, fps_, parts = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: dict[str, np.ndarray] = {}
 
-        def found(keys: np.ndarray, fps_: np.ndarray, parts: np.ndarray, ends: list[int]) -> pd.DataFrame:
+        def found(ends: list[int]) -> pd.DataFrame:
             out, s = [], 0
             for e in ends:
-                out += whole(keys[s], fps_[s:e], parts[s:e])
+                out += find({c: x[s:e] for c, x in held.items()})
                 s = e
-            ab = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            ab = np.array(out, np.int64).reshape(-1, 2)
             return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
         for x in batches:
-            keys = np.concatenate([keys, x[["c", "v", "i", "j"]].to_numpy(np.int64)])
-            fps_ = np.concatenate([fps_, x["fp"].to_numpy(np.int64).view(np.uint64)])
-            parts = np.concatenate([parts, x["p"].to_numpy(np.int64)])
-            ends = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            held = {c: np.concatenate([held[c], x[c].to_numpy()]) if held else x[c].to_numpy() for c in columns}
+            ends = (np.flatnonzero(np.any([held[c][1:] != held[c][:-1] for c in keys], axis=0)) + 1).tolist()
             if ends:
-                yield found(keys, fps_, parts, ends)
-                keys, fps_, parts = keys[ends[-1] :], fps_[ends[-1] :], parts[ends[-1] :]
-        if len(keys):
-            yield found(keys, fps_, parts, [len(keys)])
+                yield found(ends)
+                held = {c: x[ends[-1] :] for c, x in held.items()}
+        if held and len(held["c"]):
+            yield found([len(held["c"])])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """a, b: forests of the links between the distinct fingerprints ``fp`` of ``fps``."""
+    fps = cut(fps.select("fp").distinct())
+    masks = choices(fps.count(), radius)
+    shards = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)])
+    members = fps.select("fp", F.inline(shards).alias("c", "v"))
+    sizes = members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def find(x: dict[str, np.ndarray]) -> list[tuple[np.uint64, np.uint64]]:
+        fp, i, j, mine = x["fp"].view(np.uint64), x["i"][0], x["j"][0], x["p"]
+        return [(a.view(np.int64), b.view(np.int64)) for a, b in forest(np.sort(fp[mine == i]), np.sort(fp if i == j else fp[mine != i]), radius)]
+
+    return in_tasks(deal(members.join(sizes, ["c", "v"]), "fp", part), find).where("a <> b").distinct()
+
+
+@cache
+def factors() -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.random.default_rng(SEED).integers(0, 1 << 63, (2, MINIMA), dtype=np.uint64)
+    return a * np.uint64(2) + np.uint64(1), b
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """Smallest values (uint32) of the distinct hashes under ``MINIMA`` fixed multiply-shift functions."""
+    (a, b), out = factors(), np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), 512):
+        out = np.minimum(out, ((h[i : i + 512, None] * a + b) >> np.uint64(32)).astype(np.uint32).min(0))
+    return out
+
+
+def sketches(docs: DataFrame, also: Sequence[str], text: str, width: int = WORDS) -> DataFrame:
+    """The columns ``also``, and of every text: sid (a hash of its set of shingles), fp, bands (array of long), sig
+    (the minima's low 16 bits, binary)."""
 
-    grouped = dealt.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
-    return grouped.mapInPandas(run, "a long, b long").where("a <> b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sid, fp, bands, sig = [], [], [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                h = hashes(t, width)
+                u = np.unique(h)
+                m = minima(u)
+                fp.append(signed(majority(h)))
+                sid.append(signed(xxhash.xxh64_intdigest(u.tobytes(), SEED)))
+                bands.append([signed(xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)])
+                sig.append(m.astype(np.uint16).tobytes())
+            new = [pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "sid", "fp", "bands", "sig"])
+
+    small_batches(docs.sparkSession)
+    schema = docs.select(*also).schema.add("sid", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
+    return docs.select(*also, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def similar_forest(fp: np.ndarray, sig: np.ndarray, tree: np.ndarray, asked: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links (positions) between members of ``tree`` and ``asked`` (masks), within the radius and with ``least``
+    (less ``SLACK``) of the minima equal, that connect all that such links connect."""
+    label, out, left = np.arange(len(fp)), [], len(fp)
+    of_tree, of_asked = np.flatnonzero(tree), np.flatnonzero(asked)
+    for near, m in BKTree(np.unique(fp[tree])).search(np.unique(fp[asked]), radius):
+        close = of_asked[np.isin(fp[of_asked], near)]
+        for x in of_tree[fp[of_tree] == m]:
+            other = close[label[close] != label[x]]
+            other = other[(sig[other] == sig[x]).mean(axis=1) >= least - SLACK] if len(other) else other
+            if len(other):
+                found, first = np.unique(label[other], return_index=True)
+                out += [(y, x) for y in other[first]]
+                label[np.isin(label, found)] = label[x]
+                left -= len(found)
+                if left == 1:
+                    return out
+    return out
+
+
+def similar_links(texts: DataFrame, least: float = SIMILAR, radius: int = WIDE, part: int = PART) -> DataFrame:
+    """a, b: forests of the links between the distinct ``sid`` of ``texts`` (sid, fp, bands, sig)."""
+    members = texts.select("sid", F.posexplode("bands").alias("c", "v"))
+    sizes = members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = members.join(sizes, ["c", "v"]).join(texts.select("sid", "fp", "sig"), "sid")
+
+    def find(x: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x["sig"]), -1)
+        i, j, mine = x["i"][0], x["j"][0], x["p"]
+        every = similar_forest(x["fp"].view(np.uint64), sig, mine == i, (mine == i) if i == j else (mine != i), radius, least)
+        return [(x["sid"][a], x["sid"][b]) for a, b in every]
+
+    return in_tasks(deal(own, "sid", part), find).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -194,14 +293,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return rows.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_linked")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows that stay: of each component one row with its smallest key (a null key only where there is no other;
-    of several texts with that key, the one whose hash is smallest), all columns as they were."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, least: float = SIMILAR, radius: int = WIDE) -> DataFrame:
+    """The rows that stay: of each group of texts that links of a similarity of ``least`` and more connect, one row with
+    the smallest key (a null key only where there is no other; of several texts with that key, the one whose hash is
+    smallest), all columns as they were."""
     k, h = F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
-    rows = cut(fingerprints(docs.select(k.alias("k"), h.alias("h"), F.col(f"`{text}`").alias("t")), "k", "t", width, ["h"]))
-    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least"))
-    joined = components(links(each, radius))
-    roots = each.join(joined, each["fp"] == joined["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    rows = cut(sketches(docs.select(k.alias("k"), h.alias("h"), F.col(f"`{text}`").alias("t")), ["k", "h"], "t", width))
+    texts = cut(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    each = rows.groupBy("sid").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least"))
+    joined = components(similar_links(texts, least, radius))
+    roots = each.join(joined, each["sid"] == joined["node"], "left").select(F.coalesce("root", "sid").alias("root"), "least")
     stay = cut(roots.groupBy("root").agg(F.min("least").alias("least")).select("least.k", "least.h"))
     twice = cut(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(stay, ["h"]).where(rows["k"].eqNullSafe(stay["k"])).select(rows["k"], "h").distinct())
     own_k, own_h = free_name(docs, "_k"), free_name(docs, "_h")

@@ -8,7 +8,7 @@ from orrery.llm import quality, simhash
 
 from .test_mixing import expected, words
 from .test_sharding import bids, winner
-from .test_simhash import by_bit, grouped
+from .test_simhash import alike
 
 rng = random.Random(21)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(600)]
@@ -39,8 +39,7 @@ def corpus():
 
 def survivors(rows):
     rows = [r for r in rows if r[1] and not any(rule.rejects(quality.Doc(r[1])) for rule in quality.RULES)]
-    fps = [by_bit(r[1]) for r in rows]
-    group = grouped(list(range(len(rows))), fps)
+    group = alike([r[1] for r in rows])
     best = {}
     for i, g in enumerate(group):
         if g not in best or (rows[i][0] is None, rows[i][0] or 0) < (rows[best[g]][0] is None, rows[best[g]][0] or 0):
