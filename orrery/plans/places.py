@@ -92,16 +92,16 @@ def pip_join(spark, d):
     return spatial.points_in_rings(ev(spark, d), rings, "event_id")
 
 
-_SEGMENTS = values([(n, *map(float, (*a, *b))) for n, line in dims.AXES for a, b in zip(line, line[1:], strict=False)])
+_SEGMENTS = values([(i, n, *map(float, (*a, *b))) for i, (n, line) in enumerate(dims.AXES) for a, b in zip(line, line[1:], strict=False)])
 
 
 @query(
     sql(
-        f"""seg(name, x1, y1, x2, y2) as (values {_SEGMENTS}),
-p as (select event_id, name, (x1 - lon) * 111.32e0 * cos(radians(lat)) as ax, (y1 - lat) * 110.57e0 as ay, (x2 - x1) * 111.32e0 * cos(radians(lat)) as dx, (y2 - y1) * 110.57e0 as dy from ev, seg),
+        f"""seg(i, name, x1, y1, x2, y2) as (values {_SEGMENTS}),
+p as (select event_id, i, name, (x1 - lon) * 111.32e0 * cos(radians(lat)) as ax, (y1 - lat) * 110.57e0 as ay, (x2 - x1) * 111.32e0 * cos(radians(lat)) as dx, (y2 - y1) * 110.57e0 as dy from ev, seg),
 t as (select *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) as t from p),
-k as (select event_id, name, sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) as km from t)
-select event_id, arg_min(name, km) as axis, round(min(km), 6) as km from k group by 1"""
+k as (select event_id, i, name, sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) as km from t)
+select event_id, arg_min(name, (round(km, 9), i)) as axis, round(min(km), 6) as km from k group by 1"""
     )
 )
 def axis_distance(spark, d):
