@@ -101,11 +101,11 @@ _SEGMENTS = values([(i, n, *map(float, (*a, *b))) for i, (n, line) in enumerate(
 p as (select event_id, i, name, (x1 - lon) * 111.32e0 * cos(radians(lat)) as ax, (y1 - lat) * 110.57e0 as ay, (x2 - x1) * 111.32e0 * cos(radians(lat)) as dx, (y2 - y1) * 110.57e0 as dy from ev, seg),
 t as (select *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) as t from p),
 k as (select event_id, i, name, sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) as km from t)
-select event_id, arg_min(name, (round(km, 9), i)) as axis, round(min(km), 6) as km from k group by 1"""
+select event_id, name as axis, round(km, 4) as km from k qualify row_number() over (partition by event_id order by round(km, 9), i) = 1"""
     )
 )
 def axis_distance(spark, d):
-    return ev(spark, d).select("event_id", spatial.nearest_axis().alias("n")).select("event_id", F.col("n.name").alias("axis"), F.round("n.km", 6).alias("km"))
+    return ev(spark, d).select("event_id", spatial.nearest_axis().alias("n")).select("event_id", F.col("n.name").alias("axis"), F.round("n.km", 4).alias("km"))
 
 
 _RURAL = "case prov " + " ".join(f"when '{k}' then {v}e0" for k, v in dims.RURAL_DENSITY.items()) + f" else {dims.RURAL_DEFAULT}e0 end"

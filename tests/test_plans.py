@@ -2,13 +2,13 @@
 
 import pytest
 
-from orrery.plans import places, views
+from __spark_entry__ import PLANS
 
 from .oracle import connect, differences
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = {}, {}
-for plans in (views, places):
+for plans in PLANS:
     QUERIES |= plans.QUERIES
     ORACLES |= plans.ORACLES
 
