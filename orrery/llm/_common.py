@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir
+
+__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "n_words", "read", "shared_dir", "shared_path", "small_batches"]
 #: A word is a maximal run of characters other than ASCII blanks (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python worker at once: with long texts a larger batch could outgrow a worker.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = Path(tempfile.mkdtemp(prefix="orrery-")).as_uri()
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that lost executors lose nothing and nothing is computed twice."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

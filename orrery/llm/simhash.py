@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from ._common import cut, free_name, small_batches
-from .components import components
 
 SHINGLE = 4
 RADIUS = 4

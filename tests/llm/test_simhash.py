@@ -6,7 +6,6 @@ import pytest
 import xxhash
 
 from orrery.llm import simhash
-from orrery.llm.components import components
 
 KIND = "doc_id long, text string"
 
@@ -169,15 +168,3 @@ def test_choices_lose_nothing(n):
         for b in rng.sample(range(64), 4):
             y ^= 1 << b
         assert any(x & m == y & m for m in masks)
-
-
-def test_components(spark):
-    rng = random.Random(5)
-    links = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    up = {}
-    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
-    for a, b in links:
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    assert got == {x: find(x) for x in up if find(x) != x}
