@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.geo import haversine_km
 from ..functions.stats import excess_llr
+from .numbering import numbered
 
 # Learning rates, samples before detection, threshold, share learnt from anomalies; cylinders of the scan.
 LEVEL, SCALE, LEAST, THRESHOLD, DAMPED = 0.06, 0.03, 6, 3.5, 0.15
@@ -110,3 +111,64 @@ def scan(found: DataFrame, replicas: int = 99, seed: int = 7, most: int = 5) ->
     ranked = best.select("centre", (-F.col("m.r")).alias("radius_km"), (-F.col("m.h")).alias("hours"), "m.observed", "m.expected", "m.llr")
     p = (F.size(F.filter("tops", lambda t: t >= F.col("llr"))) + 1) / F.lit(replicas + 1.0)
     return ranked.crossJoin(F.broadcast(tops)).withColumn("p_value", p).drop("tops").orderBy(F.col("llr").desc(), "centre").limit(most)  # one row each
+
+
+def half_spaces(dims_n: int, trees: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and split of every node, [tree, node] in heap order: splits lie in the middle half of a node's range."""
+    rng, nodes = np.random.default_rng(seed), 2 ** (depth + 1) - 1
+    dim, share = rng.integers(dims_n, size=(trees, nodes)), 0.25 + 0.5 * rng.random((trees, nodes))
+    low, high = np.zeros((trees, nodes, dims_n)), np.ones((trees, nodes, dims_n))
+    split, every = np.empty((trees, nodes)), np.arange(trees)
+    for n in range(nodes):
+        d = dim[:, n]
+        split[:, n] = low[every, n, d] + (high[every, n, d] - low[every, n, d]) * share[:, n]
+        if 2 * n + 2 < nodes:
+            for child, edge in ((2 * n + 1, high), (2 * n + 2, low)):
+                low[:, child], high[:, child] = low[:, n], high[:, n]
+                edge[every, child, d] = split[:, n]
+    return dim, split
+
+
+def paths(x: np.ndarray, dim: np.ndarray, split: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes that each row passes in each tree, [row, tree, level]."""
+    every = np.arange(len(dim))
+    at = np.zeros((len(x), len(dim)), int)
+    out = [at]
+    for _ in range(depth):
+        at = 2 * at + 1 + (x[np.arange(len(x))[:, None], dim[every, at]] >= split[every, at])
+        out.append(at)
+    return np.stack(out, axis=2)
+
+
+def half_space_scores(rows: DataFrame, key: str, order: str, features: list[str], trees: int = 25, depth: int = 8, window: int = 250, seed: int = 7) -> DataFrame:
+    """key, order, score of half-space trees: 1 where the window before had no mass along a row's paths, less where it
+    had much. Features lie in [0, 1]; a null counts as 0. Each key's rows, in order (ties: by their features), are cut in
+    windows of so many rows; a window is scored against the one before it, and the first has null scores. The rows of a
+    key are numbered by a range sort, so no task needs a whole key; a task holds two windows at a time."""
+    dim, split = half_spaces(len(features), trees, depth, seed)
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)]
+    plain = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), *cols)
+    names = [f"f{i}" for i in range(len(features))]
+    placed = numbered(plain, ["k"], ["o", *names]).withColumn("w", F.floor((F.col("n") - 1) / window)).drop("n")
+    both = placed.withColumn("at", F.explode(F.array(F.struct(F.col("w"), F.lit(True).alias("asked")), F.struct((F.col("w") + 1).alias("w"), F.lit(False).alias("asked")))))
+    both = both.select("k", "o", *names, "at.w", "at.asked")
+    most = window * (2 ** (depth + 1) - 1)
+
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        asked = g[g["asked"]]
+        known = paths(g.loc[~g["asked"], names].to_numpy(float), dim, split, depth)
+        out = asked[["k", "o"]].copy()
+        out["score"] = np.nan
+        if len(known) and len(asked):
+            mass = np.zeros(dim.shape)
+            for t in range(trees):
+                mass[t] = np.bincount(known[:, t].ravel(), minlength=dim.shape[1])
+            weight = 2.0 ** np.arange(depth + 1)
+            passed = paths(asked[names].to_numpy(float), dim, split, depth)
+            total = (mass[np.arange(trees)[None, :, None], passed] * weight).sum(axis=(1, 2))
+            out["score"] = np.clip(1 - total / (trees * most), 0, 1)
+        return out
+
+    kinds = dict(plain.dtypes)
+    scored = both.groupBy("k", "w").applyInPandas(score, f"k {kinds['k']}, o {kinds['o']}, score double")
+    return scored.select(F.col("k").alias(key), F.col("o").alias(order), F.nanvl("score", F.lit(None).cast("double")).alias("score"))

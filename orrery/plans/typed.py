@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text
+from ..operators import anomaly, scanner
 from ..operators import classify as rules
-from .adapter import ev, sql, values
+from .adapter import ev, sql, table, values
 from .texts import fold
 
 QUERIES: dict = {}
@@ -73,3 +74,21 @@ def event_classes(spark, d):
     return x.select("event_id", c.alias("c")).select(
         "event_id", F.col("c.type").alias("kind"), F.round("c.score", 6).alias("score"), F.array_join(kinds, ",").alias("alts"), F.array_join("c.evidence", ",").alias("evidence")
     )
+
+
+@query()
+def name_matches(spark, d):
+    """The openings of benchmark items, of one to three words, in the texts of conversations."""
+    items = table(spark, d, "benchmark").select("item_id", text.tokens(text.fold_key(F.coalesce("text", F.lit("")))).alias("w"))
+    keys = items.select(F.col("item_id").alias("ord"), "w", F.explode(F.array(F.lit(3), F.lit(2), F.lit(1))).alias("n")).where(F.size("w") >= F.col("n"))
+    keys = keys.select("ord", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("key"))
+    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), text.tokens(text.fold_key(F.coalesce("text", F.lit("")))).alias("w"))
+    found = scanner.longest_matches(turns.groupBy("id").agg(F.max("w").alias("w")), keys, "id", "w")
+    return found.select("id.conv_id", "id.turn", "start", "end", F.col("ord").alias("item_id"), F.round("score", 6).alias("score"), "phrase")
+
+
+@query()
+def half_space_scores(spark, d):
+    """How unlike the window before an event's value and time of day are, for each type of event."""
+    x = table(spark, d, "events").select("event_type", "event_id", F.least(F.col("value") / 200, F.lit(1.0)).alias("height"), (F.hour("ts") / 24).alias("time"))
+    return anomaly.half_space_scores(x, "event_type", "event_id", ["height", "time"]).withColumn("score", F.round("score", 9))

@@ -1,9 +1,15 @@
-"""The classifier's rules on texts whose type is known by hand."""
+"""The classifier, the scanner of names and half-space trees: by hand, and against plain loops."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.functions.text import fold_key
+from orrery.operators.anomaly import half_space_scores, half_spaces
 from orrery.operators.classify import classify
+from orrery.operators.numbering import numbered
+from orrery.operators.scanner import edits, longest_matches
 
 
 def kinds(spark, *rows):
@@ -28,3 +34,79 @@ def test_types(spark):
     assert [c.type for c in got] == ["looting", "unknown", "looting", "unknown", "unknown", "armed_clash", "armed_clash", "massacre"]
     assert got[0].evidence == ["pillage"] and got[0].score == 1.0 and got[3].score == 0.0 and got[3].evidence == []
     assert [a.type for a in got[6].alts] == ["massacre", "troop_movement"]
+
+
+def test_edits():
+    assert [edits(*x) for x in (("amaro", "amaro", 1), ("amaro", "maaro", 1), ("amaro", "amar", 1), ("amaro", "esker", 2), ("ca", "abc", 3), ("", "ab", 2))] == [0, 1, 1, 3, 3, 2]
+
+
+def plain_scan(words, entities):
+    """Spans from the longest, left to right, taking words that are free."""
+    taken, out = set(), []
+    owner = {}
+    for i, names in enumerate(entities):
+        for n in names:
+            owner.setdefault(n, i)
+    for span in range(min(4, len(words)), 0, -1):
+        for i in range(len(words) - span + 1):
+            where, phrase = set(range(i, i + span)), " ".join(words[i : i + span])
+            if where & taken:
+                continue
+            if phrase in owner:
+                out.append((i, i + span, owner[phrase], 1.0, phrase))
+                taken |= where
+            elif span == 1 and len(phrase) >= 5:
+                most, best = (1 if len(phrase) <= 8 else 2), None
+                for e, names in enumerate(entities):
+                    if any(n[:1] == phrase[0] for n in names):
+                        for n in names:
+                            if " " not in n and edits(phrase, n, most) <= most and (best is None or edits(phrase, n, most) < best[0]):
+                                best = (edits(phrase, n, most), e)
+                if best:
+                    out.append((i, i + 1, best[1], round(1 - 0.2 * best[0], 6), phrase))
+                    taken |= where
+    return sorted(out)
+
+
+def test_scanner(spark):
+    entities = [["amaro", "amaro ville"], ["ville haute", "beltane", "x"], ["haute mer nord est", "amarillo"], ["amaro", "corvo sud"], ["garrowfields"]]
+    rng, vocabulary = random.Random(3), "amaro amraro amaor ville haute mer nord est beltane beltame bletane corvo sud garowfeilds gar x amarilo".split()
+    texts = [[], None, ["x"]] + [[rng.choice(vocabulary) for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, w array<string>")
+    keys = spark.createDataFrame([(i, n, k) for i, names in enumerate(entities) for n, k in enumerate(names)] + [(9, 0, "")], "ord int, n int, key string")
+    got: dict = {}
+    for r in longest_matches(rows, keys, "id", "w").collect():
+        got.setdefault(r.id, []).append((r.start, r.end, r.ord, round(r.score, 6), r.phrase))
+    for i, words in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain_scan(words or [], entities), words
+    assert longest_matches(rows.limit(0), keys, "id", "w").count() == 0 == longest_matches(rows, keys.limit(0), "id", "w").count()
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([("a", i % 50) for i in range(400)] + [("b", 1), (None, 3), (None, 2)], "k string, o int")
+    got = [tuple(r) for r in numbered(rows, ["k"], ["o"]).collect()]
+    for k, size in (("a", 400), ("b", 1), (None, 2)):
+        mine = sorted((n, o) for kk, o, n in got if kk == k)
+        assert [n for n, _ in mine] == list(range(1, size + 1)) and [o for _, o in mine] == sorted(o for _, o in mine)
+
+
+def test_half_spaces(spark):
+    rng, window, depth, trees = np.random.default_rng(1), 20, 4, 5
+    x = [("k", i, float(rng.random() / 5), float(rng.random() / 5)) for i in range(70)] + [("k", 70, 0.95, 0.97), ("l", 0, 0.5, None)]
+    rows = spark.createDataFrame(x, "k string, o int, a double, b double")
+    got = {(r.k, r.o): r.score for r in half_space_scores(rows, "k", "o", ["a", "b"], trees, depth, window, 7).collect()}
+    dim, split = half_spaces(2, trees, depth, 7)
+    known, latest = np.zeros(dim.shape), np.zeros(dim.shape)
+    for n in range(71):
+        if n and n % window == 0:
+            known, latest = latest, np.zeros(dim.shape)
+        total = 0.0
+        for t in range(trees):
+            at = 0
+            for level in range(depth + 1):
+                total += known[t, at] * 2**level
+                latest[t, at] += 1
+                at = 2 * at + (1 if x[n][2 + dim[t, at]] < split[t, at] else 2) if level < depth else at
+        want = None if n < window else 1 - total / (trees * window * (2 ** (depth + 1) - 1))
+        assert got["k", n] is None if want is None else abs(got["k", n] - want) < 1e-9
+    assert got["l", 0] is None and got["k", 70] > max(got["k", n] for n in range(window, 70))
