@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text
-from ..operators import anomaly, scanner
+from ..operators import anomaly, reports, scanner
 from ..operators import classify as rules
-from .adapter import ev, sql, table, values
-from .texts import fold
+from .adapter import NOW, NOW_SQL, ev, sql, table, values
+from .texts import fold, unmark
+from .views import CUR, PERIOD_H, back
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,91 @@ def half_space_scores(spark, d):
     """How unlike the window before an event's value and time of day are, for each type of event."""
     x = table(spark, d, "events").select("event_type", "event_id", F.least(F.col("value") / 200, F.lit(1.0)).alias("height"), (F.hour("ts") / 24).alias("time"))
     return anomaly.half_space_scores(x, "event_type", "event_id", ["height", "time"]).withColumn("score", F.round("score", 9))
+
+
+#: A log of reviews over the events, the same text in both engines.
+_LOG = """event_id % 97 as report_id, event_id as seq, case when event_id < 97 then 'create' when (event_id * 7 + user_id) % 11 = 0 then 'version'
+    when (event_id + user_id) % 3 = 0 then 'submit' when (event_id + user_id) % 3 = 1 then 'approve' else 'return' end as action,
+    concat('u', user_id % 4) as actor, case when user_id % 5 = 0 then 'analyst' else 'operator' end as level, case when event_id % 4 <> 0 then 'unclear' else ' ' end as note"""
+
+
+@query(
+    f"""with recursive log as (select {_LOG} from events),
+l as (select *, row_number() over (partition by report_id order by seq) as n from log),
+run as (
+    select report_id, n, seq, case when action in ('create', 'version') then 1 else 0 end as version, case when action in ('create', 'version') then actor end as author,
+        case when action in ('create', 'version') then 'draft' end as state, action in ('create', 'version') as took_effect from l where n = 1
+    union all
+    select l.report_id, l.n, l.seq, r.version + case when l.action in ('create', 'version') then 1 else 0 end, case when l.action in ('create', 'version') then l.actor else r.author end,
+        case when l.action in ('create', 'version') then 'draft' when r.version = 0 then null when l.action = 'submit' and r.state = 'draft' then 'in_review'
+            when r.state = 'in_review' and l.level <> 'analyst' and l.actor <> r.author and l.action = 'approve' then 'approved'
+            when r.state = 'in_review' and l.level <> 'analyst' and l.actor <> r.author and l.action = 'return' and trim(l.note) <> '' then 'draft' else r.state end,
+        l.action in ('create', 'version') or (r.version > 0 and ((l.action = 'submit' and r.state = 'draft') or (r.state = 'in_review' and l.level <> 'analyst' and l.actor <> r.author
+            and (l.action = 'approve' or (l.action = 'return' and trim(l.note) <> '')))))
+    from run r join l on l.report_id = r.report_id and l.n = r.n + 1)
+select report_id, seq, version, state, took_effect from run"""
+)
+def review_log(spark, d):
+    """Which steps of a report's review took effect, and the state after each."""
+    return reports.review_log(table(spark, d, "events").selectExpr(*_split(_LOG))).select("report_id", "seq", "version", "state", "took_effect")
+
+
+@query()
+def review_states(spark, d):
+    return reports.review_states(table(spark, d, "events").selectExpr(*_split(_LOG)))
+
+
+def _split(columns: str) -> list[str]:
+    """The columns of a select list, cut at commas outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(columns[start:i])
+            start = i + 1
+    return [*out, columns[start:]]
+
+
+@query(
+    sql(
+        f"""c as (select count(*) filter (independent_sources <= 1) as single_family, count(*) filter (lat is null) as unlocated, count(*) filter (status = 'disputed') as disputed, count(*) as total from act where {CUR}),
+q as (select handle from act where ts >= {back(720)} group by 1 having count(*) filter ({CUR}) = 0),
+l as (select lag_min as lag, row_number() over (order by lag_min) - 1 as i, count(*) over () as n from act where {CUR} and lag_min >= 0),
+g as (select 'single_family' as gap, single_family as n, concat('of ', total) as detail from c union all select 'unlocated', unlocated, concat('of ', total) from c
+    union all select 'disputed', disputed, concat('of ', total) from c
+    union all select 'silent', (select count(*) from q), (select string_agg(handle, ', ' order by handle) from (select * from q order by handle limit 6))
+    union all select 'slow', n, printf('%.1f h', lag / 60.0e0) from l where i = n // 2 and lag / 60.0e0 > 6)
+select * from g where n > 0"""
+    )
+)
+def period_gaps(spark, d):
+    """What the picture of a period lacks."""
+    return reports.gaps(ev(spark, d), NOW, PERIOD_H, "handle")
+
+
+_ASKED = "Clash or shelling near province-3 by actor-7?"
+
+
+@query(
+    sql(
+        f"""t(t) as (values ('clash'), ('shelling'), ('near'), ('province'), ('actor')),
+h as (select event_id, ts, {unmark("concat_ws(' ', place, province, territory)")} as p, {unmark("array_to_string(actors, ' ')")} as a, {unmark("concat_ws(' ', event_type, description)")} as w from act),
+s as (select event_id, ts, sum(3 * contains(p, t)::int + 3 * contains(a, t)::int + contains(w, t)::int) as score from h, t group by 1, 2),
+n as (select count(*) as total, count(*) filter (ts >= {back(168)}) as recent, count(*) filter (ts < {back(168)} and ts >= {back(336)}) as previous from s where score > 0)
+select event_id, cast(score as int) as score, total, recent, previous from s, n where score > 0 order by score desc, ts desc, event_id limit 5"""
+    )
+)
+def related_events(spark, d):
+    """Events that bear on a question."""
+    return reports.related_events(ev(spark, d), _ASKED, NOW)
+
+
+@query()
+def evidence_brief(spark, d):
+    """What the documents that answer a question best amount to as evidence."""
+    rows = table(spark, d, "documents").selectExpr(
+        "doc_id as id", "substr(coalesce(text, ''), 1, 60) as title", "array(coalesce(source, '')) as entities", "lang as meta", "text as body", "doc_id as updated_at",
+        "case doc_id % 4 when 0 then 'verified' when 1 then 'draft' when 2 then 'disputed' else 'in_review' end as status",
+        "case doc_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence", "doc_id % 3 as sources", "doc_id % 7 = 0 as illustrative",
+    )
+    return reports.brief(rows, "Which is the Apache license version, and zzyzx?")

@@ -9,6 +9,7 @@ from orrery.functions.text import fold_key
 from orrery.operators.anomaly import half_space_scores, half_spaces
 from orrery.operators.classify import classify
 from orrery.operators.numbering import numbered
+from orrery.operators.reports import brief, review_states
 from orrery.operators.scanner import edits, longest_matches
 
 
@@ -110,3 +111,35 @@ def test_half_spaces(spark):
         want = None if n < window else 1 - total / (trees * window * (2 ** (depth + 1) - 1))
         assert got["k", n] is None if want is None else abs(got["k", n] - want) < 1e-9
     assert got["l", 0] is None and got["k", 70] > max(got["k", n] for n in range(window, 70))
+
+
+def test_brief(spark):
+    kinds = "id long, title string, entities array<string>, meta string, body string, updated_at long, status string, confidence string, sources int, illustrative boolean"
+    rows = [
+        (1, "Copper prices", ["Mine"], "en", "copper", 5, "draft", "high", 1, False),
+        (2, "Copper roads", [], None, None, 9, "disputed", "high", 2, False),
+        (3, "Copper", None, "", "copper", 1, "verified", "low", 0, False),
+        (4, "Tin", ["copper"], "", "", 2, "in_review", "low", 3, True),
+        (5, "Nothing", [], "", "", 3, "draft", "low", 1, False),
+    ]
+    x = spark.createDataFrame(rows, kinds)
+    got = brief(x, "Copper quotas?").first()
+    assert (got.found, got.usable, got.verified, got.disputed, got.unsourced, got.illustrative) == (4, 2, 1, 1, 1, 1)
+    assert got.findings == [1, 3, 2, 4] and got.unresolved == [1, 2] and got.missed == ["quotas"] and got.level == "high"
+    assert got.steps == ["add_sources", "second_source", "settle_dispute", "submit_drafts", "approve_brief"]
+    assert brief(x.where("id <> 3"), "Copper quotas?").first().level == "medium"
+    none = brief(x, "Quotas?").first()
+    assert (none.found, none.level, none.findings, none.missed, none.steps) == (0, "none", [], ["quotas"], ["open_record"])
+
+
+def test_review_states(spark):
+    log = [
+        (1, 1, "submit", "a", "operator", None), (1, 2, "create", "a", "operator", None), (1, 3, "submit", "a", "operator", None), (1, 4, "approve", "a", "operator", None),
+        (1, 5, "return", "b", "operator", " "), (1, 6, "approve", "b", "analyst", None), (1, 7, "approve", "c", "operator", None), (1, 8, "submit", "a", "operator", None),
+        (2, 1, "create", "a", None, None), (2, 2, "approve", "b", "operator", None), (2, 3, "submit", "a", None, None), (2, 4, "return", "b", "operator", "why"), (2, 5, "approve", "b", "operator", None),
+        (3, 1, "create", "a", None, None), (3, 2, "submit", None, None, None), (3, 3, "approve", "b", "operator", None), (3, 4, "version", "b", "operator", None), (3, 5, None, None, None, None),
+        (4, 1, "approve", "b", "operator", None),
+    ]
+    got = review_states(spark.createDataFrame(log, "report_id int, seq int, action string, actor string, level string, note string")).collect()
+    want = {1: (1, "approved", "a", "c"), 2: (1, "draft", "a", None), 3: (2, "draft", "b", None), 4: (0, None, None, None)}
+    assert {r.report_id: (r.versions, r.state, r.author, r.reviewer) for r in got} == want
