@@ -62,9 +62,19 @@ def query_terms(s: Column) -> Column:
 
 def trigrams(folded: Column) -> Column:
     """The set of character trigrams of the text between blanks."""
-    padded = F.concat(F.lit(" "), folded, F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(F.length(padded) >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(padded: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
+        return F.when(F.length(padded) >= 3, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # A transform over one element binds the text; inlined, it would be folded anew for each of its trigrams.
+    return F.transform(F.array(F.concat(F.lit(" "), folded, F.lit(" "))), grams)[0]
+
+
+def trigram_codes(folded: Column) -> Column:
+    """``trigrams`` of a text passed through ``fold_key``, each as a number: its letters are ASCII, of seven bits."""
+    code = lambda g, i: F.ascii(F.substring(g, i, 1))
+    return F.transform(trigrams(folded), lambda g: code(g, 1) * 16384 + code(g, 2) * 128 + code(g, 3))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.geo import haversine_km
 from ..functions.stats import casualty_similarity, place_similarity, time_similarity
-from ..functions.text import dice, fold_key, jaccard, trigrams
+from ..functions.text import dice, fold_key, jaccard, trigram_codes
 from .components import components
 
 # Cell in degrees, bucket in hours, weights of a pair's parts, thresholds, and limits of a cluster.
@@ -62,7 +62,7 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     sides = []
     for s in "ab":
         cols = ["ts", "lat", "lon", "radius_km", "time_uncertainty_min", "event_type", "actors", "fatalities", "source_key"]
-        sides.append(records.select(F.col("id").alias(s), trigrams(fold_key(F.col("description"))).alias(f"{s}_grams"), *[F.col(c).alias(f"{s}_{c}") for c in cols]))
+        sides.append(records.select(F.col("id").alias(s), trigram_codes(fold_key(F.col("description"))).alias(f"{s}_grams"), *[F.col(c).alias(f"{s}_{c}") for c in cols]))
     x = pairs.join(sides[0], "a").join(sides[1], "b")
     col = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
     gap = F.abs(F.timestamp_diff("MICROSECOND", *col("ts"))) / 6e7
