@@ -61,18 +61,24 @@ def classify(folded: Column, actors: Column, fatalities: Column, injured: Column
     scored them first: rules in order, suppressors, actors, casualties. A suppressor alone leaves its type with a score
     of nothing, which still ranks. A null or empty text has no cues; without any score the type is ``unknown``.
     """
-    folded = F.coalesce(folded, F.lit(""))
     names = F.filter(F.array_distinct(F.coalesce(actors, F.array().cast("array<string>"))), lambda a: a.isin(*[x[0] for x in dims.ACTORS]))
-    facts = F.struct(
-        F.array(*[first_cue(folded, c.split(",")) for _, _, c in RULES]).alias("cues"),
-        F.array(*[first_cue(folded, c.split(",")).isNotNull() for _, c in SUPPRESSORS]).alias("cuts"),
-        first_cue(folded, OFF_TOPIC.split(",")).isNotNull().alias("leisure"),
-        F.flatten(F.transform(names, lambda a: _lookup([(x[0], x[2]) for x in dims.ACTORS], a))).alias("habits"),
-        F.transform(names, lambda a: _lookup([(x[0], x[1]) for x in dims.ACTORS], a)).alias("sides"),
-        *[F.coalesce(c, F.lit(0)).alias(n) for n, c in (("dead", fatalities), ("hurt", injured), ("taken", abducted), ("moved", displaced))],
-    )
+    numbers = [F.coalesce(c, F.lit(0)).alias(n) for n, c in (("dead", fatalities), ("hurt", injured), ("taken", abducted), ("moved", displaced))]
+    given = F.struct(F.coalesce(folded, F.lit("")).alias("text"), names.alias("names"), *numbers)
     # A transform over one element binds what it is given once; inlined, each use would compute it anew.
-    return F.transform(F.array(facts), lambda f: F.transform(F.array(_ranked(f)), lambda x: _answer(f, x))[0])[0]
+    bound = F.transform(F.transform(F.array(given), _facts), lambda f: F.struct(f.alias("facts"), _ranked(f).alias("ranked")))
+    return F.transform(bound, lambda b: _answer(b["facts"], b["ranked"]))[0]
+
+
+def _facts(g: Column) -> Column:
+    """What the rules look at: the cue of each rule or null, what suppresses, actors' habits and sides, casualties."""
+    return F.struct(
+        F.array(*[first_cue(g["text"], c.split(",")) for _, _, c in RULES]).alias("cues"),
+        F.array(*[first_cue(g["text"], c.split(",")).isNotNull() for _, c in SUPPRESSORS]).alias("cuts"),
+        first_cue(g["text"], OFF_TOPIC.split(",")).isNotNull().alias("leisure"),
+        F.flatten(F.transform(g["names"], lambda a: _lookup([(x[0], x[2]) for x in dims.ACTORS], a))).alias("habits"),
+        F.transform(g["names"], lambda a: _lookup([(x[0], x[1]) for x in dims.ACTORS], a)).alias("sides"),
+        *[g[n].alias(n) for n in ("dead", "hurt", "taken", "moved")],
+    )
 
 
 def _ranked(f: Column) -> Column:
