@@ -10,7 +10,8 @@ are those of all links.
 
 ``keep_one`` links texts of a similarity (Jaccard, on word shingles) of ``SIMILAR`` and more. Fingerprints of such
 texts differ in up to ``WIDE`` bits, too many for blocks of bits to shard by. There, texts meet in a shard if a band of
-minima of their shingles' hashes is equal, the shard's BK-tree finds those within ``WIDE`` bits, and a link stands if
+minima of their shingles' hashes is equal, the shard's BK-tree finds those within ``WIDE`` bits (here of fingerprints
+in which a shingle counts once, as in the similarity), and a link stands if
 enough of ``MINIMA`` minima are equal: the wanted share less ``SLACK``, one standard error at a similarity of 0.8, so
 that texts at the limit are rather taken than missed. A pair at 0.8 shares a band with a probability of 0.998.
 
@@ -234,7 +235,7 @@ def sketches(docs: DataFrame, also: Sequence[str], text: str, width: int = WORDS
                 h = hashes(t, width)
                 u = np.unique(h)
                 m = minima(u)
-                fp.append(signed(majority(h)))
+                fp.append(signed(majority(u)))  # of the set, as the minima: repeats are no part of the similarity
                 sid.append(signed(xxhash.xxh64_intdigest(u.tobytes(), SEED)))
                 bands.append([signed(xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)])
                 sig.append(m.astype(np.uint16).tobytes())

@@ -144,6 +144,20 @@ def test_near_copies_meet(similarity):
     assert met >= 197
 
 
+def test_repeats_of_a_line_part_no_copies(spark):
+    """Texts alike but for how often a line occurs: their sets are, and so they meet."""
+    rng = random.Random(12)
+    pick = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for i in range(20):
+        words, line, times = pick(600), pick(8), rng.choice([15, 25])
+        rows += [(2 * i, " ".join(words[:300] + line + words[300:])), (2 * i + 1, " ".join(words[:300] + line * times + words[300:]))]
+    docs = spark.createDataFrame(rows, KIND)
+    fp = {r["doc_id"]: r["fp"] for r in simhash.sketches(docs, ["doc_id"], "text").collect()}
+    assert max(((fp[2 * i] ^ fp[2 * i + 1]) % 2**64).bit_count() for i in range(20)) <= 6
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [2 * i for i in range(20)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], KIND)
     assert simhash.near_duplicates(none).collect() == []
