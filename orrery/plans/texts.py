@@ -72,6 +72,14 @@ def trigram_dice_pairs(spark, d):
     return x.select("a", "b", F.round(text.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))
 
 
+@query()
+def trigram_dice_texts(spark, d):
+    """The similarity of neighbouring documents, over their whole texts."""
+    g = table(spark, d, "documents").select("doc_id", text.trigram_codes(text.fold_key(F.coalesce("text", F.lit("")))).alias("g"))
+    x = g.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")).join(g.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("a"), F.col("g").alias("gb")), "a")
+    return x.select("a", "b", F.round(text.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))
+
+
 @query(
     r"""select page_id, case when regexp_matches(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+')
     then regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1)), '^www\.', '') else '' end as host from pages"""
