@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import cut, small_batches
 
 CELLS = 1 << 15
-#: Labelled texts of each language that the models are fitted on, at most.
+#: Different labelled texts of each language that the models are fitted on, at most.
 FIT_ROWS = 400
 #: Trigrams after which a text's likelihood hardly grows.
 TEMPER = 150.0
@@ -73,11 +73,19 @@ class Models:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Models:
-    """Trigram models of at most ``rows`` texts of each language, picked by a hash of the text."""
+    """Trigram models of at most ``rows`` different texts of each language, those with the smallest hashes; copies count
+    once."""
+    hashed = [F.xxhash64("t", F.lit(31)).alias("h"), F.xxhash64("t", F.lit(32)).alias("g")]
     given = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"))
-    counts = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.broadcast(counts.limit(1000))
-    picked = given.join(share, "lang").where(F.pmod(F.xxhash64("t", F.lit(31)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")) * (1 << 30))
+    given = given.select("lang", "t", *hashed)
+    keys = cut(given.select("lang", "h", "g").distinct())
+    counts = F.broadcast(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # Of a large language, about twice the wanted texts are ranked (fewer than wanted has a chance below 1e-50 at 400).
+    low = F.pmod(F.col("h"), F.lit(1 << 30))
+    some = keys.join(counts, "lang").where((F.col("n") <= 2 * max(rows, 400)) | (low < F.lit(2.0 * max(rows, 400)) / F.col("n") * (1 << 30)))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(low, "h", "g")))
+    chosen = F.broadcast(ranked.where(F.col("rank") <= rows).select("lang", "h", "g"))
+    picked = given.join(chosen, ["lang", "h", "g"]).groupBy("lang", "h", "g").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -131,20 +139,22 @@ def sums(column: str, n: int) -> Column:
     return F.array(*[F.coalesce(F.sum(F.col(column)[i]), F.lit(0.0)) for i in range(n)])
 
 
-def identify(rows: DataFrame, models: Models, ids: Sequence[str]) -> DataFrame:
-    """``rows``: the id columns, text (plain or markup), declared, host (null where unknown). Appends lang, confidence
+def identify(rows: DataFrame, models: Models, ids: Sequence[str], markup: Column | None = None) -> DataFrame:
+    """``rows``: the id columns, text, declared, host (null where unknown). Tags are stripped from texts where ``markup``
+    holds (by default everywhere); others are read as they are. Appends lang, confidence
     and text_lang (what the text alone says, null without one)."""
     n, languages = len(models.languages), F.array(*map(F.lit, models.languages))
     held = rows.sparkSession.sparkContext.broadcast(models)
-    given = rows.select(*ids, F.col("declared").cast("string").alias("declared"), F.col("host").cast("string").alias("host"), F.col("text").alias("_text"))
+    given = rows.select(*ids, F.col("declared").cast("string").alias("declared"), F.col("host").cast("string").alias("host"), (F.lit(True) if markup is None else markup).alias("_markup"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.evidence(visible(t)).tolist() for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "logs"])
+            marked, texts = (b.column(b.num_columns - i).to_pylist() for i in (2, 1))
+            found = [held.value.evidence(visible(t) if m else t or "").tolist() for m, t in zip(marked, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:-2], "logs"])
 
     small_batches(rows.sparkSession)
-    schema = given.drop("_text").schema.add("logs", T.ArrayType(T.DoubleType()))
+    schema = given.drop("_markup", "_text").schema.add("logs", T.ArrayType(T.DoubleType()))
     scored = cut(
         given.mapInArrow(run, schema)
         .withColumn("soft", F.when(F.array_min("logs") < 0, posterior(F.col("logs"))))

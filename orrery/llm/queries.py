@@ -87,12 +87,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     other's rows. The models learn from documents' declared languages."""
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
     none = F.lit(None).cast("long")
-    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")).unionByName(
+    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("markup")).unionByName(
         pages.select(
-            none.alias("doc_id"), "page_id", F.col("html").alias("text"), language_id.declared_in(F.col("html")).alias("declared"), language_id.host_of(F.col("url")).alias("host")
+            none.alias("doc_id"), "page_id", F.col("html").alias("text"), language_id.declared_in(F.col("html")).alias("declared"), language_id.host_of(F.col("url")).alias("host"),
+            F.lit(True).alias("markup"),
         )
     )
-    return language_id.identify(rows, language_id.fit(docs), ["doc_id", "page_id"])
+    return language_id.identify(rows, language_id.fit(docs), ["doc_id", "page_id"], F.col("markup"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,26 @@ def test_markup(spark):
     )
     got = pages.select(lid.declared_in(pages["html"]), lid.host_of(pages["url"])).collect()
     assert [tuple(r) for r in got] == [("de", "a.b.example.org"), ("fr", None), (None, None), (None, None)]
+
+
+def test_every_language_is_fitted_on_its_different_texts(spark):
+    """Many copies of few texts: each language is known, and a copy tells no more than its text."""
+    rng = random.Random(5)
+    few = [(f"{g} {text(rng, 'de')}", g) for g in (f"l{i}" for i in range(12))]
+    many = [(text(rng, "en"), "en") for _ in range(900)]
+    copied = spark.createDataFrame(few * 900 + many, "text string, lang string")
+    got, want = lid.fit(copied), lid.fit(spark.createDataFrame(few + many, "text string, lang string"))
+    assert got.languages == want.languages == sorted({g for _, g in few} | {"en"})
+    assert (got.logs == want.logs).all()
+    picked = lid.fit(copied, rows=1)
+    assert picked.languages == got.languages
+
+
+def test_plain_text_keeps_what_angle_brackets_hold(spark, models):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    t = f"{text(rng, 'en', 4)} 1 < 2 {text(rng, 'fr')} 3 > 2"
+    docs = spark.createDataFrame([(1, t, None, None, False), (2, t, None, None, True)], KIND + ", markup boolean")
+    got = {r["doc_id"]: r["text_lang"] for r in lid.identify(docs, models, ["doc_id"], F.col("markup")).collect()}
+    assert got == {1: "fr", 2: "en"}
