@@ -1,24 +1,25 @@
 """SimHash near-duplicates with BK-trees.
 
-Fingerprints (64 bits) link when few bits differ. Equal fingerprints collapse to one first. By the pigeonhole
-principle, two fingerprints within the radius agree on all bits of some choice of blocks of bits, so each fingerprint
-goes to the shard of every choice's value; a shard is small unless its fingerprints are alike. Each shard is a BK-tree
-(children keyed by their Hamming distance to the parent), and every member follows only the edges within the radius
-of its own distance. A shard too large for one task is split into parts, and each pair of parts is searched in a task
-of its own. A task returns a spanning forest of the links it finds, never all pairs; the components of all forests
-are those of all links.
-
-``keep_one`` links texts of a similarity (Jaccard, on word shingles) of ``SIMILAR`` and more. Fingerprints of such
-texts differ in up to ``WIDE`` bits, too many for blocks of bits to shard by. There, texts meet in a shard if a band of
-minima of their shingles' hashes is equal, the shard's BK-tree finds those within ``WIDE`` bits (here of fingerprints
-in which a shingle counts once, as in the similarity), and a link stands if
-enough of ``MINIMA`` minima are equal: the wanted share less ``SLACK``, one standard error at a similarity of 0.8, so
-that texts at the limit are rather taken than missed. A pair at 0.8 shares a band with a probability of 0.998.
+Fingerprints (64 bits) link when few bits differ; equal ones are one member. By the pigeonhole principle two within the
+radius agree on some choice of blocks of bits, so each member belongs to the shard of every choice's value. A shard is a
+BK-tree (``bktree.py``; a large one, several), grown in the task that holds its rows. All trees are broadcast while they
+are within ``BROADCAST_BYTES``, and the members, wherever they lie, ask the trees of their shards and follow the edges
+within the radius. Beyond that size the members of a shard, or of every two parts of a large one, meet in a task, which
+grows the same tree and asks it. Either way a task returns stars that join what its links join, one link a member at
+most, and their connected components are those of all links.
+
+``keep_one`` links texts of a similarity (Jaccard, on sets of word shingles) of ``SIMILAR`` and more. Fingerprints of
+such texts differ in up to ``WIDE`` bits, too many for blocks of bits to shard by. There a shard holds the texts that
+have a band of minima of their shingles' hashes in common, and its BK-tree links those within ``WIDE`` bits (here of
+fingerprints in which a shingle counts once, as in the similarity). What such links join is a loose group; inside one,
+texts within ``WIDE`` bits are compared on their whole sets of shingles, and that alone decides. So no link below
+``SIMILAR`` is taken; a pair at 0.8 is missed with a chance of about 0.5 % (0.2 % have no common band, 0.3 % differ in
+more bits), and more alike ones more rarely. A loose group too large for a task is dealt by its shards again.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint 0 and links as any other (``keep_one``: all
 such texts are one group); a text shorter than a shingle is one shingle; equal rows share a component; a component's id
-is its smallest id, nulls aside (null if it has no other); an empty table gives an empty result. Other columns are not
-read by ``near_duplicates`` and pass through ``keep_one``.
+is its smallest id, nulls aside (null if it has no other); an empty table gives an empty result. Ids are of any type
+that Spark orders. Other columns are not read by ``near_duplicates`` and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,28 +27,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
 from ._common import cut, free_name, small_batches
+from .bktree import Trees, merge
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Members of a shard, or of a part of one, that a task takes.
-PART = 4096
-#: Members that a tree's node compares one by one.
-LEAF = 64
-#: Of keep_one: words of a shingle, similarity, radius; minima of a text's shingles, and bands of so many of them.
+#: Members of a shard that unlike fingerprints fill, on average; members, and bytes of sets, of a tree or a task.
+SHARD, PART, PART_BYTES = 128, 4096, 64 << 20
+#: Trees are broadcast up to this size; of a member: fingerprint, node, parent, edge, tree, and a place among children.
+BROADCAST_BYTES, NODE_BYTES = 64 << 20, 48
+#: A component that many fingerprints look up is read in so many places.
+SALTS = 16
+#: Questions that a task asks broadcast trees at a time.
+ASKED = 1 << 16
+#: Of keep_one: words of a shingle, similarity, radius; bands of so many minima of a text's shingles.
 WORDS, SIMILAR, WIDE = 5, 0.8, 18
-MINIMA, BANDS, ROWS, SLACK = 256, 12, 4, 0.025
+BANDS, ROWS = 12, 4
+MINIMA = BANDS * ROWS
 
 
 def hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -86,70 +94,21 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
     small_batches(docs.sparkSession)
-    held = docs.select(F.col(f"`{key}`").cast("long").alias(key), *also)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), *also, F.col(f"`{text}`").alias("_text"))
+    held = docs.select(F.col(f"`{key}`").alias(key), *also)
+    rows = docs.select(F.col(f"`{key}`").alias(key), *also, F.col(f"`{text}`").alias("_text"))
     return rows.mapInArrow(run, held.schema.add("fp", "long"))
 
 
-def distances(a: np.ndarray, b: np.uint64 | np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-class BKTree:
-    """A BK-tree over distinct fingerprints (uint64), built and searched for many members at a time."""
-
-    def __init__(self, members: np.ndarray):
-        self.members = members
-        self.pivot: np.uint64 | None = None
-        self.children: dict[int, BKTree] = {}
-        if len(members) > LEAF:
-            self.pivot = members[0]
-            rest = members[1:]
-            d = distances(rest, self.pivot)
-            for k in np.unique(d):
-                self.children[int(k)] = BKTree(rest[d == k])
-
-    def search(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.uint64]]:
-        """(those of ``asked`` within the radius of a member, the member), for every member with any."""
-        stack = [(self, asked)]
-        while stack:
-            node, q = stack.pop()
-            if node.pivot is None:
-                near = distances(q[:, None], node.members[None, :]) <= radius
-                for i in np.flatnonzero(near.any(axis=0)):
-                    yield q[near[:, i]], node.members[i]
-                continue
-            d = distances(q, node.pivot).astype(np.int64)
-            if (d <= radius).any():
-                yield q[d <= radius], node.pivot
-            for k, child in node.children.items():
-                if len(own := q[np.abs(d - k) <= radius]):
-                    stack.append((child, own))
-
-
-def forest(tree: np.ndarray, asked: np.ndarray, radius: int) -> list[tuple[np.uint64, np.uint64]]:
-    """Links that connect all of ``tree`` and ``asked`` that the links within the radius connect: at most one less
-    than there are members."""
-    nodes = np.unique(np.concatenate([tree, asked]))
-    label, out = np.arange(len(nodes)), []
-    for near, m in BKTree(tree).search(asked, radius):
-        own = label[np.searchsorted(nodes, m)]
-        found, first = np.unique(label[np.searchsorted(nodes, near)], return_index=True)
-        if len(new := first[found != own]):
-            out += [(x, m) for x in near[new]]
-            label[np.isin(label, found)] = own
-    return out
-
-
 def choices(n: int, radius: int) -> list[int]:
     """Masks of bits such that two values within the radius agree under one of them. The more fingerprints there are,
-    the more bits a mask has, which keeps shards of unlike fingerprints small: the work changes, the links do not."""
-    agree = 1
-    while agree < 4 and n > 256 << int(64 * agree / (radius + agree)):
+    the more bits a mask has, which keeps shards of unlike fingerprints at about ``SHARD`` members: the work changes,
+    the links do not."""
+    wanted, agree = max(1, ceil(log2(max(2, n / SHARD)))), 1
+    while agree < 4 and 64 * agree / (radius + agree) < wanted:
         agree += 1
-    blocks = radius + agree
+    blocks, each = radius + agree, ceil(wanted / agree)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    bits = [sum(1 << j for j in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    bits = [sum(1 << j for j in range(edges[i], min(edges[i + 1], edges[i] + each))) for i in range(blocks)]
     return [sum(bits[i] for i in own) for own in combinations(range(blocks), agree)]
 
 
@@ -157,57 +116,145 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def deal(members: DataFrame, node: str, part: int) -> DataFrame:
-    """Members (c, v, n, the node and others) by task: part p of a shard meets part q in task (p, q), p <= q, and so each
+def deal(members: DataFrame, node: str, parts: Column) -> DataFrame:
+    """Members (c, v, the node and others) by task: part p of a shard meets part q in task (p, q), p <= q, and so each
     pair of parts meets once."""
-    m = F.ceil(F.col("n") / part).cast("int")
-    p = F.pmod(F.xxhash64(node, "c"), m).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
-    rest = [c for c in members.columns if c != "n"]
-    return members.select(*rest, m.alias("m"), p.alias("p")).select(*rest, "p", F.inline(pairs).alias("i", "j"))
+    placed = members.withColumn("m", parts.cast("int")).withColumn("p", F.pmod(F.xxhash64(node, "c"), "m").cast("int"))
+    return placed.select(*members.columns, "p", F.inline(pairs).alias("i", "j"))
 
 
-def in_tasks(dealt: DataFrame, find: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+def in_tasks(dealt: DataFrame, find: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """a, b: what ``find`` returns for the columns of each task's rows. Rows come sorted by task; a task's rows are
     searched when they are whole."""
     keys, columns = ["c", "v", "i", "j"], dealt.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
 
         def found(ends: list[int]) -> pd.DataFrame:
-            out, s = [], 0
+            whole, out, s = {c: np.concatenate(x) for c, x in held.items()}, [], 0
             for e in ends:
-                out += find({c: x[s:e] for c, x in held.items()})
+                out.append(find({c: x[s:e] for c, x in whole.items()}))
                 s = e
-            ab = np.array(out, np.int64).reshape(-1, 2)
-            return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
+            held.update({c: [x[s:]] for c, x in whole.items()})
+            return pd.DataFrame({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])})
 
         for x in batches:
-            held = {c: np.concatenate([held[c], x[c].to_numpy()]) if held else x[c].to_numpy() for c in columns}
-            ends = (np.flatnonzero(np.any([held[c][1:] != held[c][:-1] for c in keys], axis=0)) + 1).tolist()
-            if ends:
-                yield found(ends)
-                held = {c: x[ends[-1] :] for c, x in held.items()}
-        if held and len(held["c"]):
-            yield found([len(held["c"])])
+            if not len(x):
+                continue
+            key = {c: x[c].to_numpy() for c in keys}
+            last = [held[c][-1][-1:] if held else key[c][:1] for c in keys]
+            new = np.any([np.concatenate([y, key[c]])[1:] != np.concatenate([y, key[c]])[:-1] for c, y in zip(keys, last, strict=True)], axis=0)
+            before = sum(map(len, held.get("c", [])))
+            for c in columns:
+                held.setdefault(c, []).append(x[c].to_numpy())
+            if new.any():
+                yield found((np.flatnonzero(new) + before).tolist())
+        if n := sum(map(len, held.get("c", []))):
+            yield found([n])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """a, b: forests of the links between the distinct fingerprints ``fp`` of ``fps``."""
+def meet(x: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of one task of ``deal``: part i's tree, asked by part j (or by itself)."""
+    fp, mine = x["fp"].view(np.uint64), x["p"] == x["i"][0]
+    of_tree = np.flatnonzero(mine)
+    of_asked = of_tree if x["i"][0] == x["j"][0] else np.flatnonzero(~mine)
+    trees = Trees.build(fp[of_tree], x["fp"][of_tree], np.zeros(len(of_tree), np.int64))
+    if not len(of_tree):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return trees.linked(fp[of_asked], x["fp"][of_asked], np.zeros(len(of_asked), np.int64), radius)
+
+
+def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trees of rows (c, v, p, fp) that come sorted: each member with its parent's distance above it in the tree's
+    rows (0: a root) and its edge. A shard's part is a tree; it is grown when its rows are whole."""
+    left: pa.Table | None = None
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        c, v, p, fp = (t.column(i).to_numpy() for i in range(4))
+        new = np.concatenate([[False], (c[1:] != c[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1])])
+        trees = Trees.build(fp.view(np.uint64), fp, np.cumsum(new))
+        up = np.where(trees.parent < 0, 0, np.arange(len(fp)) - trees.parent)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c, v, p, fp, up.astype(np.int32), trees.edge.astype(np.int32))], names=["c", "v", "p", "fp", "up", "edge"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if left is None else pa.concat_tables([left, t])
+        c, v, p = (t.column(i).to_numpy() for i in range(3))
+        ends = np.flatnonzero((c[1:] != c[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1]))
+        whole = int(ends[-1]) + 1 if len(ends) else 0
+        if whole:
+            yield out(t.slice(0, whole))
+        left = t.slice(whole)
+    if left is not None and left.num_rows:
+        yield out(left)
+
+
+class Grove:
+    """Trees of many shards, to be broadcast: found by choice and value."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("c", "ascending"), ("v", "ascending"), ("p", "ascending")])  # keeps the order in a tree
+        c, v, p, fp, up, edge = (rows.column(i).to_numpy() for i in range(6))
+        new = np.concatenate([[False], (c[1:] != c[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1])])[: len(c)]
+        self.trees = Trees(fp.view(np.uint64), fp, np.cumsum(new), np.where(up == 0, -1, np.arange(len(fp)) - up), edge.astype(np.int16))
+        at = self.trees.start
+        self.choice, self.value = c[at], v[at]
+
+    def ask(self, c: np.ndarray, v: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        asks, tree = [], []
+        for choice in np.unique(c):
+            own = np.flatnonzero(c == choice)
+            lo, hi = np.searchsorted(self.choice, choice), np.searchsorted(self.choice, choice, "right")
+            a, b = (lo + np.searchsorted(self.value[lo:hi], v[own], side) for side in ("left", "right"))
+            asks.append(np.repeat(own, b - a))
+            tree.append(np.repeat(a, b - a) + np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a))
+        if not asks:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        q, t = np.concatenate(asks), np.concatenate(tree)
+        return self.trees.linked(fp[q].view(np.uint64), fp[q], t, radius)
+
+
+def shard_links(members: DataFrame, radius: int, part: int | None = None, most: int | None = None) -> DataFrame:
+    """a, b: stars that join the fingerprints that links within the radius join, inside the shards (c, v) of ``members``
+    (c int, v long, fp long, without repeats)."""
+    part, most = part or PART, BROADCAST_BYTES if most is None else most
+    sizes = cut(members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    own = members.join(sizes, ["c", "v"])
+    if total * NODE_BYTES > most:
+        return in_tasks(deal(own, "fp", F.ceil(F.col("n") / part)), lambda x: meet(x, radius)).distinct()
+    parted = own.select("c", "v", F.pmod(F.xxhash64("fp", "c"), F.ceil(F.col("n") / part)).cast("int").alias("p"), "fp")
+    trees = parted.repartition("c", "v", "p").sortWithinPartitions("c", "v", "p", "fp").mapInArrow(grown, "c int, v long, p int, fp long, up int, edge int")
+    held = members.sparkSession.sparkContext.broadcast(Grove(trees.toArrow()))  # at most ``most`` bytes
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+
+        def found() -> pa.RecordBatch:
+            a, b = held.value.ask(*(np.concatenate([x.column(i).to_numpy() for x in some]) for i in range(3)), radius)
+            some.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in batches:
+            some.append(b)
+            if sum(x.num_rows for x in some) >= ASKED:
+                yield found()
+        if some:
+            yield found()
+
+    return members.select("c", "v", "fp").mapInArrow(ask, "a long, b long").distinct()
+
+
+def links(fps: DataFrame, radius: int = RADIUS, part: int | None = None, most: int | None = None) -> DataFrame:
+    """a, b: stars that join what the links between the distinct fingerprints ``fp`` of ``fps`` join."""
     fps = cut(fps.select("fp").distinct())
     masks = choices(fps.count(), radius)
     shards = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)])
-    members = fps.select("fp", F.inline(shards).alias("c", "v"))
-    sizes = members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-    def find(x: dict[str, np.ndarray]) -> list[tuple[np.uint64, np.uint64]]:
-        fp, i, j, mine = x["fp"].view(np.uint64), x["i"][0], x["j"][0], x["p"]
-        return [(a.view(np.int64), b.view(np.int64)) for a, b in forest(np.sort(fp[mine == i]), np.sort(fp if i == j else fp[mine != i]), radius)]
-
-    return in_tasks(deal(members.join(sizes, ["c", "v"]), "fp", part), find).where("a <> b").distinct()
+    return shard_links(fps.select(F.inline(shards).alias("c", "v"), "fp"), radius, part, most)
 
 
 @cache
@@ -225,85 +272,117 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, also: Sequence[str], text: str, width: int = WORDS) -> DataFrame:
-    """The columns ``also``, and of every text: sid (a hash of its set of shingles), fp, bands (array of long), sig
-    (the minima's low 16 bits, binary)."""
+    """The columns ``also``, and of every text: sid (a hash of its set of shingles), n (their number), fp, and bands
+    (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, fp, bands, sig = [], [], [], []
+            sid, n, fp, bands = [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                h = hashes(t, width)
-                u = np.unique(h)
+                u = np.unique(hashes(t, width))
                 m = minima(u)
+                n.append(len(u))
                 fp.append(signed(majority(u)))  # of the set, as the minima: repeats are no part of the similarity
                 sid.append(signed(xxhash.xxh64_intdigest(u.tobytes(), SEED)))
                 bands.append([signed(xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)])
-                sig.append(m.astype(np.uint16).tobytes())
-            new = [pa.array(sid, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "sid", "fp", "bands", "sig"])
+            new = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "sid", "n", "fp", "bands"])
 
     small_batches(docs.sparkSession)
-    schema = docs.select(*also).schema.add("sid", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
+    schema = docs.select(*also).schema.add("sid", "long").add("n", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType()))
     return docs.select(*also, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def similar_forest(fp: np.ndarray, sig: np.ndarray, tree: np.ndarray, asked: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Links (positions) between members of ``tree`` and ``asked`` (masks), within the radius and with ``least``
-    (less ``SLACK``) of the minima equal, that connect all that such links connect."""
-    label, out, left = np.arange(len(fp)), [], len(fp)
-    of_tree, of_asked = np.flatnonzero(tree), np.flatnonzero(asked)
-    for near, m in BKTree(np.unique(fp[tree])).search(np.unique(fp[asked]), radius):
-        close = of_asked[np.isin(fp[of_asked], near)]
-        for x in of_tree[fp[of_tree] == m]:
-            other = close[label[close] != label[x]]
-            other = other[(sig[other] == sig[x]).mean(axis=1) >= least - SLACK] if len(other) else other
-            if len(other):
-                found, first = np.unique(label[other], return_index=True)
-                out += [(y, x) for y in other[first]]
-                label[np.isin(label, found)] = label[x]
-                left -= len(found)
-                if left == 1:
-                    return out
-    return out
-
-
-def similar_links(texts: DataFrame, least: float = SIMILAR, radius: int = WIDE, part: int = PART) -> DataFrame:
-    """a, b: forests of the links between the distinct ``sid`` of ``texts`` (sid, fp, bands, sig)."""
-    members = texts.select("sid", F.posexplode("bands").alias("c", "v"))
-    sizes = members.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = members.join(sizes, ["c", "v"]).join(texts.select("sid", "fp", "sig"), "sid")
+def with_sets(texts: DataFrame, width: int = WORDS) -> DataFrame:
+    """``texts`` (its last column: the text) with that text's set of shingles, as sorted hashes in a binary."""
 
-    def find(x: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x["sig"]), -1)
-        i, j, mine = x["i"][0], x["j"][0], x["p"]
-        every = similar_forest(x["fp"].view(np.uint64), sig, mine == i, (mine == i) if i == j else (mine != i), radius, least)
-        return [(x["sid"][a], x["sid"][b]) for a, b in every]
-
-    return in_tasks(deal(own, "sid", part), find).where("a <> b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(hashes(t, width)).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=[*b.schema.names[:-1], "set"])
+
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(run, texts.drop(texts.columns[-1]).schema.add("set", "binary"))
+
+
+def alike(x: dict[str, np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the sids of one task of ``deal`` (c, v, i, j, p, sid, fp, set) that links join: fingerprints within the
+    radius, and sets of the least similarity. Pairs that earlier links have joined are not compared."""
+    n, mine = len(x["sid"]), x["p"] == x["i"][0]
+    of_tree = np.flatnonzero(mine)
+    of_asked = of_tree if x["i"][0] == x["j"][0] else np.flatnonzero(~mine)
+    if not len(of_tree) or not len(of_asked) or n < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sets = [np.frombuffer(s, np.uint64) for s in x["set"]]
+    size, fp = np.array([len(s) for s in sets]), x["fp"].view(np.uint64)
+    known, of_member = np.unique(fp[of_tree], return_inverse=True)
+    order = np.argsort(of_member, kind="stable")
+    ends = np.searchsorted(of_member[order], np.arange(len(known) + 1))
+    trees = Trees.build(known, known.view(np.int64), np.zeros(len(known), np.int64))
+    label = np.arange(n)
+    for a in of_asked:
+        near = np.concatenate([m for _, m in trees.search(fp[a : a + 1], np.zeros(1, np.int64), radius)] or [np.empty(0, np.int64)])
+        others = of_tree[np.concatenate([order[ends[m] : ends[m + 1]] for m in near] or [np.empty(0, np.int64)])]
+        likely = (np.minimum(size[others], size[a]) >= least * np.maximum(size[others], size[a])) & (label[others] != label[a])
+        for b in others[likely]:
+            if label[a] == label[b]:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= least * max(1, size[a] + size[b] - both) - 1e-9:
+                label = merge(label, np.array([a]), np.array([b]))
+    out = np.flatnonzero(label != np.arange(n))
+    return x["sid"][out], x["sid"][label[out]]
+
+
+def similar_links(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR, radius: int = WIDE, part: int | None = None) -> DataFrame:
+    """a, b: stars that join what the links between the distinct ``sid`` of ``texts`` (sid, n, fp, bands) join.
+    ``sets_of`` appends the set to some of them."""
+    part = part or PART
+    members = texts.select(F.posexplode("bands").alias("c", "v"), "fp").distinct()
+    loose = components(shard_links(members, radius, part))
+    rooted = texts.join(loose.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tasks = lambda n, size: F.greatest(F.ceil(F.col(n) / part), F.ceil(8 * F.col(size) / PART_BYTES))
+    groups = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("in_group"), F.sum("n").alias("shingles")).where("in_group > 1")
+    close = cut(rooted.join(groups, "root").withColumn("m", tasks("in_group", "shingles")).drop("in_group", "shingles"))
+    small = close.where("m = 1").select(F.lit(-1).alias("c"), F.col("root").alias("v"), "sid", F.lit(1).alias("parts"))
+    large = close.where("m > 1").select(F.posexplode("bands").alias("c", "v"), "sid", "n")
+    counts = large.groupBy("c", "v").agg(F.count(F.lit(1)).alias("in_shard"), F.sum("n").alias("shingles")).where("in_shard > 1")
+    large = large.join(counts, ["c", "v"]).select("c", "v", "sid", tasks("in_shard", "shingles").alias("parts"))
+    placed = small.unionByName(large).join(sets_of(close).select("sid", "fp", "set"), "sid")
+    return in_tasks(deal(placed, "sid", F.col("parts")).drop("parts"), lambda x: alike(x, radius, least)).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``key``, fingerprint (16 hex digits), component_id (the smallest key in reach), n_linked (different
-    fingerprints in the component, its own included) of every row."""
+    """``key``, fingerprint (16 hex digits), component_id (the smallest key in reach) of every row."""
     rows = cut(fingerprints(docs, key, text, width))
     each = rows.groupBy("fp").agg(F.min(key).alias("least"))
     joined = components(links(each, radius))
-    roots = each.join(joined, each["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_linked"))
-    of = roots.select("fp", "root").join(tops, "root").select("fp", "component_id", "n_linked")
-    return rows.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_linked")
+    linked = cut(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(each.withColumnRenamed("fp", "node"), "node"))
+    # Only linked fingerprints look up their component, one of a few salts of it: a large one is read by several tasks.
+    tops = linked.groupBy("root").agg(F.min("least").alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"]).select(F.col("node").alias("fp"), "top")
+    named = each.join(of, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
+    return rows.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, least: float = SIMILAR, radius: int = WIDE) -> DataFrame:
     """The rows that stay: of each group of texts that links of a similarity of ``least`` and more connect, one row with
     the smallest key (a null key only where there is no other; of several texts with that key, the one whose hash is
     smallest), all columns as they were."""
-    k, h = F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    k, h = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
     rows = cut(sketches(docs.select(k.alias("k"), h.alias("h"), F.col(f"`{text}`").alias("t")), ["k", "h"], "t", width))
-    texts = cut(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    each = rows.groupBy("sid").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least"))
-    joined = components(similar_links(texts, least, radius))
-    roots = each.join(joined, each["sid"] == joined["node"], "left").select(F.coalesce("root", "sid").alias("root"), "least")
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least")
+    texts = cut(rows.groupBy("sid").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), first))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """One row of each sid is read again, and more only where it repeats in full."""
+        asked = some.select("sid", "fp", F.col("least.k").alias("_k"), F.col("least.h").alias("_h"))
+        given = docs.select(k.alias("k"), h.alias("h"), F.col(f"`{text}`").alias("t"))
+        found = given.join(asked, given["k"].eqNullSafe(asked["_k"]) & (given["h"] == asked["_h"])).select("sid", "fp", "t")
+        return with_sets(found, width).dropDuplicates(["sid"])
+
+    joined = components(similar_links(texts, sets_of, least, radius))
+    roots = texts.join(joined, texts["sid"] == joined["node"], "left").select(F.coalesce("root", "sid").alias("root"), "least")
     stay = cut(roots.groupBy("root").agg(F.min("least").alias("least")).select("least.k", "least.h"))
     twice = cut(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(stay, ["h"]).where(rows["k"].eqNullSafe(stay["k"])).select(rows["k"], "h").distinct())
     own_k, own_h = free_name(docs, "_k"), free_name(docs, "_h")

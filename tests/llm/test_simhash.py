@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from orrery.llm import simhash
+from orrery.llm import bktree, simhash
 
 KIND = "doc_id long, text string"
 
@@ -63,9 +63,10 @@ def corpus(n=150, seed=3):
 
 
 @pytest.mark.parametrize("part", [4096, 7])
-def test_near_duplicates(spark, part, monkeypatch):
+@pytest.mark.parametrize("most", [64 << 20, 0], ids=["broadcast", "tasks"])
+def test_near_duplicates(spark, part, most, monkeypatch):
     monkeypatch.setattr(simhash, "PART", part)
-    monkeypatch.setattr(simhash.links, "__defaults__", (4, part))
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
     rows = corpus()
     got = simhash.near_duplicates(spark.createDataFrame(rows, KIND).withColumnRenamed("text", "TEXT").selectExpr("*", "1 as fp"), text="TEXT").collect()
     fps = [by_bit(t) for _, t in rows]
@@ -111,9 +112,10 @@ def near_copies(seed=4):
     return rows + rows[20:25]
 
 
-@pytest.mark.parametrize("part", [4096, 5])
-def test_keep_one(spark, part, monkeypatch):
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*simhash.similar_links.__defaults__[:2], part))
+@pytest.mark.parametrize(("part", "most"), [(4096, 64 << 20), (4096, 0), (5, 64 << 20), (5, 0)])
+def test_keep_one(spark, part, most, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
     rows = near_copies()
     docs = spark.createDataFrame([(k, t, "s", i) for i, (k, t) in enumerate(rows)], KIND + ", source string, _k int")
     got = simhash.keep_one(docs)
@@ -164,12 +166,58 @@ def test_empty(spark):
     assert simhash.keep_one(none).collect() == []
 
 
-def test_tree_finds_all():
-    rng = np.random.default_rng(1)
-    centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    members = np.unique(np.concatenate([centre ^ (np.uint64(1) << np.uint64(b)) ^ (np.uint64(1) << np.uint64(b // 3)) for b in range(60)]))
-    found = {(int(x), int(m)) for near, m in simhash.BKTree(members).search(members, 4) for x in near}
-    assert found == {(int(x), int(m)) for m in members for x in members[np.bitwise_count(members ^ m) <= 4]}
+def balls(seed=1, centres=40):
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 1 << 63, centres, dtype=np.uint64)
+    return np.unique(np.concatenate([centre, *[centre ^ (np.uint64(1) << np.uint64(b)) ^ (np.uint64(1) << np.uint64(b // 3)) for b in range(40)]]))
+
+
+@pytest.mark.parametrize("big", [1, 100, 10**9])
+def test_trees_find_all(big, monkeypatch):
+    monkeypatch.setattr(bktree, "BIG", big)
+    fp = balls()
+    tree = np.sort(np.random.default_rng(2).integers(0, 3, len(fp)))
+    trees = bktree.Trees.build(fp, fp.view(np.int64), tree)
+    found = {(int(q), int(m)) for qs, ms in trees.search(fp, tree, 4) for q, m in zip(qs, ms, strict=True)}
+    near = {(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero((tree == tree[i]) & (np.bitwise_count(fp ^ fp[i]) <= 4))}
+    assert found == near
+    at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    place = lambda xs: np.array([at[int(x)] for x in xs])
+    a, b = trees.linked(fp, fp.view(np.int64), tree, 4)
+    want = bktree.merge(np.arange(len(fp)), *map(np.array, zip(*near, strict=True)))
+    assert len(a) == len(fp) - len(set(want)) and (bktree.merge(np.arange(len(fp)), place(a), place(b)) == want).all()
+
+
+def test_children_are_keyed_by_distance():
+    fp = balls()
+    trees = bktree.Trees.build(fp, fp.view(np.int64), np.zeros(len(fp), np.int64))
+    down = trees.parent >= 0
+    assert (~down).sum() == 1 and (trees.edge[down] == np.bitwise_count(fp[down] ^ fp[trees.parent[down]])).all()
+    assert len({(p, e) for p, e in zip(trees.parent[down], trees.edge[down], strict=True)}) == down.sum()
+    for i in np.flatnonzero(down):  # every member lies below each forebear along the edge of its distance
+        at = i
+        while trees.parent[at] >= 0:
+            assert np.bitwise_count(fp[i] ^ fp[trees.parent[at]]) == trees.edge[at]
+            at = trees.parent[at]
+
+
+def test_edges_are_followed_on_the_documents(spark):
+    """The trees of the registered query's own table are real ones: most members hang below a root, edges are followed
+    to them, and most are passed over."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fp = np.unique(np.array([r["fp"] for r in simhash.fingerprints(docs).collect()], np.int64)).view(np.uint64)
+    masks = simhash.choices(len(fp), simhash.RADIUS)
+    c = np.repeat(np.arange(len(masks)), len(fp))
+    v = np.concatenate([fp & np.uint64(m) for m in masks])
+    order = np.lexsort((v, c))
+    c, v, members = c[order], v[order], np.tile(fp, len(masks))[order]
+    tree = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (v[1:] != v[:-1])]))
+    trees = bktree.Trees.build(members, members.view(np.int64), tree)
+    assert (trees.parent >= 0).sum() > 0.9 * len(members) and trees.size.max() >= 50
+    a, _ = trees.linked(members, members.view(np.int64), tree, simhash.RADIUS)
+    assert len(a) > 0
+    asked = trees.size[tree].sum()
+    assert len(members) < trees.followed < asked
 
 
 @pytest.mark.parametrize("n", [10, 10**7, 10**9, 10**12])
