@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "n_words", "read", "shared_dir", "shared_path", "small_batches"]
+__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "n_words", "place", "read", "shared_dir", "shared_path", "small_batches"]
 #: A word is a maximal run of characters other than ASCII blanks (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python worker at once: with long texts a larger batch could outgrow a worker.
@@ -22,7 +22,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at a time."""
+    """Bound what a Python worker holds at a time. The bound is the session's, as Spark reads it when a plan runs, and it
+    stays: later queries with Python steps get batches of as many rows, or fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -36,6 +37,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where the column is that Spark means by ``name``: the one of exactly that name, else (unless Spark minds case) the
+    one that differs in case alone."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    alike = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    minds = str(df.sparkSession.conf.get("spark.sql.caseSensitive")).lower() == "true"
+    found = exact if exact or minds else alike
+    if len(found) != 1:
+        raise ValueError(f"no single column {name} among {df.columns}")
+    return found[0]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -10,7 +10,9 @@ near its longest one together cover ``MIN_COVER`` of the item.
 The corpus is read once and not shuffled. The benchmark is what is broadcast, in blocks of a checked size: a larger
 one makes more passes over the documents, never a larger broadcast.
 
-Tokens are runs of letters and digits in lower case. Defined results: a null or empty text, on either side, matches
+Tokens are runs of letters and digits in lower case, or single characters of scripts without blanks. The hits of a text
+are taken item by item, and diagonals along which a text and an item agree alike are looked at once, so a text that
+repeats itself costs no more than its length for each item that it hits. Defined results: a null or empty text, on either side, matches
 nothing; an item of fewer than ``MIN_ITEM`` tokens is too short to tell a leak from chance and matches nothing; items
 with equal texts are reported each; equal rows get equal rows out; an empty table gives an empty result (or, for
 ``keep_clean``, an empty benchmark keeps everything). Other columns pass through ``keep_clean`` unread.
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import place, small_batches
 
-TOKEN = re.compile(r"[^\W_]+")
+#: Scripts written without blanks (Thai, kana, Han) have a token a character.
+UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 #: 1: the position counts; 0: it may differ.
 MASKS = ("111011", "1101101", "1110010011")
 MIN_ITEM = 8
@@ -43,6 +47,8 @@ BLOCK_HASHES = 2_000_000
 SHIFT = 5
 MISMATCH = -2
 DROP = 8
+#: Cells (diagonals by tokens of an item) that are compared together.
+PIECE = 1 << 20
 
 
 def tokens(text: str | None) -> list[str]:
@@ -93,21 +99,27 @@ class TestBlock:
             self.tables.append((h[order], of[order], at[order]))
         return self
 
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (item, diagonal, place in the document) of all hits, in order."""
-        found = []
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, its diagonals with a hit, in order), by item."""
+        found = []  # by mask: the text's places in order of their hashes, and rows (item, place, range of places)
         for mask, (h, of, at) in zip(MASKS, self.tables, strict=True):
             places, own = seeds(ids, mask)
-            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            n = hi - lo
-            if not n.any():
+            lo = np.searchsorted(h, own)
+            hit = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == own) if len(h) else np.empty(0, np.int64)
+            if not len(hit):
                 continue
-            each = np.repeat(np.arange(len(own)), n)
-            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([of[row], places[each] - at[row], places[each]], axis=1))
+            order = hit[np.argsort(own[hit], kind="stable")]
+            kinds, first, n = np.unique(own[order], return_index=True, return_counts=True)
+            start, stop = np.searchsorted(h, kinds, "left"), np.searchsorted(h, kinds, "right")
+            each = np.repeat(np.arange(len(kinds)), stop - start)
+            row = np.arange(len(each)) + np.repeat(start - (np.cumsum(stop - start) - (stop - start)), stop - start)
+            found.append((places[order], np.stack([of[row], at[row], first[each], first[each] + n[each]], axis=1)))
         if not found:
-            return np.empty((0, 3), np.int64)
-        return np.unique(np.concatenate(found), axis=0)
+            return
+        rows = np.concatenate([np.insert(r, 4, i, axis=1) for i, (_, r) in enumerate(found)])
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        for some in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+            yield int(some[0, 0]), np.unique(np.concatenate([found[m][0][a:b] - at for _, at, a, b, m in some]))
 
 
 def grow(same: np.ndarray, at: int) -> tuple[int, int]:
@@ -134,37 +146,54 @@ class Leak:
     covered: float  # share of the item's tokens that stretches match
 
 
-def leaks(block: TestBlock, ids: np.ndarray) -> list[Leak]:
+def patterns(own: np.ndarray, ids: np.ndarray, diagonals: np.ndarray) -> dict[bytes, list[np.ndarray]]:
+    """The diagonals by where the item's tokens equal the text's along them (packed bits), a piece at a time."""
+    out: dict[bytes, list[np.ndarray]] = {}
+    step, places = max(1, PIECE // len(own)), np.arange(len(own))
+    for i in range(0, len(diagonals), step):
+        some = diagonals[i : i + step]
+        at = some[:, None] + places
+        same = (ids[np.clip(at, 0, len(ids) - 1)] == own) & (at >= 0) & (at < len(ids))
+        kinds, which = np.unique(np.packbits(same, axis=1), axis=0, return_inverse=True)
+        for k, kind in enumerate(kinds):
+            out.setdefault(kind.tobytes(), []).append(some[which.ravel() == k])
+    return out
+
+
+def stretches(same: np.ndarray) -> list[tuple[int, int]]:
+    """The grown stretches of a diagonal around its hits, those with enough equal tokens."""
+    out, end = [], -1
+    hit = np.zeros(len(same), bool)
+    for mask in MASKS:
+        n = len(same) - len(mask) + 1
+        if n > 0:
+            hit[:n] |= np.logical_and.reduce([same[o : o + n] for o in offsets(mask)])
+    for at in np.flatnonzero(hit):
+        if at >= end:
+            start, end = grow(same, int(at))
+            if end > start and same[start:end].sum() >= IDENTITY * (end - start):
+                out.append((start, end))
+    return out
+
+
+def leaks(block: TestBlock, ids: np.ndarray) -> Iterator[Leak]:
     """One leak for each leaked item of the block."""
-    hits = block.candidates(ids)
-    out, i = [], 0
-    while i < len(hits):
-        item, own, spans = hits[i, 0], block.items[hits[i, 0]][1], []
-        while i < len(hits) and hits[i, 0] == item:
-            diagonal = hits[i, 1]
-            first, last = max(0, -diagonal), min(len(own), len(ids) - diagonal)
-            same = own[first:last] == ids[first + diagonal : last + diagonal]
-            end = -1
-            while i < len(hits) and hits[i, 0] == item and hits[i, 1] == diagonal:
-                at = hits[i, 2] - diagonal - first
-                i += 1
-                if at < end:
-                    continue
-                start, end = grow(same, at)
-                n = int(same[start:end].sum())
-                if end > start and n >= IDENTITY * (end - start):
-                    spans.append((n, start + first, diagonal, same[start:end]))
+    for item, diagonals in block.candidates(ids):
+        own, spans = block.items[item][1], []
+        for kind, on in patterns(own, ids, diagonals).items():
+            same = np.unpackbits(np.frombuffer(kind, np.uint8), count=len(own)).astype(bool)
+            on = np.concatenate(on)
+            spans += [(int(same[s:e].sum()), s, on, same[s:e]) for s, e in stretches(same)]
         if not spans:
             continue
-        n, at, main, same = max(spans, key=lambda s: (s[0], -s[2]))
-        seen = np.zeros(len(own), bool)
-        for _, s, diagonal, equal in spans:
-            if abs(diagonal - main) <= max(SHIFT, len(own) // 4):
+        n, at, on, same = max(spans, key=lambda s: (s[0], -int(s[2][0])))
+        main, seen = int(on[0]), np.zeros(len(own), bool)
+        for _, s, of, equal in spans:
+            if (np.abs(of - main) <= max(SHIFT, len(own) // 4)).any():
                 seen[s : s + len(equal)] |= equal
         covered = seen.sum() / len(own)
         if n >= min(MIN_MATCH, np.ceil(0.8 * len(own))) or covered >= MIN_COVER:
-            out.append(Leak(int(item), int(at + main), int(at + main + len(same)), n, float(covered)))
-    return out
+            yield Leak(item, at + main, at + main + len(same), n, float(covered))
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_HASHES) -> Iterator[TestBlock]:
@@ -213,15 +242,15 @@ def find_leaks(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", most: int = BLOCK_HASHES) -> DataFrame:
     """The rows that leak no item, all columns as they were; no shuffle."""
     small_batches(docs.sparkSession)
-    schema = docs.schema
+    schema, at = docs.schema, place(docs, text)
     for block in blocks(benchmark, benchmark.columns[0], item_text, most):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def sift(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known = held.value.vocabulary.get
             for b in batches:
-                ids = (np.array([known(w, 0) for w in tokens(t)], np.int64) for t in b.column(b.schema.get_field_index(text)).to_pylist())
-                yield b.filter(pa.array([not leaks(held.value, x) for x in ids], pa.bool_()))
+                ids = (np.array([known(w, 0) for w in tokens(t)], np.int64) for t in b.column(at).to_pylist())
+                yield b.filter(pa.array([next(leaks(held.value, x), None) is None for x in ids], pa.bool_()))
 
         docs = docs.mapInArrow(sift, schema)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, small_batches
+from ._common import free_name, place, small_batches
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -171,11 +171,10 @@ def verdict(d: Doc, cascade: Sequence[Rule]) -> str | None:
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, all columns as they were. One pass, no shuffle; later rules see only survivors."""
-    cascade = plan_cascade(docs, rules, sample_rows)
+    cascade, at = plan_cascade(docs, rules, sample_rows), place(docs, "text")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
             yield b.filter(pa.array([verdict(Doc(t), cascade) is None for t in b.column(at).to_pylist()], pa.bool_()))
 
     small_batches(docs.sparkSession)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -82,3 +83,31 @@ def test_against_brute_force():
         best = max(sum(a == b for a, b in zip(text[s : s + len(own)], ITEMS[i], strict=False)) for s in range(len(text) - len(own) + 1))
         found = [x for x in d.leaks(block, ids) if x.item == i]
         assert found and found[0].matched >= best - 3
+
+
+def test_text_that_repeats_itself_takes_no_product(spark):
+    """A sentence of 20 words, 500 times, and 200 items that hold it: each item leaks, and once."""
+    sentence, items = prose(20), [prose(15) for _ in range(200)]
+    block = d.TestBlock()
+    for i, w in enumerate(items):
+        block.add(i, w[:8] + sentence + w[8:])
+    block.close()
+    ids = np.array([block.vocabulary.get(w, 0) for w in sentence * 500], np.int64)
+    began, found = time.process_time(), list(d.leaks(block, ids))
+    assert [x.item for x in found] == list(range(200)) and min(x.matched for x in found) >= 20
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text", ["日本語の文章を書く練習問題です", "ข้อความภาษาไทยสำหรับทดสอบ"])
+def test_scripts_without_blanks(text):
+    block = d.TestBlock()
+    block.add(1, d.tokens(text))
+    block.close()
+    ids = np.array([block.vocabulary.get(w, 0) for w in d.tokens(f"前置き{text}。終わり")], np.int64)
+    assert [block.items[x.item][0] for x in d.leaks(block, ids)] == [1]
+
+
+def test_column_names_differ_in_case(spark, cases):
+    docs, bench = tables(spark, cases)
+    own = docs.withColumnRenamed("text", "TEXT").selectExpr("TEXT", "doc_id", "'clean' as last")
+    assert {r["doc_id"] for r in d.keep_clean(own, bench).collect()} == set(cases[1])

@@ -81,3 +81,9 @@ def test_cascade_orders_by_rejections_per_cost(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], KIND)
     assert q.keep_good(none).collect() == [] and q.judge(none).collect() == []
+
+
+def test_column_names_differ_in_case(spark):
+    rows = [("spam " * 100, 1, "one word after another makes up this short last column"), (" ".join(f"word{i}" for i in range(40)), 2, "")]
+    docs = spark.createDataFrame(rows, "TEXT string, doc_id long, last string")
+    assert [r["doc_id"] for r in q.keep_good(docs).collect()] == [2]
