@@ -1,9 +1,9 @@
 """Token counts under a unigram vocabulary, by dynamic programming on a trie of pre-tokens.
 
 A text's pre-tokens are its words with a word mark before each. Their best segmentation maximises the sum of the
-pieces' scores. A task puts the distinct pre-tokens of a batch that it has not seen yet into a trie (their sorted
-order is its depth-first order) and computes the forward scores of the program once for each node, so words share the
-work of their common prefixes; the node where a word ends stores its count of tokens. Texts then add up stored counts.
+pieces' scores. A task keeps one trie of all pre-tokens that it has met: a node holds the forward score and the count of
+tokens of the best segmentation up to it, computed once when the node is made, so all words that begin alike, in whatever
+batch they come, share that work; the node where a word ends is that word's count. Texts then add up stored counts.
 
 A character that no piece covers scores less than any piece and counts as its UTF-8 bytes. The vocabulary is a public
 tokenizer's; where its scores are ranks, the score of a piece is the log of a Zipf law of its rank. A vocabulary is
@@ -29,9 +29,9 @@ from ._common import small_batches
 MARK = "▁"
 #: Where the vocabulary is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Counts that a task keeps between batches; beyond, it starts anew, which costs time only.
-KEPT = 1_000_000
-#: Words longer than this are counted, but not kept.
+#: Words and trie nodes that a task keeps; beyond, it starts anew, which costs time only.
+KEPT, KEPT_NODES = 1_000_000, 500_000
+#: Characters of a word that become nodes; longer words are counted whole, but not kept.
 KEPT_CHARS = 64
 
 
@@ -61,60 +61,63 @@ class Vocabulary:
 
 
 class TrieCounter:
-    """Token counts of words; forward scores are kept along the trie's current path."""
+    """Token counts of words, by a trie that grows with the words it meets."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.counts: dict[str, int] = {}
-        self.nodes = 0  # trie nodes that were scored
-
-    def add(self, words: set[str]) -> dict[str, int]:
-        """Insert words that have no count yet; their counts."""
-        get, longest, unknown = self.v.scores.get, self.v.longest, self.v.unknown
-        out: dict[str, int] = {}
-        path, best, tokens = MARK, [0.0], [0]  # best[i], tokens[i]: forward score and count of path[:i]
-        self._extend(path, 0, best, tokens, get, longest, unknown)
-        for word in sorted(words):
-            w = MARK + word
-            shared = 0
-            for a, b in zip(path, w, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            self._extend(w, shared, best, tokens, get, longest, unknown)
-            path = w
-            out[word] = tokens[-1]
-        return out
-
-    def _extend(self, w: str, done: int, best: list, tokens: list, get, longest: int, unknown: float) -> None:  # noqa: ANN001
-        for end in range(done + 1, len(w) + 1):
-            top, count = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                if (s := get(w[start:end])) is not None and (z := best[start] + s) > top:
-                    top, count = z, tokens[start] + 1
-            if get(w[end - 1]) is None and (z := best[end - 1] + unknown) > top:
-                top, count = z, tokens[end - 1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
+        self.scored = 0  # nodes that were ever made, and so scored
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}  # words that end at a node, with its count
+        self.children: list[dict[str, int]] = [{}]
+        self.best, self.tokens = [0.0], [0]  # forward score and count of tokens of each node; the root's are nothing
+
+    def forward(self, w: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Of the node that ends at w[:end], from the scores and counts of all nodes before it."""
+        get = self.v.scores.get
+        top, count = -math.inf, 0
+        for start in range(max(0, end - self.v.longest), end):
+            if (s := get(w[start:end])) is not None and (z := best[start] + s) > top:
+                top, count = z, tokens[start] + 1
+        if get(w[end - 1]) is None and (z := best[-1] + self.v.unknown) > top:
+            top, count = z, tokens[-1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
+        return top, count
+
+    def insert(self, word: str) -> int:
+        """The word's count of tokens. The path of its known beginning is followed, and nodes are made for the rest."""
+        w, at = MARK + word, 0
+        best, tokens = [0.0], [0]
+        for i, c in enumerate(w):
+            if i < KEPT_CHARS and (down := self.children[at].get(c)) is not None:
+                at = down
+                top, count = self.best[at], self.tokens[at]
+            else:
+                top, count = self.forward(w, i + 1, best, tokens)
+                self.scored += 1
+                if i < KEPT_CHARS:
+                    self.children[at][c] = at = len(self.children)
+                    self.children.append({})
+                    self.best.append(top)
+                    self.tokens.append(count)
             best.append(top)
             tokens.append(count)
-        self.nodes += len(w) - done
+        return tokens[-1]
 
     def total(self, texts: Sequence[str | None]) -> tuple[list[int], list[int]]:
         """(words, tokens) of the texts."""
-        known, split = self.counts, [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = {w for ws in split for w in ws}
-        fresh = {w: w.decode("utf-8", "surrogatepass") for w in new}
-        counted = self.add(set(fresh.values()))
-        here = {w: counted[s] for w, s in fresh.items()}
-        known.update(here)
-        totals = [sum(map(known.__getitem__, ws)) for ws in split]
-        for w in here:
-            if len(w) > KEPT_CHARS:
-                del known[w]
-        return [len(ws) for ws in split], totals
+        n_words, n_tokens = [], []
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").split()
+            known, long = self.known, {}
+            for w in [w for w in set(words) if w not in known]:
+                count = self.insert(w.decode("utf-8", "surrogatepass"))
+                (known if len(w) <= KEPT_CHARS else long)[w] = count
+            n_words.append(len(words))
+            n_tokens.append(sum(map((known | long if long else known).__getitem__, words)))
+            if len(known) > KEPT or len(self.children) > KEPT_NODES:
+                self.clear()
+        return n_words, n_tokens
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,5 +131,5 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[key, "n_words", "n_tokens"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
     return rows.mapInArrow(run, rows.select(key).schema.add("n_words", "long").add("n_tokens", "long"))

@@ -50,7 +50,9 @@ def test_against_viterbi(vocabularies):
 def test_prefixes_are_shared(vocabularies):
     c = t.TrieCounter(vocabularies[0])
     c.total(["thea theb thec thead", "thea"])
-    assert c.nodes == 1 + 3 + 3 + 1  # the mark, t-h-e, a, b, c, and d under a
+    assert c.scored == 1 + 3 + 3 + 1  # the mark, t-h-e, a, b, c, and d under a
+    c.total(["theadx", "the"])  # another batch: only x is new, and the end at an inner node is its count
+    assert c.scored == 9 and c.known[b"the"] == c.tokens[c.children[c.children[c.children[c.children[0]["▁"]]["t"]]["h"]]["e"]]
 
 
 def test_table(spark, vocabularies, monkeypatch):
