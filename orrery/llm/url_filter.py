@@ -1,14 +1,20 @@
 """URL lists: a blocked Bloom filter passes possible hits to an exact hash join that removes false positives.
 
-A list entry is a host and a path: it fits the host itself and every subdomain, where the path starts with the
-entry's. A url's possible entries are its canonical keys (host suffix + path prefix), cut only to the shapes (number
-of labels, length of path) that the list has. Keys are looked up once for each distinct (host, path): those that the
-Bloom filter passes are joined with the list itself, so the filter saves work and never decides. Of several fitting
-rules the longest wins; a url that no rule fits is blocked if a listed entry fits it, else allowed.
+A list entry is a host and a path: it fits the host itself and every subdomain, where the path starts with the entry's.
+A url's possible entries are its canonical keys (a host suffix and a beginning of its path). Paths begin anywhere, so a
+url has many keys; but an entry's path, cut after its last ``/`` (its stem), begins there too, and a url has few stems.
+Each distinct (host, path) looks up its host suffixes with its stems: the keys that the Bloom filter of the entries'
+stems passes are joined with the list on suffix and stem, and the join's rows are held against the whole entry, so the
+filter saves work and never decides. Of several fitting rules the longest wins; a url that no rule fits is blocked if a
+listed entry fits it, else allowed.
+
+The filter's blocks are dealt into parts of at most ``MAX_PART_BYTES``. One part is broadcast; of more, each is built and
+asked in the task that its part's keys are shuffled to, so a list of any size has its filter and no worker holds it all.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits nothing and is allowed; equal
 rows get equal verdicts; urls of any length are read whole; an empty table or list gives an empty or all-allowed
-result. Only the named id and url columns of the input are read, so other columns cannot clash.
+result. An entry without a host fits nothing. Only the named id and url columns of the input are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +31,8 @@ from ._common import cut
 BITS_PER_KEY = 16
 PROBES = 7
 WORDS_PER_BLOCK = 8  # 512 bits, a cache line
-#: A filter beyond this is not broadcast; all keys then go to the exact join.
-MAX_FILTER_BYTES = 64 << 20
-#: Distinct (labels, path length) pairs of a list; a list of urls has at most labels x lengths of them.
-MAX_SHAPES = 20_000
+#: A part of the filter that one worker holds.
+MAX_PART_BYTES = 64 << 20
 #: A key that many urls share is spread over so many tasks.
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,87 +45,113 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def labels(host: Column) -> Column:
-    return F.size(F.split(host, r"\."))
-
-
 class BlockedBloom:
     """One 512-bit block a key; ``PROBES`` bits in it."""
 
     def __init__(self, words: np.ndarray):
         self.words = words  # (blocks, WORDS_PER_BLOCK) uint64
 
+    def add(self, h1: np.ndarray, h2: np.ndarray) -> BlockedBloom:
+        """``h1``, ``h2``: the keys' xxhash64 as int64, plain and with an extra 1. The block comes from the first."""
+        block = np.mod(h1, len(self.words))
+        for bit in self.bits(h2):
+            np.bitwise_or.at(self.words, (block, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        return self
+
     @staticmethod
-    def build(keys: DataFrame, n: int) -> BlockedBloom:
-        """``keys``: column key. The bits are set by a grouped OR; only the finished filter reaches the driver."""
-        blocks = max(1, -(-n * BITS_PER_KEY // 512))
-        bits = F.array(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 9 * i).bitwiseAND(511) for i in range(PROBES)])
-        rows = (
-            keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode(bits).alias("bit"))
-            .select("block", (F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
-            .groupBy("block", "word")
-            .agg(F.bit_or("mask").alias("mask"))
-            .toPandas()  # at most MAX_FILTER_BYTES / 8 rows
-        )
-        words = np.zeros((blocks, WORDS_PER_BLOCK), np.uint64)
-        words[rows["block"], rows["word"]] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-        return BlockedBloom(words)
+    def bits(h2: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(PROBES):
+            yield (h2.view(np.uint64) >> np.uint64(9 * i)) & np.uint64(511)
 
     def passes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """``h1``, ``h2``: the keys' xxhash64 as int64, plain and with the extra 1."""
         block = np.mod(h1, len(self.words))
-        ok, bits = np.ones(len(h1), bool), h2.view(np.uint64)
-        for i in range(PROBES):
-            bit = (bits >> np.uint64(9 * i)) & np.uint64(511)
+        ok = np.ones(len(h1), bool)
+        for bit in self.bits(h2):
             ok &= (self.words[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
         return ok
 
 
-def possible_keys(urls: DataFrame, entries: DataFrame) -> DataFrame:
-    """(host, path, key) for all keys of a url that have the shape of an entry. ``urls``: host, path."""
-    shapes = entries.select(labels(F.col("host")).alias("labels"), F.length("path").alias("length")).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the list has more than {MAX_SHAPES} shapes of entries")
-    if not shapes:
-        return urls.select("host", "path", F.lit("").alias("key")).where(F.lit(False))
-    by_labels: dict[int, list[int]] = {}
-    for s in shapes:
-        by_labels.setdefault(s["labels"], []).append(s["length"])
-    at = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, sorted(ls))).alias("ls")) for n, ls in sorted(by_labels.items())])
-    return (
-        urls.where(F.col("host") != "")
-        .select("host", "path", F.explode(at).alias("s"))
-        .where(labels(F.col("host")) >= F.col("s.n"))
-        .select("host", "path", F.expr("substring_index(host, '.', -s.n)").alias("suffix"), F.explode("s.ls").alias("l"))
-        .where(F.length("path") >= F.col("l"))
-        .select("host", "path", F.concat("suffix", F.expr("substring(path, 1, l)")).alias("key"))
-    )
+def stem(path: Column) -> Column:
+    """The path up to its last ``/``, itself included; empty without one."""
+    return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
+
+
+def hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
+
+
+def stem_keys(urls: DataFrame, labels: int, depth: int) -> DataFrame:
+    """(host, path, suffix, stem) for the suffixes of a url's host and the stems of its path, as far as entries have so
+    many labels and slashes. ``urls``: host, path."""
+    names, parts = F.split("host", r"\."), F.split("path", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda i: F.array_join(F.slice(names, -i, i), "."))
+    stems = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(depth))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    each = urls.where(F.col("host") != "").select("host", "path", F.explode(suffixes).alias("suffix"))
+    return each.select("host", "path", "suffix", F.explode(stems).alias("stem"))
+
+
+def possible(keys: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """The rows of ``keys`` whose ``key`` a blocked Bloom filter of the entries' keys passes: all hits, and few others.
+    ``entries``: key, of which there are ``n`` different ones."""
+    blocks = max(1, -(-n * BITS_PER_KEY // 512))
+    parts = -(-blocks * 64 // MAX_PART_BYTES)
+    each = -(-blocks // parts)
+    columns = keys.columns
+    if parts == 1:
+        some = entries.select(*hashes(F.col("key"))).toPandas()  # at most MAX_PART_BYTES * 8 / BITS_PER_KEY keys
+        bloom = keys.sparkSession.sparkContext.broadcast(BlockedBloom(np.zeros((each, WORDS_PER_BLOCK), np.uint64)).add(some["h1"].to_numpy(np.int64), some["h2"].to_numpy(np.int64)))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h1, h2 = (b.column(i).to_numpy() for i in (len(columns), len(columns) + 1))
+                yield pa.RecordBatch.from_arrays(b.columns[:-2], names=columns).filter(pa.array(bloom.value.passes(h1, h2)))
+
+        return keys.select(*columns, *hashes(F.col("key"))).mapInArrow(probe, keys.schema)
+    part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(parts)).cast("int").alias("part")
+    salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+    listed = entries.select(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("asked"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in keys.schema], *hashes(F.col("key")))
+    asked = keys.select(part, salt, F.lit(1).alias("asked"), *columns, *hashes(F.col("key")))
+    by = ["part", "salt"]  # a hot key's urls meet its part in several tasks
+    both = listed.unionByName(asked).repartition(parts * SALTS, *by).sortWithinPartitions(*by, "asked")  # entries come first
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bloom = None, BlockedBloom(np.zeros((0, WORDS_PER_BLOCK), np.uint64))
+        for b in batches:
+            of, asked = b.column(0).to_numpy() * np.int64(SALTS) + b.column(1).to_numpy(), b.column(2).to_numpy() == 1
+            h1, h2 = (b.column(i).to_numpy() for i in (len(columns) + 3, len(columns) + 4))
+            ok = np.zeros(b.num_rows, bool)
+            for p in np.unique(of):  # in the order of the rows
+                if p != now:
+                    now, bloom = p, BlockedBloom(np.zeros((each, WORDS_PER_BLOCK), np.uint64))
+                bloom.add(h1[(of == p) & ~asked], h2[(of == p) & ~asked])
+                ok[(of == p) & asked] = bloom.passes(h1[(of == p) & asked], h2[(of == p) & asked])
+            yield pa.RecordBatch.from_arrays([b.column(i + 3) for i in range(len(columns))], names=columns).filter(pa.array(ok))
+
+    return both.mapInArrow(sift, keys.schema)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, host, path, rule, verdict for every row. ``rules``: host, path, verdict; ``listed``: host, path."""
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{key}`"), host.alias("host"), path.alias("path"))
     entries = cut(
         rules.select("host", "path", "verdict")
         .unionByName(listed.select("host", "path", F.lit(None).cast("string").alias("verdict")))
-        .select("host", "path", F.concat("host", "path").alias("key"), "verdict")
+        .where("host <> ''")
+        .select(F.col("host").alias("suffix"), stem(F.col("path")).alias("stem"), F.col("path").alias("entry"), "verdict")
         .distinct()
     )
-    n = entries.count()
-    hits = possible_keys(rows.select("host", "path").distinct(), entries)
-    if n * BITS_PER_KEY // 8 <= MAX_FILTER_BYTES:
-        bloom = spark.sparkContext.broadcast(BlockedBloom.build(entries.select("key").distinct(), n))
-
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.loc[bloom.value.passes(b["h1"].to_numpy(), b["h2"].to_numpy()), ["host", "path", "key"]]
-
-        hashed = hits.select("host", "path", "key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
-        hits = hashed.mapInPandas(probe, "host string, path string, key string")
-    salted = entries.select("key", "verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    fits = hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    keyed = lambda df: df.withColumn("key", F.concat("suffix", "stem"))  # noqa: E731  (a stem is empty or begins with /)
+    stems = keyed(entries.select("suffix", "stem").distinct())
+    n, labels, depth = stems.agg(F.count(F.lit(1)), F.max(F.size(F.split("suffix", r"\."))), F.max(F.size(F.split("stem", "/")) - 1)).first()
+    hits = possible(keyed(stem_keys(rows.select("host", "path").distinct(), labels or 1, depth or 0)), stems, n)
+    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = (
+        hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["suffix", "stem", "salt"])
+        .where(F.startswith("path", F.col("entry")))
+        .select("host", "path", F.concat("suffix", "entry").alias("key"), "verdict")
+    )
     best = fits.groupBy("host", "path").agg(
         F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("best"),
     )

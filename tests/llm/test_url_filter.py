@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-import numpy as np
+import pytest
 
 from orrery.llm import url_filter as u
 
@@ -48,18 +48,26 @@ def test_without_a_filter_or_lists(spark, monkeypatch):
     rules, listed = spark.createDataFrame(RULES, "host string, path string, verdict string"), spark.createDataFrame(LISTED, "host string, path string")
     assert {r["verdict"] for r in u.judge_urls(pages, rules.limit(0), listed.limit(0)).collect()} == {"allow"}
     assert u.judge_urls(pages.limit(0), rules, listed).collect() == []
-    monkeypatch.setattr(u, "MAX_FILTER_BYTES", 0)
+    monkeypatch.setattr(u, "MAX_PART_BYTES", 64)  # many parts of a block each
     assert Counter(map(tuple, u.judge_urls(pages, rules, listed).collect())) == Counter((i, *judge(x)) for i, x in enumerate(urls()))
 
 
-def test_bloom(spark):
-    from pyspark.sql import functions as F
-
-    keys = spark.range(4000).select(F.concat(F.lit("host/"), "id").alias("key"))
-    bloom = u.BlockedBloom.build(keys.limit(2000).cache(), 2000)
-    both = lambda df: df.select(F.xxhash64("key").alias("a"), F.xxhash64("key", F.lit(1)).alias("b")).toPandas()
-    listed = both(keys.where("cast(substring(key, 6) as long) < 2000"))
-    others = both(keys.where("cast(substring(key, 6) as long) >= 2000"))
-    n = int(bloom.passes(listed["a"].to_numpy(np.int64), listed["b"].to_numpy(np.int64)).sum())
-    assert n == 2000
-    assert bloom.passes(others["a"].to_numpy(np.int64), others["b"].to_numpy(np.int64)).mean() < 0.02
+@pytest.mark.parametrize("most", [64 << 20, 512], ids=["one part", "many parts"])
+def test_a_list_of_thousands(spark, monkeypatch, most):
+    """The filter passes every listed key and few others, and the verdicts are those of sets."""
+    monkeypatch.setattr(u, "MAX_PART_BYTES", most)
+    rng = random.Random(2)
+    listed = [(f"{rng.choice('abc')}.site{i}.com", f"/p{i % 7}/") for i in range(3000)]
+    urls = [f"https://x.{h}{p}q?r" if i % 2 else f"https://{h}/other/" for i, (h, p) in enumerate(listed)] + ["https://site1.com/p1/", "https://com/"]
+    pages, known = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), set(listed)
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in u.judge_urls(pages, rules, spark.createDataFrame(listed, "host string, path string")).collect()}
+    for i, url in enumerate(urls):
+        host, path = split(url)
+        names = host.split(".")
+        hit = any((".".join(names[k:]), path[:j]) in known for k in range(len(names)) for j in range(len(path) + 1))
+        assert got[i] == ("block" if hit else "allow")
+    entries = spark.createDataFrame([(f"{h}{p}",) for h, p in known], "key string")
+    keys = spark.createDataFrame([(k,) for h, p in known for k in (f"{h}{p}", f"{h}/no/")], "key string")
+    passed = [r["key"] for r in u.possible(keys, entries, len(known)).collect()]
+    assert {f"{h}{p}" for h, p in known} <= set(passed) and len(passed) < 1.1 * len(known)
