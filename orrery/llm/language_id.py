@@ -10,9 +10,13 @@ way: over all rows, by how often the text agrees with them.
 The likelihood of a long text is tempered, as trigrams are not independent. Texts are read whole, once; what is joined
 and grouped is a few numbers a row.
 
+A row's numbers are fused in numpy, a batch at a time. Hosts' counts are looked up by host and one of ``SALTS`` salts,
+so that a host with a third of all rows is read in several tasks.
+
 Defined results: missing evidence (a null or empty text, no declaration, no address) counts for nothing, and a row
 without any gets the overall prior; equal rows get equal results; an empty table gives an empty result; languages are
-those of the labelled sample, which must have some. Only the named columns are read, so other columns cannot clash.
+those of the labelled sample, and where no text is labelled there are none: lang and confidence are null. More than
+``MAX_LANGUAGES`` labels raise an error. Only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +40,12 @@ FIT_ROWS = 400
 TEMPER = 150.0
 #: Pseudo-rows of the prior that a host, a domain, a declaration or a suffix is smoothed with.
 STRENGTH = 8.0
+#: Different labels that models are fitted for, at most: each has ``CELLS`` numbers in what is broadcast.
+MAX_LANGUAGES = 1000
+#: Places that a host's counts are read in.
+SALTS = 16
+#: How sure a declaration is of the language it names, where few texts bear it.
+NAMED = 0.7
 
 TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 ENTITY = re.compile(r"&#?\w+;")
@@ -79,7 +89,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     given = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"))
     given = given.select("lang", "t", *hashed)
     keys = cut(given.select("lang", "h", "g").distinct())
-    counts = F.broadcast(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    known = cut(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if known.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels; are these languages?")
+    counts = F.broadcast(known)
     # Of a large language, about twice the wanted texts are ranked (fewer than wanted has a chance below 1e-50 at 400).
     low = F.pmod(F.col("h"), F.lit(1 << 30))
     some = keys.join(counts, "lang").where((F.col("n") <= 2 * max(rows, 400)) | (low < F.lit(2.0 * max(rows, 400)) / F.col("n") * (1 << 30)))
@@ -100,8 +113,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     small_batches(labelled.sparkSession)
     found = picked.select("lang", "t").mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
-    if not languages:
-        raise ValueError("no labelled texts")
     c = np.full((CELLS, len(languages)), 0.05)
     np.add.at(c, (found["cell"].to_numpy(np.int64), np.searchsorted(languages, found["lang"].to_numpy(str))), found["n"].to_numpy(float))
     return Models(languages, np.log(c / c.sum(0)))
@@ -116,23 +127,40 @@ def declared_in(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
-def smooth(n: Column, prior: Column, strength: float = STRENGTH) -> Column:
-    """Counts (array) as probabilities, smoothed towards a prior (array)."""
-    total = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) + F.lit(strength)
-    return F.zip_with(n, prior, lambda x, p: (F.greatest(x, F.lit(0.0)) + p * strength) / total)
-
+def smooth(n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Counts (rows) as probabilities, smoothed towards a prior."""
+    n = np.maximum(n, 0.0)
+    return (n + prior * STRENGTH) / (n.sum(axis=-1, keepdims=True) + STRENGTH)
 
-def log_all(p: Column) -> Column:
-    return F.transform(p, lambda x: F.ln(x))
 
+def posterior(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
-def add_all(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
 
+@dataclass
+class Evidence:
+    """What rows are fused with: the overall prior, and by language the counts of texts that bear its declaration."""
 
-def posterior(logs: Column) -> Column:
-    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    languages: list[str]
+    base: np.ndarray  # (languages,)
+    borne: np.ndarray  # (languages, languages)
+
+    def fuse(self, logs: np.ndarray, soft: np.ndarray, host: Sequence[np.ndarray | None], domain: Sequence[np.ndarray | None], suffix: Sequence[np.ndarray | None], declared: Sequence[str | None]) -> np.ndarray:
+        """Posteriors (rows). ``soft``: the texts' own counts, 0 without a text, taken out of all that a row is told.
+        host, domain and suffix: their counts, or None."""
+        n = len(self.languages)
+        counts = lambda xs: (np.stack([np.zeros(n) if x is None else x for x in xs]), np.array([x is not None for x in xs])[:, None])
+        prior = np.broadcast_to(self.base, logs.shape)
+        for level in (suffix, domain, host):
+            known, there = counts(level)
+            prior = np.where(there, smooth(known - soft, prior), prior)
+        at = {x: i for i, x in enumerate(self.languages)}
+        said = np.array([at.get(x, -1) for x in declared])
+        named = np.full((n, n), (1 - NAMED) / max(1, n - 1))
+        np.fill_diagonal(named, NAMED)
+        told = np.log(smooth(self.borne[said] - soft, named[said]) / self.base)
+        return posterior(logs + np.log(prior) + np.where(said[:, None] < 0, 0.0, told))
 
 
 def sums(column: str, n: int) -> Column:
@@ -143,54 +171,56 @@ def identify(rows: DataFrame, models: Models, ids: Sequence[str], markup: Column
     """``rows``: the id columns, text, declared, host (null where unknown). Tags are stripped from texts where ``markup``
     holds (by default everywhere); others are read as they are. Appends lang, confidence
     and text_lang (what the text alone says, null without one)."""
-    n, languages = len(models.languages), F.array(*map(F.lit, models.languages))
+    n, languages = len(models.languages), models.languages
+    if not n:
+        none = F.lit(None)
+        return rows.select(*ids, none.cast("string").alias("lang"), none.cast("double").alias("confidence"), none.cast("string").alias("text_lang"))
     held = rows.sparkSession.sparkContext.broadcast(models)
     given = rows.select(*ids, F.col("declared").cast("string").alias("declared"), F.col("host").cast("string").alias("host"), (F.lit(True) if markup is None else markup).alias("_markup"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marked, texts = (b.column(b.num_columns - i).to_pylist() for i in (2, 1))
-            found = [held.value.evidence(visible(t) if m else t or "").tolist() for m, t in zip(marked, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:-2], "logs"])
+            logs = [held.value.evidence(visible(t) if m else t or "") for m, t in zip(marked, texts, strict=True)]
+            soft = [posterior(x).tolist() if x.min() < 0 else None for x in logs]
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([x.tolist() for x in logs], kind), pa.array(soft, kind)], names=[*b.schema.names[:-2], "logs", "soft"])
 
     small_batches(rows.sparkSession)
-    schema = given.drop("_markup", "_text").schema.add("logs", T.ArrayType(T.DoubleType()))
-    scored = cut(
-        given.mapInArrow(run, schema)
-        .withColumn("soft", F.when(F.array_min("logs") < 0, posterior(F.col("logs"))))
-        .withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)).otherwise(F.col("host")))
-        .withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
-    )
-    whole = scored.where("soft is not null").agg(sums("soft", n).alias("all")).select(
-        smooth(F.col("all"), F.array(*[F.lit(1.0 / n)] * n)).alias("base")
-    )
-    base = F.array(*[F.lit(float(x)) for x in whole.first()[0]])
-    none = F.array(*[F.lit(0.0)] * n)
-    own = F.coalesce("soft", none)
-    counted = scored.withColumn("own", own)
+    schema = given.drop("_markup", "_text").schema.add("logs", T.ArrayType(T.DoubleType())).add("soft", T.ArrayType(T.DoubleType()))
+    domain = F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)).otherwise(F.col("host"))
+    suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1))
+    scored = cut(given.mapInArrow(run, schema).withColumns({"_domain": domain, "_suffix": suffix}))
+    whole = np.array(scored.agg(sums("soft", n).alias("all")).first()[0], float)
     # One row a host: its own counts, its domain's and its suffix's. Rows without a host need no join.
-    hosts = counted.where("host is not null").groupBy("host", "domain", "suffix").agg(sums("own", n).alias("host_n"))
-    for column in ("domain", "suffix"):
+    hosts = scored.where("host is not null").groupBy("host", "_domain", "_suffix").agg(sums("soft", n).alias("host_n"))
+    for column in ("_domain", "_suffix"):
         hosts = hosts.join(hosts.where(f"{column} is not null").groupBy(column).agg(sums("host_n", n).alias(f"{column}_n")), column, "left")
-    hosts = cut(hosts.select("host", "host_n", "domain_n", F.coalesce("suffix_n", none).alias("suffix_n")))
-    placed = counted.where("host is not null").join(hosts, "host")
-    less = lambda c: F.zip_with(F.col(c), F.col("own"), lambda x, y: x - y)
-    suffix = F.when(F.col("suffix").isNull(), base).otherwise(smooth(less("suffix_n"), base))
-    placed = placed.withColumn("prior", smooth(less("host_n"), smooth(less("domain_n"), suffix))).drop("host_n", "domain_n", "suffix_n")
-    out = placed.unionByName(counted.where("host is null").withColumn("prior", base))
-    # A declaration tells by how much the texts that bear it differ from all; where few do, by the language it names.
+    hosts = cut(hosts.select("host", "host_n", "_domain_n", "_suffix_n"))
     # Declarations of other languages than the models' tell nothing.
-    borne = {r["declared"]: r["n"] for r in counted.where(F.col("declared").isin(models.languages)).groupBy("declared").agg(sums("own", n).alias("n")).collect()}
-    told = none
-    for i, x in enumerate(models.languages):
-        named = F.array(*[F.lit(0.7 if j == i else 0.3 / max(1, n - 1)) for j in range(n)])
-        seen = F.array(*[F.lit(float(c)) for c in borne.get(x, [0.0] * n)])
-        mine = smooth(F.zip_with(seen, F.col("own"), lambda a, c: a - c), named)
-        told = F.when(F.col("declared") == x, F.zip_with(mine, base, lambda a, q: F.ln(a / q))).otherwise(told)
-    logs = add_all(add_all(F.col("logs"), log_all(F.col("prior"))), told)
-    return out.withColumn("p", posterior(logs)).select(
-        *ids,
-        F.element_at(languages, F.array_position("p", F.array_max("p")).cast("int")).alias("lang"),
-        F.array_max("p").alias("confidence"),
-        F.when(F.col("soft").isNotNull(), F.element_at(languages, F.array_position("soft", F.array_max("soft")).cast("int"))).alias("text_lang"),
-    )
+    borne = np.zeros((n, n))
+    for r in scored.where(F.col("declared").isin(languages)).groupBy("declared").agg(sums("soft", n).alias("n")).collect():  # a row a language
+        borne[languages.index(r["declared"])] = r["n"]
+    told = rows.sparkSession.sparkContext.broadcast(Evidence(languages, smooth(whole, np.full(n, 1.0 / n)), borne))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            matrix = lambda c: np.array([[0.0] * n if x is None else x for x in at[c].to_pylist()])  # noqa: B023, E731
+            lists = lambda c: [None if x is None else np.array(x) for x in at[c].to_pylist()]  # noqa: B023, E731
+            soft = matrix("soft")
+            p = told.value.fuse(matrix("logs"), soft, *(lists(c) for c in ("host_n", "_domain_n", "_suffix_n")), at["declared"].to_pylist())
+            best = [languages[i] for i in p.argmax(axis=1)]
+            alone = [None if x is None else languages[int(np.argmax(x))] for x in at["soft"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(ids))), pa.array(best, pa.string()), pa.array(p.max(axis=1)), pa.array(alone, pa.string())], names=[*ids, "lang", "confidence", "text_lang"])
+
+    salt = F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int")
+    spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = scored.withColumn("_salt", salt).where("host is not null").join(spread, ["host", "_salt"])
+    none = F.lit(None).cast(T.ArrayType(T.DoubleType()))
+    columns = [*ids, "declared", "logs", "soft", "host_n", "_domain_n", "_suffix_n"]
+    alone = scored.where("host is null").withColumns({c: none for c in ("host_n", "_domain_n", "_suffix_n")})
+    out = rows.select(*ids).schema.add("lang", "string").add("confidence", "double").add("text_lang", "string")
+    return placed.select(*columns).unionByName(alone.select(*columns)).mapInArrow(fuse, out)

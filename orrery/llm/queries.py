@@ -25,17 +25,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     where = shared_path(spark, "warc")
-    index = warc.CaptureIndex.build(warc.write_archives(pages, where), where)
-    found = index.locate(pages.select(warc.sort_key(F.col("url"), F.col("page_id")).alias("k")))
-    out = cut(
-        warc.fetch(found, where, payload=False).select(
-            F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
-        )
-    )
     store, top = warc.open_folder(where)
-    store.create_dir(top)  # an empty table has written nothing
-    store.delete_dir(top)  # the digest is kept, the archives were written for it alone
-    return out
+    try:
+        index = warc.CaptureIndex.build(warc.write_archives(pages, where), where)
+        found = index.locate(pages.select(warc.sort_key(F.col("url"), F.col("page_id")).alias("k")))
+        got = warc.fetch(found, where, payload=False)
+        return cut(got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:  # the digest is kept, the archives were written for it alone
+        store.create_dir(top)  # an empty table has written nothing
+        store.delete_dir(top)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, model: str = token_counts.MODEL) -> DataFrame:
@@ -65,7 +63,9 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Sites whose pages are blocked where no rule says otherwise.
+#: Sites whose pages are blocked where no rule says otherwise. Beside them the list has the canonical url (host and
+#: path) of each page that holds this mark of junk: thousands in the larger tables.
+JUNK = "***"
 LISTED = [
     ("ads-track.example.org", "/"),
     ("adult-x.example.net", "/"),
@@ -78,16 +78,19 @@ LISTED = [
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"select * from values {', '.join(map(str, RULES))} as t(host, path, verdict)")
-    listed = spark.sql(f"select * from values {', '.join(map(str, LISTED))} as t(host, path)")
-    return url_filter.judge_urls(read(spark, sf_dir, "pages"), rules, listed)
+    pages = read(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    junk = pages.where(F.contains("html", F.lit(JUNK))).select(host.alias("host"), path.alias("path")).distinct()
+    listed = spark.sql(f"select * from values {', '.join(map(str, LISTED))} as t(host, path)").unionByName(junk)
+    return url_filter.judge_urls(pages, rules, listed)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by all evidence; documents by text, source (as host) and declared language. Either id is null in the
-    other's rows. The models learn from documents' declared languages."""
+    """Pages by all evidence; documents by text and source (as host). Either id is null in the other's rows. The models
+    learn from documents' ``lang``, which is therefore no evidence of a document's own language here."""
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
     none = F.lit(None).cast("long")
-    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("markup")).unionByName(
+    rows = docs.select("doc_id", none.alias("page_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("markup")).unionByName(
         pages.select(
             none.alias("doc_id"), "page_id", F.col("html").alias("text"), language_id.declared_in(F.col("html")).alias("declared"), language_id.host_of(F.col("url")).alias("host"),
             F.lit(True).alias("markup"),
@@ -151,17 +154,19 @@ select page_id, payload_bytes, payload_digest,
 from g
 """,
     "op6_url_filter": f"""
-with list(lhost, lpath, verdict) as (values {_LIST}),
-u as (select row_number() over () as r, page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+with named(lhost, lpath, verdict) as (values {_LIST}),
+u as (select row_number() over () as r, page_id, contains(html, '{JUNK}') as junk, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 p as (
-    select r, page_id, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+    select r, page_id, junk, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
         translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from u
+), list as (
+    select * from named union all select distinct host, path, null from p where junk and host <> ''
 ), fits as (
     select r, lhost || lpath as key, verdict from p join list
     on (host = lhost or ends_with(host, '.' || lhost)) and starts_with(path, lpath)
 ), best as (
-    select r, max_by(key, len(key)) filter (verdict is not null) as rule,
-        max_by(verdict, len(key)) filter (verdict is not null) as verdict from fits group by r
+    select r, arg_max(key, len(key)) filter (verdict is not null) as rule,
+        arg_max(verdict, len(key)) filter (verdict is not null) as verdict from fits group by r
 )
 select page_id, host, path, rule, coalesce(best.verdict, case when best.r is not null then 'block' end, 'allow') as verdict
 from p left join best using (r)

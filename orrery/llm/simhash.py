@@ -50,6 +50,8 @@ SHARD, PART, PART_BYTES = 128, 4096, 64 << 20
 BROADCAST_BYTES, NODE_BYTES = 64 << 20, 48
 #: A component that many fingerprints look up is read in so many places.
 SALTS = 16
+#: A fingerprint that more than one in so many rows has is hot; there are fewer than so many.
+HOT = 1000
 #: Questions that a task asks broadcast trees at a time.
 ASKED = 1 << 16
 #: Of keep_one: words of a shingle, similarity, radius; bands of so many minima of a text's shingles.
@@ -355,14 +357,18 @@ def similar_links(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``key``, fingerprint (16 hex digits), component_id (the smallest key in reach) of every row."""
     rows = cut(fingerprints(docs, key, text, width))
-    each = rows.groupBy("fp").agg(F.min(key).alias("least"))
+    each = rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
     joined = components(links(each, radius))
     linked = cut(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(each.withColumnRenamed("fp", "node"), "node"))
     # Only linked fingerprints look up their component, one of a few salts of it: a large one is read by several tasks.
     tops = linked.groupBy("root").agg(F.min("least").alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     of = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"]).select(F.col("node").alias("fp"), "top")
-    named = each.join(of, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
-    return rows.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut(each.join(of, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"), "n"))
+    # Fingerprints that many rows share are broadcast, at most ``HOT`` of them; rows of the others meet theirs by a shuffle.
+    hot = F.col("n") * HOT > rows.count()
+    known, others = F.broadcast(named.where(hot).drop("n")), named.where(~hot).drop("n")
+    out = rows.join(known, "fp").unionByName(rows.join(known, "fp", "left_anti").join(others, "fp"))
+    return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, least: float = SIMILAR, radius: int = WIDE) -> DataFrame:

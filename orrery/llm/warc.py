@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 from ._common import cut, small_batches
 
 DEDUP_BYTES = 1000
+#: Shared digests that are broadcast, at most (of some 100 bytes).
+BROADCAST_DIGESTS = 200_000
+#: Bytes of records that a task reads back.
+READ_BYTES = 32 << 20
 BLOCK_LINES = 2048
 #: A directory slice that is broadcast at a time; larger directories are searched slice by slice.
 MAX_DIRECTORY_BYTES = 64 << 20
@@ -137,7 +141,9 @@ def with_originals(pages: DataFrame, key: str, url: str, payload: str) -> DataFr
         .where((F.col("n") > 1) & F.col("keeper").isNotNull())
         .drop("n")
     )
-    return rows.join(shared, "digest", "left").drop("digest")
+    shared = cut(shared)
+    small = F.broadcast if shared.count() <= BROADCAST_DIGESTS else lambda df: df  # beyond, payloads are shuffled to theirs
+    return rows.join(small(shared), "digest", "left").drop("digest")
 
 
 def write_archives(pages: DataFrame, where: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -168,7 +174,7 @@ def write_archives(pages: DataFrame, where: str, key: str = "page_id", url: str
         if out is not None:
             out.close()
 
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     return cut(rows.select("id", "url", "payload", "keeper", "k").mapInArrow(write, "k string, id long, file string, start long, length long"))
 
 
@@ -234,8 +240,10 @@ class CaptureIndex:
         """All captures of the distinct keys ``k``: k, file, start, length. Each block is read in one task, once."""
         spark, where, found = keys.sparkSession, self.where, None
         keys = cut(keys.select("k").distinct())
-        parts = list(self.slices(most))
-        for i, part in enumerate(parts):
+        slices = self.slices(most)
+        part, first = next(slices, None), True
+        while part:  # this slice and the next are held
+            after = next(slices, None)
             held = spark.sparkContext.broadcast(part)
 
             def to_block(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -245,12 +253,13 @@ class CaptureIndex:
                     yield pd.DataFrame({"k": b["k"], "file": [x[1] for x in at], "start": [x[2] for x in at], "length": [x[3] for x in at]})
 
             own = keys
-            if i:
+            if not first:
                 own = own.where(F.col("k") >= part[0][0].decode("utf-8", "surrogatepass"))
-            if i + 1 < len(parts):
-                own = own.where(F.col("k") < parts[i + 1][0][0].decode("utf-8", "surrogatepass"))
+            if after:
+                own = own.where(F.col("k") < after[0][0].decode("utf-8", "surrogatepass"))
             at = own.mapInPandas(to_block, "k string, file string, start long, length long")
             found = at if found is None else found.unionByName(at)
+            part, first = after, False
         kind = "k string, file string, start long, length long"
         if found is None:
             return spark.createDataFrame([], kind)
@@ -300,7 +309,11 @@ def fetch(captures: DataFrame, where: str, payload: bool = True) -> DataFrame:
         if f is not None:
             f.close()
 
-    small_batches(captures.sparkSession, 200)
+    spark = captures.sparkSession
+    small_batches(spark)
+    captures = cut(captures.select("file", "start", "length"))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))  # by the records' bytes, not by the index's
     kind = "id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
-    near = captures.repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    near = captures.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
     return near.select("file", "start", "length").mapInPandas(pull, kind + (", payload binary" if payload else ""))

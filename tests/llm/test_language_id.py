@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -58,8 +59,58 @@ def test_equal_rows_and_empty_tables(spark, models):
     docs = spark.createDataFrame(rows, KIND)
     assert len(set(lid.identify(docs, models, ["doc_id"]).collect())) == 1
     assert lid.identify(docs.limit(0), models, ["doc_id"]).collect() == []
-    with pytest.raises(ValueError):
-        lid.fit(spark.createDataFrame([], "text string, lang string"))
+
+
+def test_without_labels_there_are_no_languages(spark):
+    none = lid.fit(spark.createDataFrame([], "text string, lang string"))
+    docs = spark.createDataFrame([(1, "the and of", "en", "h.example.com"), (None, None, None, None)], KIND)
+    got = {tuple(r) for r in lid.identify(docs, none, ["doc_id"]).collect()}
+    assert got == {(1, None, None, None), (None, None, None, None)}
+
+
+def plainly(models, rows):
+    """Brute force: lang and confidence of rows (id, text, declared, host), by loops over lists of numbers."""
+    n, strength = len(models.languages), lid.STRENGTH
+    logs = [list(models.evidence(lid.visible(t))) for _, t, _, _ in rows]
+
+    def shares(xs):
+        e = [math.exp(x - max(xs)) for x in xs]
+        return [x / sum(e) for x in e]
+
+    soft = [shares(x) if min(x) < 0 else [0.0] * n for x in logs]
+    total = lambda some: [sum(soft[i][k] for i in some) for k in range(n)]
+    mixed = lambda counts, prior: [(max(c, 0.0) + p * strength) / (sum(max(x, 0.0) for x in counts) + strength) for c, p in zip(counts, prior, strict=True)]
+    base = mixed(total(range(len(rows))), [1 / n] * n)
+    hosts = [r[3] for r in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if "." in h else h
+    out = {}
+    for i, (key, _, declared, host) in enumerate(rows):
+        less = lambda some: [a - b for a, b in zip(total(some), soft[i], strict=True)]  # noqa: B023, E731
+        prior = base
+        if host is not None:
+            if "." in host:
+                end = host.split(".")[-1]
+                prior = mixed(less([j for j, h in enumerate(hosts) if h and "." in h and h.split(".")[-1] == end]), prior)
+            prior = mixed(less([j for j, h in enumerate(hosts) if h is not None and domain(h) == domain(host)]), prior)
+            prior = mixed(less([j for j, h in enumerate(hosts) if h == host]), prior)
+        odds = [a + math.log(p) for a, p in zip(logs[i], prior, strict=True)]
+        if declared in models.languages:
+            named = [lid.NAMED if g == declared else (1 - lid.NAMED) / (n - 1) for g in models.languages]
+            told = mixed(less([j for j, r in enumerate(rows) if r[2] == declared]), named)
+            odds = [a + math.log(p / q) for a, p, q in zip(odds, told, base, strict=True)]
+        p = shares(odds)
+        out[key] = (models.languages[p.index(max(p))], max(p))
+    return out
+
+
+def test_against_brute_force(spark, models):
+    rng = random.Random(8)
+    hosts = [None, "localhost", "a.example.de", "b.example.de", "c.example.fr", "x.other.fr", "y.other.com"]
+    rows = [(i, text(rng, rng.choice(list(WORDS)), rng.choice([0, 1, 3, 30])), rng.choice([None, "de", "fr", "xx"]), rng.choice(hosts)) for i in range(120)]
+    want, got = plainly(models, rows), found(spark, models, rows)
+    assert len(got) == len(rows)
+    for key, (lang, sure) in want.items():
+        assert got[key]["confidence"] == pytest.approx(sure, abs=1e-9) and got[key]["lang"] == lang
 
 
 def test_markup(spark):
