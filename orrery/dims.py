@@ -49,36 +49,38 @@ FAMILY_RHO = {
     "official": 0.35, "field": 0.22, "sensor": 0.10, "imagery": 0.10,
 }
 
-# Family, grade, credibility, strength of the prior. The names of source types are generic.
+# The public keys of source types, each with its family, grade, credibility and strength of the prior. They
+# equal those that records of such sources carry elsewhere, so that a user's types find their row.
 SOURCE_PROFILES = [
-    ("conflict_index", "wire", "B", 2, 40),
-    ("relief_index", "wire", "B", 2, 30),
-    ("coordination", "wire", "A", 2, 40),
-    ("network_radio", "broadcast", "B", 2, 30),
-    ("state_radio", "broadcast", "C", 3, 15),
+    ("acled", "wire", "B", 2, 40),
+    ("reliefweb", "wire", "B", 2, 30),
+    ("ocha", "wire", "A", 2, 40),
+    ("radio_okapi", "broadcast", "B", 2, 30),
+    ("rtnc", "broadcast", "C", 3, 15),
     ("community_radio", "broadcast", "C", 3, 10),
-    ("press_lead", "press", "B", 3, 20),
-    ("press_daily", "press", "C", 3, 12),
-    ("press_weekly", "press", "C", 3, 12),
+    ("actualite_cd", "press", "B", 3, 20),
+    ("7sur7", "press", "C", 3, 12),
+    ("politico_cd", "press", "C", 3, 12),
     ("press_other", "press", "D", 3, 8),
-    ("social_verified", "social", "C", 3, 8),
-    ("social_unverified", "social", "E", 4, 4),
-    ("social_page", "social", "E", 4, 4),
-    ("channel", "messaging", "D", 4, 6),
-    ("group_chat", "messaging", "D", 4, 5),
+    ("twitter_verified", "social", "C", 3, 8),
+    ("twitter_unverified", "social", "E", 4, 4),
+    ("facebook", "social", "E", 4, 4),
+    ("telegram", "messaging", "D", 4, 6),
+    ("whatsapp", "messaging", "D", 4, 5),
     ("ngo_field", "field", "B", 2, 20),
     ("civil_society", "field", "C", 3, 14),
     ("sms_gateway", "field", "D", 3, 6),
-    ("thermal", "sensor", "A", 2, 50),
+    ("firms", "sensor", "A", 2, 50),
     ("acoustic", "sensor", "B", 2, 25),
     ("telecom", "sensor", "A", 1, 45),
-    ("radar_optical", "imagery", "A", 1, 50),
-    ("aerial", "imagery", "A", 1, 45),
-    ("army", "official", "D", 3, 15),
-    ("mission", "official", "B", 2, 30),
-    ("provincial", "official", "C", 3, 18),
+    ("sentinel", "imagery", "A", 1, 50),
+    ("uas_isr", "imagery", "A", 1, 45),
+    ("fardc", "official", "D", 3, 15),
+    ("monusco", "official", "B", 2, 30),
+    ("gov_provincial", "official", "C", 3, 18),
     ("anonymous", "social", "F", 5, 2),
 ]
+#: The profile of a source type that has none.
 DEFAULT_SOURCE = "anonymous"
 # Probability of a reliability grade, and of a credibility.
 GRADE_P = {"A": 0.95, "B": 0.80, "C": 0.65, "D": 0.40, "E": 0.20, "F": 0.50}
@@ -99,8 +101,9 @@ PLACES = [
     ("Kestle", -0.10, 27.60, 15_000, 2.5, "village", "Westvale", ["kestle"]),
     ("Larch", 1.05, 27.40, 60_000, 3.5, "town", "Westvale", ["larch"]),
 ]
-RURAL_DENSITY = {"Northreach": 120.0, "Southreach": 110.0, "Eastmark": 65.0, "Westvale": 18.0}
-RURAL_DEFAULT = 25.0
+#: Persons per square km outside settlements, by invented province.
+RURAL_DENSITY = {"Northreach": 84.0, "Southreach": 52.0, "Eastmark": 37.0, "Westvale": 9.0}
+RURAL_DEFAULT = 30.0
 
 #: Invented points of interest: kind, name, lat, lon.
 POINTS = [
@@ -136,9 +139,9 @@ RINGS = [
 ]
 #: Invented lakes: name, lat, lon, radius in km.
 LAKES = [("Long Water", -2.0, 29.6, 40.0), ("Far Water", 2.1, 30.8, 30.0)]
-#: Boxes (south, north, west, east) of highland and forest.
-HIGHLAND = [(-2.2, -0.9, 28.6, 29.7), (1.5, 2.4, 30.2, 30.9)]
-FOREST = [(-2.2, 1.6, 26.0, 28.6), (0.9, 2.6, 28.0, 29.8)]
+#: Boxes (south, north, west, east) of highland and forest on the invented map: ridges along the roads, woods in the west.
+HIGHLAND = [(-1.3, -0.7, 29.15, 29.4), (-3.1, -2.6, 28.9, 29.3), (1.9, 2.8, 30.25, 30.75)]
+FOREST = [(-0.8, 0.7, 27.1, 28.3), (2.0, 3.4, 27.2, 28.9), (-3.8, -2.9, 27.3, 28.2)]
 
 #: Invented actors: name, side, habitual event types, aliases.
 ACTORS = [

@@ -13,29 +13,41 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 # Marker words of languages, in order of preference on ties.
 LANGUAGE_MARKERS = {
-    "fr": "le la les des dans selon vers avec ont ete sont entre apres contre ce cette au aux du pour par plus nuit matin soir hier".split(),
-    "sw": "wa ya na katika kwa walikuwa watu usiku asubuhi jana leo wamekufa mji vita askari risasi wanajeshi wengi habari".split(),
-    "ln": "na ya mpo bato mokolo lobi butu esika bakufi mingi likambo bitumba soda mboka esalemi".split(),
-    "en": "the and was were have been reported near after with clash killed civilians sources forces".split(),
-}
+    "fr": [
+        "le", "la", "les", "des", "dans", "selon", "vers", "avec", "ont", "ete", "sont", "entre", "apres", "contre", "ce", "cette", "au", "aux", "du", "pour", "par", "plus",
+        "nuit", "matin", "soir", "hier",
+    ],
+    "sw": [
+        "wa", "ya", "na", "katika", "kwa", "walikuwa", "watu", "usiku", "asubuhi", "jana", "leo", "wamekufa", "mji", "vita", "askari", "risasi", "wanajeshi", "wengi",
+        "habari",
+    ],
+    "ln": [
+        "na", "ya", "mpo", "bato", "mokolo", "lobi", "butu", "esika", "bakufi", "mingi", "likambo", "bitumba", "soda", "mboka", "esalemi",
+    ],
+    "en": [
+        "the", "and", "was", "were", "have", "been", "reported", "near", "after", "with", "clash", "killed", "civilians", "sources", "forces",
+    ],
+}
 # Words without meaning for retrieval.
-STOP_WORDS = (
-    "le la les un une des de du et ou en dans sur pour par avec sans que qui quoi quel quels quelle quelles est sont aux au ce ces "
-    "se sa son ses il elle ne pas plus the a an of in on for and or to is are what which how why main principaux principales comment pourquoi"
-).split()
+STOP_WORDS = [
+    "le", "la", "les", "un", "une", "des", "de", "du", "et", "ou", "en", "dans", "sur", "pour", "par", "avec", "sans", "que", "qui", "quoi", "quel", "quels", "quelle",
+    "quelles", "est", "sont", "aux", "au", "ce", "ces", "se", "sa", "son", "ses", "il", "elle", "ne", "pas", "plus", "the", "a", "an", "of", "in", "on", "for", "and", "or",
+    "to", "is", "are", "what", "which", "how", "why", "main", "principaux", "principales", "comment", "pourquoi",
+]
 # Cues of certainty, the first that occurs decides.
-DENIAL = (
-    "dement,dementi,nie,nient,rejette,rejettent,faux,infondee,infondees,aucune attaque,pas eu lieu,rumeur infondee,denies,denied,"
-    "anakanusha,si kweli"
-).split(",")
-HEDGE = (
-    "aurait,auraient,serait,seraient,pourrait,pourraient,presume,presumee,suppose,supposee,non confirme,non confirmee,non confirmes,"
-    "a confirmer,sous reserve,rumeur,rumeurs,bruit court,on parle de,alleged,allegedly,reportedly,unconfirmed,inasemekana,yasemekana,huenda"
-).split(",")
-ATTRIBUTION = (
-    "selon,d apres,affirme,affirment,declare,declarent,rapporte,rapportent,temoins,temoignage,sources locales,source locale,a indique,"
-    "ont indique,according to,said,kulingana na,alisema,walisema,vyanzo"
-).split(",")
+DENIAL = [
+    "dement", "dementi", "nie", "nient", "rejette", "rejettent", "faux", "infondee", "infondees", "aucune attaque", "pas eu lieu", "rumeur infondee", "denies", "denied",
+    "anakanusha", "si kweli",
+]
+HEDGE = [
+    "aurait", "auraient", "serait", "seraient", "pourrait", "pourraient", "presume", "presumee", "suppose", "supposee", "non confirme", "non confirmee", "non confirmes",
+    "a confirmer", "sous reserve", "rumeur", "rumeurs", "bruit court", "on parle de", "alleged", "allegedly", "reportedly", "unconfirmed", "inasemekana", "yasemekana",
+    "huenda",
+]
+ATTRIBUTION = [
+    "selon", "d apres", "affirme", "affirment", "declare", "declarent", "rapporte", "rapportent", "temoins", "temoignage", "sources locales", "source locale", "a indique",
+    "ont indique", "according to", "said", "kulingana na", "alisema", "walisema", "vyanzo",
+]
 
 
 def unmark(s: Column) -> Column:

@@ -57,6 +57,14 @@ def _near(words: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.min(F.struct("edits", "ord", "n")).alias("m")).select("word", "m.ord", "m.edits")
 
 
+def matches_in(texts: DataFrame, keys: DataFrame, words_col: str, fuzzy: bool = True) -> DataFrame:
+    """``longest_matches`` for texts whose rows may repeat or have null ids: all columns of ``texts`` but the words, and
+    the matches. Equal word arrays are searched once, under their hash, and every row gets the matches of its own."""
+    hashed = texts.withColumn("_h", F.struct(F.xxhash64(words_col), F.xxhash64(words_col, F.lit(1))))
+    once = hashed.groupBy("_h").agg(F.first(words_col).alias(words_col))
+    return hashed.drop(words_col).join(longest_matches(once, keys, "_h", words_col, fuzzy), "_h").drop("_h")
+
+
 def longest_matches(texts: DataFrame, keys: DataFrame, id_col: str, words_col: str, fuzzy: bool = True) -> DataFrame:
     """id, start, end (words, end exclusive), ord (the entity), score, phrase of every match.
 
@@ -70,9 +78,10 @@ def longest_matches(texts: DataFrame, keys: DataFrame, id_col: str, words_col: s
     owners = keys.groupBy("key").agg(F.min("ord").alias("ord")).withColumn("span", F.size(F.split("key", " ")))
     spans = owners.agg(F.sort_array(F.collect_set("span")).alias("spans"))  # one row: the different lengths of phrases
     rows = texts.select(F.col(id_col).alias("_id"), F.col(words_col).alias("_w")).where(F.size("_w") > 0)
-    placed = rows.crossJoin(F.broadcast(spans)).select("_id", "_w", F.explode("spans").alias("span")).where(F.col("span") <= F.size("_w"))
-    placed = placed.select("_id", "span", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - F.col("span"))).alias("start"))
-    phrases = placed.select("_id", "start", F.array_join(F.slice("_w", F.col("start") + 1, F.col("span")), " ").alias("key"))
+    starts = lambda n: F.when(n <= F.size("_w"), F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+    phrase = lambda n, i: F.struct(i.alias("start"), F.array_join(F.slice("_w", i + 1, n), " ").alias("key"))
+    each = F.flatten(F.transform("spans", lambda n: F.transform(starts(n), lambda i: phrase(n, i))))
+    phrases = rows.crossJoin(F.broadcast(spans)).select("_id", F.inline(each))  # one row of spans; a row leaves with its phrase alone
     hits = phrases.join(owners, "key").select("_id", "start", "span", "ord", F.lit(0).alias("edits"), F.col("key").alias("phrase"))
     if fuzzy:
         words = rows.select("_id", F.posexplode("_w").alias("start", "word"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators import spatial
 from .adapter import ev, sql, table, values
-from .views import query as _query
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,8 +22,6 @@ def query(oracle=None):
     return keep
 
 
-del _query
-
 
 def km(lat1, lon1, lat2, lon2):
     return (
@@ -125,18 +122,19 @@ def population_density(spark, d):
 
 @query(
     sql(
-        f"""{_PLACES}, pick as (select event_id, lat, lon, greatest(1.0e0, radius_km) as r, {_PROV} as prov from ev where event_id % 10 = 3),
+        f"""{_PLACES}, pick as (select event_id, lat, lon, greatest(1.0e0, radius_km) as r, {_PROV} as prov from ev ),
 ring as (select unnest([0, 1, 2, 3]) as i), az as (select unnest(range(8)) as k),
 s as (select event_id, r, prov, i, k, case when i = 0 then 1 else 8 end as n, lat + r * (i + 0.5e0) / 4 * cos(2 * pi() * k / 8) / 110.57e0 as la0,
     lon + r * (i + 0.5e0) / 4 * sin(2 * pi() * k / 8) / (111.32e0 * cos(radians(lat))) as lo0 from pick, ring, az where i > 0 or k = 0),
 q as (select event_id, r, i, k, n, prov, pop, radius, {km('la0', 'lo0', 'la', 'lo')} as km from s, places),
 dens as (select event_id, r, i, k, n, floor({_RURAL} + {_BELL} + 0.5e0) as dd from q group by event_id, r, i, k, n, prov),
 m as (select event_id, i, sum(dd) / n * r * r * pi() * (pow(i + 1, 2) - pow(i, 2)) / 16 as x from dens group by event_id, i, n, r)
-select event_id, cast(floor(sum(x) + 0.5e0) as bigint) as at_risk from m group by 1""".replace(" where event_id % 10 = 3", "")
+select event_id, cast(floor(sum(x) + 0.5e0) as bigint) as at_risk from m group by 1"""
     )
 )
 def population_at_risk(spark, d):
-    return ev(spark, d).select("event_id", spatial.population_at_risk(F.col("lat"), F.col("lon"), F.col("radius_km"), F.expr(_PROV)).alias("at_risk"))
+    rows = ev(spark, d).select("event_id", "lat", "lon", "radius_km", F.expr(_PROV).alias("province"))
+    return spatial.with_population_at_risk(rows, "at_risk").select("event_id", "at_risk")
 
 
 def _boxes(boxes):

@@ -31,7 +31,7 @@ _SAYS = """concat(description, case when event_id % 9 = 0 then ' Coups de feu' e
     case when event_id % 5 = 0 then '; match de football' else '' end, case when event_id % 4 = 1 then ' Selon la Mission' else '' end)"""
 _WHO = [a[0] for a in dims.ACTORS]
 _NAMES = [f"case when event_id % {n} = 0 then {w!r} end" for w, n in zip(_WHO, (3, 4, 5, 7, 2), strict=True)]
-_CUES = [(i, k, w, c, j) for i, (k, w, cues) in enumerate(rules.RULES) for j, c in enumerate(cues.split(","))]
+_CUES = [(i, k, w, c, j) for i, (k, w, cues) in enumerate(rules.RULES) for j, c in enumerate(cues)]
 _HABITS = [(i + 1, n, k, j) for i, (n, _, habits, _) in enumerate(dims.ACTORS) for j, k in enumerate(habits)]
 _SIDES = [(i, n, side) for i, (n, side, _, _) in enumerate(dims.ACTORS)]
 _VIOLENT = ", ".join(map(repr, rules.VIOLENT))
@@ -43,7 +43,7 @@ _VIOLENT = ", ".join(map(repr, rules.VIOLENT))
     case when event_id % 8 = 0 then 2 else 0 end as taken, event_id % 3 as hurt from ev),
 cue(i, kind, w, cue, j) as (values {values(_CUES)}), habit(i, name, kind, j) as (values {values(_HABITS)}), side(i, name, side) as (values {values(_SIDES)}),
 foe(p, q) as (values {values([x for p in dims.OPPOSED for x in (p, p[::-1])])}),
-calm(i, kind, cue) as (values {values([(i, k, c) for i, (k, cues) in enumerate(rules.SUPPRESSORS) for c in cues.split(',')])}), off(cue) as (values {values([(c,) for c in rules.OFF_TOPIC.split(',')])}),
+calm(i, kind, cue) as (values {values([(i, k, c) for i, (k, cues) in enumerate(rules.SUPPRESSORS) for c in cues])}), off(cue) as (values {values([(c,) for c in rules.OFF_TOPIC])}),
 hit as (select event_id, i, kind, w, arg_min(cue, j) as cue from said join cue on contains(f, cue) group by all),
 cut as (select distinct event_id, calm.i, kind from said join calm on contains(f, cue)),
 armed as (select s.event_id, count(side.name) filter (side <> 'civilian') as n from said s left join side on list_contains(who, side.name) group by 1),
@@ -70,10 +70,9 @@ from said left join t using (event_id) left join e using (event_id)"""
 def event_classes(spark, d):
     """The type that a report's words, actors and casualties speak for."""
     x = ev(spark, d).selectExpr("event_id", f"{_SAYS} as said", f"array_compact(array({', '.join(_NAMES)})) as who", "fatalities", "displaced", "case when event_id % 8 = 0 then 2 else 0 end as taken", "event_id % 3 as hurt")
-    c = rules.classify(text.fold_key(F.col("said")), F.col("who"), F.col("fatalities"), F.col("hurt"), F.col("taken"), F.col("displaced"))
-    kinds = F.transform("c.alts", lambda a: a["type"])
-    return x.select("event_id", c.alias("c")).select(
-        "event_id", F.col("c.type").alias("kind"), F.round("c.score", 6).alias("score"), F.array_join(kinds, ",").alias("alts"), F.array_join("c.evidence", ",").alias("evidence")
+    c = rules.classified(x, text.fold_key(F.col("said")), F.col("who"), F.col("fatalities"), F.col("hurt"), F.col("taken"), F.col("displaced"), "c")
+    return c.select(
+        "event_id", F.col("c.type").alias("kind"), F.round("c.score", 6).alias("score"), F.array_join("c.alts.type", ",").alias("alts"), F.array_join("c.evidence", ",").alias("evidence")
     )
 
 
@@ -83,9 +82,9 @@ def name_matches(spark, d):
     items = table(spark, d, "benchmark").select("item_id", text.tokens(text.fold_key(F.coalesce("text", F.lit("")))).alias("w"))
     keys = items.select(F.col("item_id").alias("ord"), "w", F.explode(F.array(F.lit(3), F.lit(2), F.lit(1))).alias("n")).where(F.size("w") >= F.col("n"))
     keys = keys.select("ord", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("key"))
-    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), text.tokens(text.fold_key(F.coalesce("text", F.lit("")))).alias("w"))
-    found = scanner.longest_matches(turns.groupBy("id").agg(F.max("w").alias("w")), keys, "id", "w")
-    return found.select("id.conv_id", "id.turn", "start", "end", F.col("ord").alias("item_id"), F.round("score", 6).alias("score"), "phrase")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", text.tokens(text.fold_key(F.coalesce("text", F.lit("")))).alias("w"))
+    found = scanner.matches_in(turns, keys, "w")
+    return found.select("conv_id", "turn", "start", "end", F.col("ord").alias("item_id"), F.round("score", 6).alias("score"), "phrase")
 
 
 @query()

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``. Where it is unset, a local folder on a local master; a cluster needs one that all share,
+    and its lack raises an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = Path(tempfile.mkdtemp(prefix="orrery-")).as_uri()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
