@@ -12,9 +12,9 @@ most, and their connected components are those of all links.
 such texts differ in up to ``WIDE`` bits, too many for blocks of bits to shard by. There a shard holds the texts that
 have a band of minima of their shingles' hashes in common, and its BK-tree links those within ``WIDE`` bits (here of
 fingerprints in which a shingle counts once, as in the similarity). What such links join is a loose group; inside one,
-texts within ``WIDE`` bits are compared on their whole sets of shingles, and that alone decides. So no link below
-``SIMILAR`` is taken; a pair at 0.8 is missed with a chance of about 0.5 % (0.2 % have no common band, 0.3 % differ in
-more bits), and more alike ones more rarely. A loose group too large for a task is dealt by its shards again.
+texts are compared on their whole sets of shingles, and that alone decides. So no link below ``SIMILAR`` is taken; two
+texts at 0.8 are in no common group with a chance of about 0.5 % at most (0.2 % have no common band, 0.3 % differ in more
+bits), and more alike ones more rarely. A loose group too large for a task is dealt by its shards again.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint 0 and links as any other (``keep_one``: all
 such texts are one group); a text shorter than a shingle is one shingle; equal rows share a component; a component's id
@@ -307,31 +307,32 @@ def with_sets(texts: DataFrame, width: int = WORDS) -> DataFrame:
     return texts.mapInArrow(run, texts.drop(texts.columns[-1]).schema.add("set", "binary"))
 
 
-def alike(x: dict[str, np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the sids of one task of ``deal`` (c, v, i, j, p, sid, fp, set) that links join: fingerprints within the
-    radius, and sets of the least similarity. Pairs that earlier links have joined are not compared."""
+def alike(x: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the sids of one task of ``deal`` (i, j, p, sid, set) whose sets have the least similarity. Common shingles
+    are counted through lists of the members that hold a shingle, so a text costs what it shares with others."""
     n, mine = len(x["sid"]), x["p"] == x["i"][0]
     of_tree = np.flatnonzero(mine)
     of_asked = of_tree if x["i"][0] == x["j"][0] else np.flatnonzero(~mine)
     if not len(of_tree) or not len(of_asked) or n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sets = [np.frombuffer(s, np.uint64) for s in x["set"]]
-    size, fp = np.array([len(s) for s in sets]), x["fp"].view(np.uint64)
-    known, of_member = np.unique(fp[of_tree], return_inverse=True)
-    order = np.argsort(of_member, kind="stable")
-    ends = np.searchsorted(of_member[order], np.arange(len(known) + 1))
-    trees = Trees.build(known, known.view(np.int64), np.zeros(len(known), np.int64))
+    size = np.array([len(s) for s in sets])
+    known, at = np.unique(np.concatenate([sets[m] for m in of_tree]), return_inverse=True)
+    holds = np.repeat(np.arange(len(of_tree)), size[of_tree])[np.argsort(at, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))])
     label = np.arange(n)
     for a in of_asked:
-        near = np.concatenate([m for _, m in trees.search(fp[a : a + 1], np.zeros(1, np.int64), radius)] or [np.empty(0, np.int64)])
-        others = of_tree[np.concatenate([order[ends[m] : ends[m + 1]] for m in near] or [np.empty(0, np.int64)])]
-        likely = (np.minimum(size[others], size[a]) >= least * np.maximum(size[others], size[a])) & (label[others] != label[a])
-        for b in others[likely]:
-            if label[a] == label[b]:
-                continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both >= least * max(1, size[a] + size[b] - both) - 1e-9:
-                label = merge(label, np.array([a]), np.array([b]))
+        if (label[of_tree] == label[a]).all():
+            continue
+        own = np.searchsorted(known, sets[a])
+        own = own[known[np.minimum(own, len(known) - 1)] == sets[a]] if len(known) else own
+        held = first[own + 1] - first[own]
+        each = np.arange(int(held.sum())) + np.repeat(first[own] - (np.cumsum(held) - held), held)
+        both = np.bincount(holds[each], minlength=len(of_tree))
+        close = of_tree[both >= least * np.maximum(1, size[a] + size[of_tree] - both) - 1e-9]
+        close = close[label[close] != label[a]]
+        if len(close):
+            label = merge(label, np.full(len(close), a), close)
     out = np.flatnonzero(label != np.arange(n))
     return x["sid"][out], x["sid"][label[out]]
 
@@ -350,8 +351,8 @@ def similar_links(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     large = close.where("m > 1").select(F.posexplode("bands").alias("c", "v"), "sid", "n")
     counts = large.groupBy("c", "v").agg(F.count(F.lit(1)).alias("in_shard"), F.sum("n").alias("shingles")).where("in_shard > 1")
     large = large.join(counts, ["c", "v"]).select("c", "v", "sid", tasks("in_shard", "shingles").alias("parts"))
-    placed = small.unionByName(large).join(sets_of(close).select("sid", "fp", "set"), "sid")
-    return in_tasks(deal(placed, "sid", F.col("parts")).drop("parts"), lambda x: alike(x, radius, least)).distinct()
+    placed = small.unionByName(large).join(sets_of(close), "sid")
+    return in_tasks(deal(placed, "sid", F.col("parts")).drop("parts"), lambda x: alike(x, least)).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -382,9 +383,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     def sets_of(some: DataFrame) -> DataFrame:
         """One row of each sid is read again, and more only where it repeats in full."""
-        asked = some.select("sid", "fp", F.col("least.k").alias("_k"), F.col("least.h").alias("_h"))
+        asked = some.select("sid", F.col("least.k").alias("_k"), F.col("least.h").alias("_h"))
         given = docs.select(k.alias("k"), h.alias("h"), F.col(f"`{text}`").alias("t"))
-        found = given.join(asked, given["k"].eqNullSafe(asked["_k"]) & (given["h"] == asked["_h"])).select("sid", "fp", "t")
+        found = given.join(asked, given["k"].eqNullSafe(asked["_k"]) & (given["h"] == asked["_h"])).select("sid", "t")
         return with_sets(found, width).dropDuplicates(["sid"])
 
     joined = components(similar_links(texts, sets_of, least, radius))
