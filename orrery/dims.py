@@ -101,6 +101,8 @@ PLACES = [
     ("Kestle", -0.10, 27.60, 15_000, 2.5, "village", "Westvale", ["kestle"]),
     ("Larch", 1.05, 27.40, 60_000, 3.5, "town", "Westvale", ["larch"]),
 ]
+#: Middles of the invented provinces: name, lat, lon, radius in km.
+PROVINCES = [("Northreach", -0.7, 29.1, 95.0), ("Southreach", -3.1, 28.9, 110.0), ("Eastmark", 2.3, 29.6, 130.0), ("Westvale", 0.9, 27.8, 120.0)]
 #: Persons per square km outside settlements, by invented province.
 RURAL_DENSITY = {"Northreach": 84.0, "Southreach": 52.0, "Eastmark": 37.0, "Westvale": 9.0}
 RURAL_DEFAULT = 30.0

@@ -37,11 +37,8 @@ _SIDES = [(i, n, side) for i, (n, side, _, _) in enumerate(dims.ACTORS)]
 _VIOLENT = ", ".join(map(repr, rules.VIOLENT))
 
 
-@query(
-    sql(
-        f"""said as (select event_id, {fold(_SAYS)} as f, list_filter([{', '.join(_NAMES)}], lambda x: x is not null) as who, coalesce(fatalities, 0) as dead, coalesce(displaced, 0) as moved,
-    case when event_id % 8 = 0 then 2 else 0 end as taken, event_id % 3 as hurt from ev),
-cue(i, kind, w, cue, j) as (values {values(_CUES)}), habit(i, name, kind, j) as (values {values(_HABITS)}), side(i, name, side) as (values {values(_SIDES)}),
+#: The classifier over said (event_id, f: the folded text, who, dead, moved, taken, hurt): t has kinds, e the cues.
+CLASSES = f"""cue(i, kind, w, cue, j) as (values {values(_CUES)}), habit(i, name, kind, j) as (values {values(_HABITS)}), side(i, name, side) as (values {values(_SIDES)}),
 foe(p, q) as (values {values([x for p in dims.OPPOSED for x in (p, p[::-1])])}),
 calm(i, kind, cue) as (values {values([(i, k, c) for i, (k, cues) in enumerate(rules.SUPPRESSORS) for c in cues])}), off(cue) as (values {values([(c,) for c in rules.OFF_TOPIC])}),
 hit as (select event_id, i, kind, w, arg_min(cue, j) as cue from said join cue on contains(f, cue) group by all),
@@ -62,7 +59,13 @@ gone as (select event_id from said join off on contains(f, cue) where event_id n
 k as (select event_id, kind, round(sum(w), 9) as s, min(o) as o from point where not (kind in ({_VIOLENT}) and event_id in (select event_id from gone)) group by 1, 2),
 r as (select *, exp(s / 2) / sum(exp(s / 2)) over (partition by event_id) as share, row_number() over (partition by event_id order by s desc, o) as n from k),
 t as (select event_id, max(kind) filter (n = 1) as kind, max(share) filter (n = 1) as share, string_agg(kind, ',' order by n) filter (n between 2 and 4) as alts from r group by 1),
-e as (select event_id, string_agg(cue, ',' order by i) as cues from hit group by 1)
+e as (select event_id, string_agg(cue, ',' order by i) as cues from hit group by 1)"""
+
+
+@query(
+    sql(
+        f"""said as (select event_id, {fold(_SAYS)} as f, list_filter([{', '.join(_NAMES)}], lambda x: x is not null) as who, coalesce(fatalities, 0) as dead, coalesce(displaced, 0) as moved,
+    case when event_id % 8 = 0 then 2 else 0 end as taken, event_id % 3 as hurt from ev), {CLASSES}
 select event_id, coalesce(kind, 'unknown') as kind, round(coalesce(share, 0), 6) as score, coalesce(alts, '') as alts, case when kind is null then '' else coalesce(cues, '') end as evidence
 from said left join t using (event_id) left join e using (event_id)"""
     )
