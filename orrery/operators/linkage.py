@@ -1,13 +1,14 @@
 """Links between reports of one incident: blocking, pair scores, review pairs, and clusters of limited extent.
 
 A record table has id, ts, lat, lon (or nulls), radius_km, time_uncertainty_min, event_type, actors, description,
-fatalities, source_key. Every stage is a join or a grouping; only the greedy union inside a connected component is
-sequential by definition, and runs per component, whose links all lie within the limits of blocking.
+fatalities, source_key. Every stage is a join or a grouping; the greedy union of strong links runs in a task for each
+connected component, and in rounds of joins for a component too large for one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from .. import dims
 from ..functions.geo import haversine_km
 from ..functions.stats import casualty_similarity, place_similarity, time_similarity
 from ..functions.text import dice, fold_key, jaccard, trigram_codes
+from ..storage import cut
 from .components import components
 
 # Cell in degrees, bucket in hours, weights of a pair's parts, thresholds, and limits of a cluster.
@@ -26,6 +28,8 @@ MERGE, REVIEW = 0.62, 0.46
 SPAN_H, DIAMETER_KM = 18, 35
 #: Candidates of a record, the nearest in time: a limit that the linker has as a feature. None: no limit.
 MOST = 80
+#: Strong links of a component that one task unites.
+IN_TASK = 50_000
 
 
 def bucket(ts: Column) -> Column:
@@ -49,12 +53,42 @@ def _keys(records: DataFrame, asked: bool) -> DataFrame:
 
 
 def candidates(records: DataFrame, most: int | None = MOST) -> DataFrame:
-    """Pairs (a < b) that share a key in neighbouring buckets, kept if it is among the nearest in time of either."""
+    """Pairs (a < b) that share a key in neighbouring buckets, kept if it is among the nearest in time of either.
+
+    A block's pairs are formed in full while it has at most two times ``most`` records. In a fuller one a record meets the
+    nearest ``most`` on either side in time alone, by their places in the block's order: its pairs grow with the block's
+    size, not with its square."""
     found = _keys(records, False).select(F.col("id").alias("c"), F.col("ts").alias("t"), "key", "bucket")
-    pairs = _keys(records, True).join(found, ["key", "bucket"]).where("id <> c").select("id", "c", F.abs(F.timestamp_diff("MICROSECOND", "ts", "t")).alias("gap")).distinct()
-    if most is not None:
-        pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("gap", "c"))).where(F.col("n") <= most)
-    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    asked, block = _keys(records, True), ["key", "bucket"]
+    gap = F.abs(F.timestamp_diff("MICROSECOND", "ts", "t")).alias("gap")
+    if most is None:
+        pairs = asked.join(found, block).where("id <> c").select("id", "c", gap).distinct()
+        return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    full = cut(found.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * most).select(*block))
+    if full.isEmpty():
+        pairs = asked.join(found, block).where("id <> c").select("id", "c", gap)
+    else:
+        pairs = asked.join(found.join(full, block, "left_anti"), block).where("id <> c").select("id", "c", gap)
+        pairs = pairs.unionByName(_nearest(asked.join(full, block, "left_semi"), found.join(full, block, "left_semi"), most).select("id", "c", gap))
+    ranked = pairs.distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("gap", "c"))).where(F.col("n") <= most)
+    return ranked.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def _nearest(asked: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """id, ts, c, t: of each block, the ``most`` found records before an asked one in time, and as many not before it; of
+    equal times, those of the smallest ids. Blocks are ordered by windows, which spill; no list of a block is built."""
+    block = ["key", "bucket"]
+    rows = found.select(*block, F.col("t").alias("ts"), F.col("c").alias("id"), F.lit(1).alias("kind")).unionByName(asked.select(*block, "ts", "id", F.lit(0).alias("kind")))
+    order = Window.partitionBy(*block).orderBy("ts", "kind", "id")
+    placed = rows.withColumn("n", F.sum("kind").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("kind").over(Window.partitionBy(*block)))
+    own = placed.where("kind = 1").withColumns({"low": F.min("n").over(Window.partitionBy(*block, "ts")), "high": F.max("n").over(Window.partitionBy(*block, "ts"))})
+    # Places from the start; and from the end, where of equal times the smallest id still comes first.
+    places = F.array(F.struct(F.lit("after").alias("side"), F.col("n").alias("at")), F.struct(F.lit("before").alias("side"), (F.col("all") - F.col("high") + F.col("n") - F.col("low") + 1).alias("at")))
+    there = own.select(*block, F.col("id").alias("c"), F.col("ts").alias("t"), F.inline(places))
+    slots = lambda start: F.when(start < F.col("all"), F.sequence(start + 1, F.least(F.col("all"), start + most + 1))).otherwise(F.array().cast("array<bigint>"))  # noqa: E731  (one more: its own)
+    wanted = F.array(F.struct(F.lit("after").alias("side"), slots(F.col("n")).alias("ats")), F.struct(F.lit("before").alias("side"), slots(F.col("all") - F.col("n")).alias("ats")))
+    each = placed.where("kind = 0").select(*block, "id", "ts", F.inline(wanted)).select(*block, "id", "ts", "side", F.explode("ats").alias("at"))
+    return each.join(there, [*block, "side", "at"]).where("id <> c").select("id", "ts", "c", "t")
 
 
 def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -93,12 +127,13 @@ def _apart_km(p: tuple, q: tuple) -> float:
 
 
 def unite(links: pd.DataFrame) -> pd.DataFrame:
-    """Unions of one component, the strongest links first, as far as span and diameter allow: a refused link changes
+    """Unions of whole components, the strongest links first, as far as span and diameter allow: a refused link changes
     nothing. ``links``: a, b, score, and of either end its minute and position (NaN where unknown)."""
     group: dict = {}
     for s in "ab":
         for k, t, la, lo in zip(links[s], links[f"{s}_min"], links[f"{s}_lat"], links[f"{s}_lon"], strict=True):
-            group.setdefault(k, [[k], t, t, set() if la != la or lo != lo else {(la, lo)}])
+            if k not in group:
+                group[k] = [[k], t, t, set() if la != la or lo != lo else {(la, lo)}]
     for a, b in links.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
         x, y = group[a], group[b]
         if x is y or max(x[2], y[2]) - min(x[1], y[1]) > SPAN_H * 60:
@@ -111,17 +146,71 @@ def unite(links: pd.DataFrame) -> pd.DataFrame:
         x[3] |= y[3]
         for k in y[0]:
             group[k] = x
-    return pd.DataFrame({"id": list(group), "cluster_id": [min(g[0]) for g in group.values()]})
+    least = {id(g): min(g[0]) for g in group.values()}
+    return pd.DataFrame({"id": list(group), "cluster_id": [least[id(g)] for g in group.values()]})
 
 
-def clusters(scored: DataFrame, records: DataFrame, merge: float = MERGE) -> DataFrame:
-    """id, cluster_id (the smallest id of the cluster) of every record."""
-    strong = scored.where(F.col("score") >= merge)
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``unite`` for rows that come sorted by root: all components that are whole at once, the last one when it is."""
+    left: list[pd.DataFrame] = []
+    for x in batches:
+        if not len(x):
+            continue
+        last = x["root"].iloc[-1]
+        rest = (x["root"] == last).to_numpy()
+        if rest.all() and (not left or left[-1]["root"].iloc[-1] == last):
+            left.append(x)
+            continue
+        yield unite(pd.concat([*left, x[~rest]], ignore_index=True))
+        left = [x[rest]]
+    if left:
+        yield unite(pd.concat(left, ignore_index=True))
+
+
+def in_rounds(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """id, cluster_id: the same unions without a task that holds a component. ``links``: a, b, score; ``ends``: id, min,
+    lat, lon. In each round every cluster names its strongest link, and the links that both their clusters name are
+    united or refused: no stronger link touches either cluster, so these are the decisions of the one order. Stronger
+    links than all beside them exist in every round, so rounds end; each is a few joins."""
+    at = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
+    now = cut(links.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("score", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("rank")))
+    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    of = cut(nodes.join(ends, "id").select("id", F.col("id").alias("cluster_id"), "min", at.alias("at")))
+    far = lambda p, q: haversine_km(p["lat"], p["lon"], q["lat"], q["lon"]) > DIAMETER_KM
+    while not now.isEmpty():
+        sides = now.select(F.col("ca").alias("c"), "rank").unionByName(now.select(F.col("cb").alias("c"), "rank"))
+        named = sides.groupBy("c").agg(F.max("rank").alias("rank"))
+        first = lambda c: named.select(F.col("c").alias(c), "rank")  # noqa: B023, E731
+        chosen = now.join(first("ca"), ["ca", "rank"], "left_semi").join(first("cb"), ["cb", "rank"], "left_semi").select("ca", "cb")
+        held = of.groupBy("cluster_id").agg(F.min("min").alias("from"), F.max("min").alias("to"), F.collect_set("at").alias("at"))  # within the diameter, distinct
+        side = lambda c: held.select(F.col("cluster_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("from", "to", "at")])  # noqa: B023, E731
+        both = chosen.join(side("ca"), "ca").join(side("cb"), "cb")
+        short = F.greatest("to_ca", "to_cb") - F.least("from_ca", "from_cb") <= SPAN_H * 60
+        near = ~F.exists("at_ca", lambda p: F.exists("at_cb", lambda q: far(p, q)))
+        done = cut(both.select("ca", "cb", (short & near).alias("joined")))
+        into = done.where("joined").select(F.greatest("ca", "cb").alias("old"), F.least("ca", "cb").alias("new"))
+        renamed = lambda df, c: df.join(into.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
+        refused = done.where("not joined").select("ca", "cb")
+        left = now.join(refused.unionByName(refused.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))), ["ca", "cb"], "left_anti")
+        now = cut(renamed(renamed(left, "ca"), "cb").where("ca <> cb"))
+        of = cut(renamed(of, "cluster_id"))
+    least = of.groupBy("cluster_id").agg(F.min("id").alias("least"))
+    return of.join(least, "cluster_id").select("id", F.col("least").alias("cluster_id"))
+
+
+def clusters(scored: DataFrame, records: DataFrame, merge: float = MERGE, most: int = IN_TASK) -> DataFrame:
+    """id, cluster_id (the smallest id of the cluster) of every record. A component of at most ``most`` strong links is
+    united in the task that holds it; a larger one in rounds of joins, with the same result."""
+    strong = cut(scored.where(F.col("score") >= merge).select("a", "b", "score"))
     roots = components(strong.select("a", "b"))
     at = records.select("id", (F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 60.0).alias("min"), "lat", "lon")
+    rooted = cut(strong.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")))
+    large = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"))
     ends = [at.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("min", "lat", "lon")]) for s in "ab"]
-    rooted = strong.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")).join(ends[0], "a").join(ends[1], "b")
-    united = rooted.groupBy("root").applyInPandas(unite, "id long, cluster_id long")
+    each = rooted.join(large, "root", "left_anti").join(ends[0], "a").join(ends[1], "b")
+    united = each.repartition("root").sortWithinPartitions("root").mapInPandas(_united, "id long, cluster_id long")
+    if not large.isEmpty():
+        united = united.unionByName(in_rounds(rooted.join(large, "root", "left_semi").select("a", "b", "score"), at))
     return records.select("id").join(united, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
