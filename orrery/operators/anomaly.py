@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,10 +87,34 @@ def gated_llr(observed: np.ndarray, expected: np.ndarray, total: np.ndarray) ->
     return np.where((observed >= 3) & (observed > expected) & (expected > 0), x, 0.0)
 
 
-def scan(found: DataFrame, replicas: int = 99, seed: int = 7, most: int = 5) -> DataFrame:
-    """The strongest cylinders of ``found`` (see ``cylinders``) that share no centre, with p_value: their rank among
-    the largest values of replicas, each of which draws every cylinder's share from its posterior and its count from
-    that share. The cylinders are settlements x radii x windows, a table of fixed size that is broadcast."""
+def apart(found: list[dict], tops: list[float], most: int, alpha: float = 0.05, excess: float = 3.0) -> list[dict]:
+    """The strongest cylinders that do not describe one concentration twice: of ``found`` (strongest first), those further
+    from all before than the larger radius, with p_value (rank among ``tops``) and whether it is significant; one that is
+    not, and has no threefold excess, is left out."""
+    out: list[dict] = []
+    at = {p[0]: (math.radians(p[1]), math.radians(p[2])) for p in dims.PLACES}
+
+    def km(x: str, y: str) -> float:
+        (a, b), (c, d) = at[x], at[y]
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    for c in found:
+        if len(out) >= most:
+            break
+        if any(km(o["centre"], c["centre"]) <= max(o["radius_km"], c["radius_km"]) for o in out):
+            continue
+        p = (sum(t >= c["llr"] for t in tops) + 1) / (len(tops) + 1)
+        if p <= alpha or c["observed"] / max(1e-9, c["expected"]) >= excess:
+            out.append({**c, "p_value": p, "significant": p <= alpha})
+    return out
+
+
+def scan(found: DataFrame, replicas: int = 99, seed: int = 7, most: int = 5, alpha: float = 0.05) -> DataFrame:
+    """centre, radius_km, hours, observed, expected, llr, p_value, significant: the strongest cylinders of ``found`` (see
+    ``cylinders``) that are ``apart``. p_value ranks one among the largest values of replicas, each of which draws every
+    cylinder's share from its posterior and its count from that share. The cylinders are settlements x radii x windows, a
+    table of fixed size that is broadcast, and read on the driver to select from."""
     tested = found.where("total >= 4")
     grid = tested.orderBy("centre", "radius_km", "hours").toPandas()
     held = found.sparkSession.sparkContext.broadcast(grid)
@@ -106,11 +131,13 @@ def scan(found: DataFrame, replicas: int = 99, seed: int = 7, most: int = 5) ->
                 out.append(gated_llr(rng.binomial(n, p).astype(float), g["expected"].to_numpy(float), total).max(initial=0.0))
             yield pd.DataFrame({"top": out})
 
-    tops = found.sparkSession.range(replicas).mapInPandas(draw, "top double").agg(F.array_sort(F.collect_list("top")).alias("tops"))
-    best = tested.where("llr > 0").groupBy("centre").agg(F.max(F.struct("llr", (-F.col("radius_km")).alias("r"), (-F.col("hours")).alias("h"), "observed", "expected")).alias("m"))
-    ranked = best.select("centre", (-F.col("m.r")).alias("radius_km"), (-F.col("m.h")).alias("hours"), "m.observed", "m.expected", "m.llr")
-    p = (F.size(F.filter("tops", lambda t: t >= F.col("llr"))) + 1) / F.lit(replicas + 1.0)
-    return ranked.crossJoin(F.broadcast(tops)).withColumn("p_value", p).drop("tops").orderBy(F.col("llr").desc(), "centre").limit(most)  # one row each
+    tops = [r["top"] for r in found.sparkSession.range(replicas).mapInPandas(draw, "top double").collect()]
+    columns = ["centre", "radius_km", "hours", "observed", "expected", "llr"]
+    strongest = grid[grid["llr"] > 0].sort_values(["llr", "centre", "radius_km", "hours"], ascending=[False, True, True, True])
+    chosen = apart(strongest[columns].to_dict("records"), tops, most, alpha)
+    kind = "centre string, radius_km int, hours int, observed double, expected double, llr double, p_value double, significant boolean"
+    rows = [(c["centre"], int(c["radius_km"]), int(c["hours"]), *(float(c[k]) for k in ("observed", "expected", "llr", "p_value")), bool(c["significant"])) for c in chosen]
+    return found.sparkSession.createDataFrame(rows, kind)
 
 
 def half_spaces(dims_n: int, trees: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -113,7 +113,7 @@ def routes(events: DataFrame, alert: int = ALERT_PRIORITY) -> DataFrame:
 
 
 def cap_by_priority(events: DataFrame, most: int) -> DataFrame:
-    """The most urgent events; decided ones always stay and count first. A top-k: a limit is the feature."""
+    """All decided events, and of the others the most urgent so many. A top-k: a limit is the feature."""
     ranked = events.where("decision is null").orderBy(F.col("priority").desc(), F.col("event_id")).limit(most)
     return events.where("decision is not null").unionByName(ranked)
 

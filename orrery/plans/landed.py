@@ -28,8 +28,8 @@ def _payloads(rows, item, wrap):
 
 @query(
     sql(
-        """select 'acled' as src, event_type as type, category as subtype, strftime(ts, '%Y-%m-%d') as date, place as location, coalesce(territory, '') as admin1, lat, lon, fatalities, actors[1] as actor1,
-coalesce(actors[2], '') as actor2, description as notes from ev"""
+        """select 'acled' as src, event_type as type, category as subtype, strftime(ts, '%Y-%m-%d') as date, place as location, coalesce(territory, '') as admin1, lat, lon, fatalities, list_min(actors) as actor1,
+list_max(actors) as actor2, description as notes from ev"""
     )
 )
 def conflict_feed(spark, d):
@@ -37,7 +37,7 @@ def conflict_feed(spark, d):
     item = F.struct(
         "event_type", F.col("category").alias("sub_event_type"), F.date_format("ts", "yyyy-MM-dd").alias("event_date"), F.col("place").alias("location"), F.col("territory").alias("admin1"),
         F.col("lat").cast("string").alias("latitude"), F.col("lon").cast("string").alias("longitude"), F.col("fatalities").cast("string").alias("fatalities"),
-        F.get("actors", F.lit(0)).alias("actor1"), F.get("actors", F.lit(1)).alias("actor2"), F.col("description").alias("notes"),
+        F.array_min("actors").alias("actor1"), F.array_max("actors").alias("actor2"), F.col("description").alias("notes"),
     )
     return landed.conflict_events(_payloads(ev(spark, d), item, lambda xs: F.struct(F.lit(True).alias("success"), xs.alias("data"))))
 

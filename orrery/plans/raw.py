@@ -256,3 +256,11 @@ def merged_by_hand(spark, d):
     events, reports = decisions.merge(ev(spark, d).select("event_id", "status"), rp(spark, d).select("event_id", "j"), merges)
     n = reports.groupBy("event_id").agg(F.count(F.lit(1)).alias("reports"))
     return events.join(n, "event_id", "left").select("event_id", "published_as", "status", F.coalesce("reports", F.lit(0)).alias("reports"))
+
+
+# SQL of queries in texts.py, from the expressions above.
+_FOLDED_DOCS = f"f as (select doc_id, {fold("coalesce(text, '')")} as f from documents)"
+ORACLES["certainty"] = f"with {_FOLDED_DOCS} select doc_id, {level_sql('f')} as level, {any_cue_sql('f')} as cue from f"
+_TURN_WHEN, _TURN_SPREAD = when_sql("f", NOW_SQL)
+ORACLES["time_resolution"] = f"""with f as (select conv_id, turn, {fold("coalesce(text, '')")} as f from conversations)
+select conv_id, turn, {_TURN_WHEN} as ts, {_TURN_SPREAD} as uncertainty_min from f"""

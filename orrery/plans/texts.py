@@ -61,20 +61,20 @@ def language_detect(spark, d):
 
 
 @query(
-    f"""with {_DOCS}, f as (select doc_id, {fold("substr(text, 1, 80)")} as f from d),
+    f"""with {_DOCS}, f as (select doc_id, {fold("text")} as f from d),
 g as (select doc_id, list_distinct(list_transform(range(1, len(f) + 1), lambda i: substr(' ' || f || ' ', i, 3))) as g from f)
 select a.doc_id as a, b.doc_id as b, round(case when len(a.g) + len(b.g) = 0 then 0 else 2.0e0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) end, 6) as dice from g a join g b on b.doc_id = a.doc_id + 1"""
 )
 def trigram_dice_pairs(spark, d):
-    """The similarity of the openings of neighbouring documents."""
-    g = table(spark, d, "documents").select("doc_id", text.trigrams(text.fold_key(F.substring(F.coalesce("text", F.lit("")), 1, 80))).alias("g"))
+    """The similarity of neighbouring documents, over the trigrams of their whole texts."""
+    g = table(spark, d, "documents").select("doc_id", text.trigrams(text.fold_key(F.coalesce("text", F.lit("")))).alias("g"))
     x = g.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")).join(g.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("a"), F.col("g").alias("gb")), "a")
     return x.select("a", "b", F.round(text.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))
 
 
 @query()
 def trigram_dice_texts(spark, d):
-    """The similarity of neighbouring documents, over their whole texts."""
+    """The same by trigrams as numbers."""
     g = table(spark, d, "documents").select("doc_id", text.trigram_codes(text.fold_key(F.coalesce("text", F.lit("")))).alias("g"))
     x = g.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")).join(g.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("a"), F.col("g").alias("gb")), "a")
     return x.select("a", "b", F.round(text.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))

@@ -42,12 +42,13 @@ def active_events(spark, d):
     sql(
         f"""select event_id, ts, event_type, status, priority from act
 where ts >= {back(168)} and category = 'conflict' and province = 'province-3' and origin <> 'simulated'
-and contains(lower(concat_ws(' ', description, place, province, coalesce(territory, ''), list_aggregate(actors, 'string_agg', ' '), handle)), 'place 1')"""
+and contains(lower(concat_ws(' ', description, place, province, coalesce(territory, ''), list_aggregate(actors, 'string_agg', ' '), handle)), 'place 1')
+and contains(lower(concat_ws(' ', description, place, province, coalesce(territory, ''), list_aggregate(actors, 'string_agg', ' '), handle)), 'actor-1')"""
     )
 )
 def feed_filter(spark, d):
-    out = feed.filter_feed(ev(spark, d), NOW, "7d", "", "conflict", None, "province-3", True)
-    return out.where(feed.matches_all(F.concat_ws(" ", "description", "place", "province", F.coalesce("territory", F.lit("")), F.array_join("actors", " "), "handle"), "Pláce") & F.lower("description").contains("place 1")).select(*KEPT)
+    out = feed.filter_feed(ev(spark, d), NOW, "7d", "Pláce Actor-1", "conflict", None, "province-3", True)
+    return out.where(F.lower("description").contains("place 1")).select(*KEPT)
 
 
 @query(
@@ -76,7 +77,7 @@ def adjudicated_queue(spark, d):
         """select event_id, 'enriched' as sink from ev
 union all select event_id, 'alerts' from ev where priority >= 55 and status <> 'rejected'
 union all select event_id, 'triage' from ev where decision is null and (status = 'disputed' or (priority >= 45 and confidence < 0.55e0)
-    or (independent_sources = 1 and coalesce(fatalities, 0) >= 5))""".replace("select event_id, 'enriched'", "select event_id, 'enriched'", 1)
+    or (independent_sources = 1 and coalesce(fatalities, 0) >= 5))"""
     )
 )
 def event_routes(spark, d):
@@ -104,7 +105,7 @@ def highlights(spark, d):
     return feed.highlights(feed.active(ev(spark, d)).where(cur)).select("event_id", "priority", "confidence")
 
 
-@query(sql("select event_id, sum(case when simulated then 1 else 0 end) as sim, case when sum(case when simulated then 1 else 0 end) = 0 then 'collected' when count(*) = sum(case when simulated then 1 else 0 end) then 'simulated' else 'mixed' end as origin from rp group by 1").replace("sum(case when simulated then 1 else 0 end) as sim, ", ""))
+@query(sql("select event_id, case when sum(case when simulated then 1 else 0 end) = 0 then 'collected' when count(*) = sum(case when simulated then 1 else 0 end) then 'simulated' else 'mixed' end as origin from rp group by 1"))
 def event_origin(spark, d):
     r = rp(spark, d).groupBy("event_id").agg(F.count_if("simulated").alias("s"), F.count(F.lit(1)).alias("n"))
     return r.select("event_id", feed.origin_of(F.col("s"), F.col("n")).alias("origin"))
