@@ -91,12 +91,12 @@ def _nearest(asked: DataFrame, found: DataFrame, most: int) -> DataFrame:
     return each.join(there, [*block, "side", "at"]).where("id <> c").select("id", "ts", "c", "t")
 
 
-def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """a, b, score: weighted similarity over the parts that a pair has, gated by casualties, vetoed by distance."""
-    sides = []
-    for s in "ab":
-        cols = ["ts", "lat", "lon", "radius_km", "time_uncertainty_min", "event_type", "actors", "fatalities", "source_key"]
-        sides.append(records.select(F.col("id").alias(s), trigram_codes(fold_key(F.col("description"))).alias(f"{s}_grams"), *[F.col(c).alias(f"{s}_{c}") for c in cols]))
+def score_pairs(pairs: DataFrame, records: DataFrame, least: float | None = None) -> DataFrame:
+    """a, b, score: weighted similarity over the parts that a pair has, gated by casualties, vetoed by distance. With
+    ``least``, pairs that no text could lift to that score are left out before texts are joined, which are the bulk of
+    the rows; the others have their scores as ever."""
+    cols = ["ts", "lat", "lon", "radius_km", "time_uncertainty_min", "event_type", "actors", "fatalities", "source_key"]
+    sides = [records.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab"]
     x = pairs.join(sides[0], "a").join(sides[1], "b")
     col = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
     gap = F.abs(F.timestamp_diff("MICROSECOND", *col("ts"))) / 6e7
@@ -107,17 +107,28 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
         kin |= ((ta == p) & (tb == q)) | ((ta == q) & (tb == p))
     parts = {
         "time": time_similarity(gap, *col("time_uncertainty_min")),
-        "geo": place_similarity(km, *col("radius_km")),
+        "geo": place_similarity(F.col("km"), *col("radius_km")),
         "type": F.when(ta == tb, 1.0).when(kin, 0.5).otherwise(0.0),
         "actors": F.when((F.size(aa) > 0) & (F.size(ab) > 0), jaccard(aa, ab)),
-        "text": dice(*col("grams")),
     }
-    total = sum((F.when(v.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, v in parts.items()), F.lit(0.0))
-    score = sum((F.coalesce(v * WEIGHTS[k], F.lit(0.0)) for k, v in parts.items()), F.lit(0.0)) / total
-    score = score * F.coalesce(0.55 + 0.45 * casualty_similarity(*col("fatalities")), F.lit(1.0))
-    far = km > F.greatest(F.lit(60.0), F.col("a_radius_km") + F.col("b_radius_km") + 25)
-    score = F.when(far, F.least(score, F.lit(0.2))).otherwise(score)
-    return x.select("a", "b", F.when(F.col("a_source_key") == F.col("b_source_key"), 1.0).otherwise(score).alias("score"))
+    x = x.withColumn("km", km)
+    x = x.select(
+        "a", "b", *[v.alias(f"_{k}") for k, v in parts.items()], F.coalesce(0.55 + 0.45 * casualty_similarity(*col("fatalities")), F.lit(1.0)).alias("_gate"),
+        (F.col("km") > F.greatest(F.lit(60.0), F.col("a_radius_km") + F.col("b_radius_km") + 25)).alias("_far"), (F.col("a_source_key") == F.col("b_source_key")).alias("_same"),
+    )
+
+    def total(text: Column) -> Column:
+        has = {**{k: F.col(f"_{k}") for k in parts}, "text": text}
+        whole = sum((F.when(v.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, v in has.items()), F.lit(0.0))
+        score = sum((F.coalesce(v * WEIGHTS[k], F.lit(0.0)) for k, v in has.items()), F.lit(0.0)) / whole * F.col("_gate")
+        score = F.when(F.col("_far"), F.least(score, F.lit(0.2))).otherwise(score)
+        return F.when(F.col("_same"), 1.0).otherwise(score)
+
+    if least is not None:
+        x = cut(x.where(total(F.lit(1.0)) >= least))
+    grams = lambda s: records.select(F.col("id").alias(s), trigram_codes(fold_key(F.col("description"))).alias(f"{s}_grams"))
+    x = x.join(grams("a"), "a").join(grams("b"), "b").withColumn("_text", dice(*col("grams")))
+    return x.select("a", "b", total(F.col("_text")).alias("score"))
 
 
 def _apart_km(p: tuple, q: tuple) -> float:

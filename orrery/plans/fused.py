@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.stats import grade_p
 from ..operators import fusion, linkage, spatial
+from ..storage import cut
 from .adapter import NOW, NOW_SQL, dim, ev, rp, sql, table
 from .places import km
 
@@ -93,13 +94,13 @@ scored as (select a, b, case when same then 1.0e0 when km > greatest(60, rx + ry
 
 @query(sql(f"{_SCORED} select a, b, round(score, 6) as score from scored"))
 def pair_scores(spark, d):
-    r = rec(spark, d)
+    r = cut(rec(spark, d))
     return linkage.score_pairs(linkage.candidates(r), r).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def _clustered(spark, d):
-    r = rec(spark, d)
-    scored = linkage.score_pairs(linkage.candidates(r), r)
+    r = cut(rec(spark, d))
+    scored = cut(linkage.score_pairs(linkage.candidates(r), r, linkage.REVIEW))
     return r, scored, linkage.clusters(scored, r)
 
 
