@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import fold_key
 from orrery.operators.anomaly import half_space_scores, half_spaces
-from orrery.operators.classify import classify
+from orrery.operators.classify import classified
 from orrery.operators.numbering import numbered
 from orrery.operators.reports import brief, review_states
 from orrery.operators.scanner import edits, longest_matches
@@ -15,8 +15,8 @@ from orrery.operators.scanner import edits, longest_matches
 
 def kinds(spark, *rows):
     x = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, actors array<string>, dead int, hurt int, taken int, moved int")
-    c = classify(fold_key(F.col("text")), *[F.col(c) for c in ("actors", "dead", "hurt", "taken", "moved")])
-    return [r.c for r in x.select("i", c.alias("c")).orderBy("i").collect()]
+    out = classified(x, fold_key(F.col("text")), *[F.col(c) for c in ("actors", "dead", "hurt", "taken", "moved")], name="c")
+    return [r.c for r in out.orderBy("i").collect()]
 
 
 def test_types(spark):
