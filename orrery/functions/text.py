@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -66,6 +67,12 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda x: x != "")
 
 
+def question_terms(question: str) -> list[str]:
+    """``query_terms`` of a text at hand."""
+    plain = question.lower().translate(str.maketrans(MARKED, PLAIN))
+    return list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", plain) if len(w) > 2 and w not in STOP_WORDS))
+
+
 def query_terms(s: Column) -> Column:
     """Distinct terms of three letters and more, without stop words."""
     words = F.filter(F.split(unmark(s), "[^a-z0-9]+"), lambda x: F.length(x) > 2)

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, unmark
+from ..functions.text import question_terms, unmark
 from ..functions.times import is_real_date
 
 
@@ -53,18 +53,23 @@ def attention(status: Column, confidence: Column, sources: Column, undated: Colu
     return F.when(status == "archived", 0).otherwise(F.least(F.lit(100), points)).cast("int")
 
 
+def scored(rows: DataFrame, question: str, fields: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``rows`` with score: what the question's terms weigh in the fields that contain them. ``fields``: a free name, the
+    field's text and its weight. A field is folded once for all terms."""
+    folded = rows.withColumns({k: unmark(F.coalesce(c, F.lit(""))) for k, (c, _) in fields.items()})
+    score = F.lit(0)
+    for k, (_, weight) in fields.items():
+        for t in question_terms(question):
+            score = score + F.when(F.contains(F.col(k), F.lit(t)), weight).otherwise(0)
+    return folded.withColumn("score", score).drop(*fields)
+
+
 def retrieve(records: DataFrame, question: str, most: int = 6) -> DataFrame:
     """The records that answer a question best, with score. ``records``: title, entities (array), meta, body, updated_at
     and id. A term counts 3 in the title and in the entities, 2 in the meta data, 1 in the body. A top-k: a limit is
     the feature."""
-    spark = records.sparkSession
-    terms = spark.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]
-    hay = {"title": (F.col("title"), 3), "entities": (F.array_join("entities", " "), 3), "meta": (F.col("meta"), 2), "body": (F.col("body"), 1)}
-    score = F.lit(0)
-    for text, weight in hay.values():
-        for t in terms:
-            score = score + F.when(F.contains(unmark(F.coalesce(text, F.lit(""))), F.lit(t)), weight).otherwise(0)
-    out = records.withColumn("score", score).where("score > 0")
+    fields = {"_title": (F.col("title"), 3), "_entities": (F.array_join("entities", " "), 3), "_meta": (F.col("meta"), 2), "_body": (F.col("body"), 1)}
+    out = scored(records, question, fields).where("score > 0")
     return out.orderBy(F.col("score").desc(), F.col("updated_at").desc(), "id").limit(most)
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, unmark
+from ..storage import cut
 from .feed import active, age_hours
-from .records import retrieve
+from .records import retrieve, scored
 from .tallies import periods, silent, upper_median_lag
 
 #: A level that writes but does not review.
@@ -76,22 +77,15 @@ def gaps(events: DataFrame, now: datetime, hours: float = 24, key: str = "territ
     return counts.select(F.inline(plain)).unionByName(quiet_row).unionByName(slow).where("n > 0")
 
 
-def _score(question: str, fields: list[tuple[Column, int]], spark) -> Column:
-    terms = spark.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]
-    total = F.lit(0)
-    for text, weight in fields:
-        for t in terms:
-            total += F.when(F.contains(unmark(F.coalesce(text, F.lit(""))), F.lit(t)), weight).otherwise(0)
-    return total
-
-
 def related_events(events: DataFrame, question: str, now: datetime, most: int = 5) -> DataFrame:
     """event_id, score, and of all matching events total, recent (up to 7 days old), previous (up to 14): the best
     matches of a question's terms, the newest first among equals. A top-k: a limit is the feature."""
-    place = F.concat_ws(" ", "place", "province", "territory")
-    what = F.concat_ws(" ", "event_type", "description")
-    score = _score(question, [(place, PLACE), (F.array_join("actors", " "), ACTOR), (what, WHAT)], events.sparkSession)
-    hits = active(events).select("event_id", "ts", score.alias("score")).where("score > 0")
+    fields = {
+        "_place": (F.concat_ws(" ", "place", "province", "territory"), PLACE),
+        "_actor": (F.array_join("actors", " "), ACTOR),
+        "_what": (F.concat_ws(" ", "event_type", "description"), WHAT),
+    }
+    hits = cut(scored(active(events), question, fields).select("event_id", "ts", "score").where("score > 0"))
     days = age_hours(F.col("ts"), now) / 24
     counts = hits.agg(F.count(F.lit(1)).alias("total"), F.count_if(days <= 7).alias("recent"), F.count_if((days > 7) & (days <= 14)).alias("previous"))  # one row
     best = hits.orderBy(F.col("score").desc(), F.col("ts").desc(), "event_id").limit(most)
