@@ -346,7 +346,9 @@ def similar_links(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     rooted = texts.join(loose.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tasks = lambda n, size: F.greatest(F.ceil(F.col(n) / part), F.ceil(8 * F.col(size) / PART_BYTES))
     groups = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("in_group"), F.sum("n").alias("shingles")).where("in_group > 1")
-    close = cut(rooted.join(groups, "root").withColumn("m", tasks("in_group", "shingles")).drop("in_group", "shingles"))
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large group is read in several tasks
+    salt = F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")
+    close = cut(rooted.withColumn("salt", salt).join(salted, ["root", "salt"]).drop("salt").withColumn("m", tasks("in_group", "shingles")).drop("in_group", "shingles"))
     small = close.where("m = 1").select(F.lit(-1).alias("c"), F.col("root").alias("v"), "sid", F.lit(1).alias("parts"))
     large = close.where("m > 1").select(F.posexplode("bands").alias("c", "v"), "sid", "n")
     counts = large.groupBy("c", "v").agg(F.count(F.lit(1)).alias("in_shard"), F.sum("n").alias("shingles")).where("in_shard > 1")
