@@ -17,7 +17,7 @@ clash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ MARK = "▁"
 #: Where the vocabulary is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and trie nodes that a task keeps; beyond, it starts anew, which costs time only.
-KEPT, KEPT_NODES = 1_000_000, 500_000
+KEPT, KEPT_NODES = 1_000_000, 1_500_000
 #: Characters of a word that become nodes; longer words are counted whole, but not kept.
 KEPT_CHARS = 64
 
@@ -70,54 +70,65 @@ class TrieCounter:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}  # words that end at a node, with its count
-        self.children: list[dict[str, int]] = [{}]
+        self.children: dict[int, int] = {}  # a node's number and a character, as one number: the node below
         self.best, self.tokens = [0.0], [0]  # forward score and count of tokens of each node; the root's are nothing
 
-    def forward(self, w: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Of the node that ends at w[:end], from the scores and counts of all nodes before it."""
-        get = self.v.scores.get
-        top, count = -math.inf, 0
-        for start in range(max(0, end - self.v.longest), end):
-            if (s := get(w[start:end])) is not None and (z := best[start] + s) > top:
-                top, count = z, tokens[start] + 1
-        if get(w[end - 1]) is None and (z := best[-1] + self.v.unknown) > top:
-            top, count = z, tokens[-1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
-        return top, count
-
-    def insert(self, word: str) -> int:
-        """The word's count of tokens. The path of its known beginning is followed, and nodes are made for the rest."""
-        w, at = MARK + word, 0
-        best, tokens = [0.0], [0]
-        for i, c in enumerate(w):
-            if i < KEPT_CHARS and (down := self.children[at].get(c)) is not None:
-                at = down
-                top, count = self.best[at], self.tokens[at]
-            else:
-                top, count = self.forward(w, i + 1, best, tokens)
+    def insert(self, words: Iterable[str]) -> dict[str, int]:
+        """Each word's count of tokens. Words come sorted, so one keeps the path that it shares with the one before; from
+        there known nodes are followed, and nodes are made for the rest."""
+        get, longest, unknown = self.v.scores.get, self.v.longest, self.v.unknown
+        children, all_best, all_tokens = self.children, self.best, self.tokens
+        path, best, tokens, last, out = [0], [0.0], [0], "", {}
+        for word in words:
+            w = MARK + word
+            shared = 0
+            for x, y in zip(last, w, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del path[shared + 1 :], best[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(w) + 1):
+                if end <= KEPT_CHARS:
+                    key = path[-1] << 21 | ord(w[end - 1])
+                    if (node := children.get(key)) is not None:
+                        path.append(node)
+                        best.append(all_best[node])
+                        tokens.append(all_tokens[node])
+                        continue
+                top, count = -math.inf, 0
+                for start in range(end - longest if end > longest else 0, end):
+                    if (s := get(w[start:end])) is not None and (z := best[start] + s) > top:
+                        top, count = z, tokens[start] + 1
+                if (z := best[-1] + unknown) > top and get(w[end - 1]) is None:
+                    top, count = z, tokens[-1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
                 self.scored += 1
-                if i < KEPT_CHARS:
-                    self.children[at][c] = at = len(self.children)
-                    self.children.append({})
-                    self.best.append(top)
-                    self.tokens.append(count)
-            best.append(top)
-            tokens.append(count)
-        return tokens[-1]
+                if end <= KEPT_CHARS:
+                    children[key] = len(all_best)
+                    path.append(len(all_best))
+                    all_best.append(top)
+                    all_tokens.append(count)
+                else:
+                    path.append(-1)
+                best.append(top)
+                tokens.append(count)
+            last, out[word] = w, tokens[-1]
+        return out
 
     def total(self, texts: Sequence[str | None]) -> tuple[list[int], list[int]]:
         """(words, tokens) of the texts."""
-        n_words, n_tokens = [], []
-        for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").split()
-            known, long = self.known, {}
-            for w in [w for w in set(words) if w not in known]:
-                count = self.insert(w.decode("utf-8", "surrogatepass"))
-                (known if len(w) <= KEPT_CHARS else long)[w] = count
-            n_words.append(len(words))
-            n_tokens.append(sum(map((known | long if long else known).__getitem__, words)))
-            if len(known) > KEPT or len(self.children) > KEPT_NODES:
-                self.clear()
-        return n_words, n_tokens
+        if len(self.known) > KEPT or len(self.best) > KEPT_NODES:
+            self.clear()
+        known, split = self.known, [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        fresh = {w.decode("utf-8", "surrogatepass"): w for ws in split for w in ws if w not in known}
+        long = []
+        for word, count in self.insert(sorted(fresh)).items():
+            known[fresh[word]] = count
+            if len(word) > KEPT_CHARS:
+                long.append(fresh[word])
+        totals = [sum(map(known.__getitem__, ws)) for ws in split]
+        for w in long:
+            del known[w]
+        return [len(ws) for ws in split], totals
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:

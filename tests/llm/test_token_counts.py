@@ -52,7 +52,14 @@ def test_prefixes_are_shared(vocabularies):
     c.total(["thea theb thec thead", "thea"])
     assert c.scored == 1 + 3 + 3 + 1  # the mark, t-h-e, a, b, c, and d under a
     c.total(["theadx", "the"])  # another batch: only x is new, and the end at an inner node is its count
-    assert c.scored == 9 and c.known[b"the"] == c.tokens[c.children[c.children[c.children[c.children[0]["▁"]]["t"]]["h"]]["e"]]
+    assert c.scored == 9 and c.known[b"the"] == c.tokens[down(c, "▁the")]
+
+
+def down(counter, path):
+    at = 0
+    for x in path:
+        at = counter.children[at << 21 | ord(x)]
+    return at
 
 
 def test_table(spark, vocabularies, monkeypatch):
