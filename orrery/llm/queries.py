@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
+from . import centroids, decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -133,8 +137,41 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
+    "op13_centroids": op13_centroids,
 }
 
+
+
+def clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every distance of every round, by joins of components."""
+    distances = """
+d{r} as (
+    select v.r, c.j, cast(sum((v.x - c.x) * (v.x - c.x)) as bigint) as d from x as v join c{r} as c using (i) group by v.r, c.j
+), n{r} as (
+    select r, j, d from d{r} qualify row_number() over (partition by r order by d, j) = 1
+)"""
+    means = """
+c{s} as (
+    select c.j, c.i, coalesce(m.x, c.x) as x from c{r} as c left join (
+        select n.j, v.i, cast(floor(sum(v.x)::decimal(38,0) / count(*)) as bigint) as x from n{r} as n join x as v using (r) group by n.j, v.i
+    ) as m using (j, i)
+)"""
+    steps = ",".join(distances.format(r=r) + "," + means.format(r=r, s=r + 1) for r in range(rounds)) + "," + distances.format(r=rounds)
+    return f"""
+with e as (
+    select row_number() over () as r, vec_id, embedding from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = 64
+), x as materialized (
+    select r, unnest(range(64)) as i, unnest(list_transform(embedding, lambda v: cast(floor(64 * v::double) as bigint))) as x from e
+), c0 as (
+    select j, i, x from x join (select r, row_number() over (order by sha256('1:' || vec_id)) - 1 as j from e) using (r) where j < {k}
+),{steps}
+select vec_id, cast(j as integer) as cluster, d as distance, cast(sum(d) over (partition by j) as bigint) as cluster_inertia,
+    cast(sum(d) over () as bigint) as inertia, sha as centroid_sha256
+from n{rounds} join e using (r) join (select j, sha256(string_agg(cast(x as varchar), ',' order by i)) as sha from c{rounds} group by j) using (j)
+"""
+
+
 #: Words of a text in DuckDB: the runs that are not ASCII blanks.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -171,6 +208,7 @@ p as (
 select page_id, host, path, rule, coalesce(best.verdict, case when best.r is not null then 'block' end, 'allow') as verdict
 from p left join best using (r)
 """,
+    "op13_centroids": clusters_sql(),
     "op8_quality_rules": rf"""
 with d as (
     select row_number() over () as r, doc_id, coalesce(text, '') as t, {_WORDS} as w from documents
