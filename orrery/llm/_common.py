@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "n_words", "place", "read", "shared_dir", "shared_path", "small_batches"]
+__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "look_up", "n_words", "place", "read", "shared_dir", "shared_path", "small_batches"]
 #: A word is a maximal run of characters other than ASCII blanks (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python worker at once: with long texts a larger batch could outgrow a worker.
 BATCH_ROWS = 1000
+#: A key of more than one in so many rows is hot (there are fewer such keys than that) if it has this many rows; rows of a
+#: hot key are spread over so many tasks.
+HOT, HOT_ROWS, SALTS = 1000, 1000, 32
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -56,3 +59,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words of a text; none of a null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a key once, and in ``n`` how many rows have it. Rows of a hot key meet
+    copies of its entry in several tasks."""
+    table = cut(table)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = [r[0] for r in table.where((F.col(n) * HOT > total) & (F.col(n) >= HOT_ROWS)).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")

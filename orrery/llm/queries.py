@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
+from . import centroids, decontaminate, language_id, mixing, ngram_join, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(read(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
+    "op12_ngram_join": op12_ngram_join,
     "op13_centroids": op13_centroids,
 }
 
@@ -207,6 +212,24 @@ p as (
 )
 select page_id, host, path, rule, coalesce(best.verdict, case when best.r is not null then 'block' end, 'allow') as verdict
 from p left join best using (r)
+""",
+    "op12_ngram_join": rf"""
+with recursive d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w
+    from documents
+), s as materialized (
+    select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] end) as g from d
+), n as (select r, count(*) as n from s group by r
+), met as (select a.r as x, b.r as y, count(*) as i from s as a join s as b using (g) where a.r <> b.r group by x, y
+), links as materialized (
+    select x, y from met join n as a on a.r = x join n as b on b.r = y where 100 * i >= 80 * (a.n + b.n - i)
+), reach as (
+    select r, r as m from d union select reach.r, y as m from reach join links on x = m
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, coalesce(n_links, 0) as n_links
+from d join (select reach.r, min(t.doc_id) as component_id from reach join d as t on t.r = m group by reach.r) as c using (r)
+left join n using (r) left join (select x as r, count(*) as n_links from links group by x) as l using (r)
 """,
     "op13_centroids": clusters_sql(),
     "op8_quality_rules": rf"""
