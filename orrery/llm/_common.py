@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "look_up", "n_words", "place", "read", "shared_dir", "shared_path", "small_batches"]
+__all__ = ["BATCH_ROWS", "WORD", "cut", "free_name", "look_up", "n_words", "place", "read", "shared_dir", "shared_path", "small_batches", "written"]
 #: A word is a maximal run of characters other than ASCII blanks (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python worker at once: with long texts a larger batch could outgrow a worker.
@@ -73,3 +73,11 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as a table in the shared folder and read again. A checkpoint keeps what the optimiser knows of a
+    plan's columns, and in a loop that renames columns that knowledge grows from round to round; a table has none."""
+    where = shared_path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

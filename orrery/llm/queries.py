@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, language_id, mixing, ngram_join, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
+from . import centroids, decontaminate, language_id, mixing, ngram_join, prefix_trie, quality, secret_scan, sharding, simhash, token_counts, url_filter, warc
 from ._common import cut, read, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = prefix_trie.encoded(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8))
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(read(spark, sf_dir, "documents"))
 
@@ -141,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ngram_join": op12_ngram_join,
     "op13_centroids": op13_centroids,
 }
@@ -212,10 +219,43 @@ p as (
 )
 select page_id, host, path, rule, coalesce(best.verdict, case when best.r is not null then 'block' end, 'allow') as verdict
 from p left join best using (r)
+""",
+    "op11_prefix_trie": """
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as txt from conversations where conv_id is not null
+), i as (
+    select *, dense_rank() over (order by role, txt) as id, octet_length(encode(txt)) as bytes from t
+), own as (
+    select conv_id, list(id order by turn nulls first, role, txt) as ids, list(bytes order by turn nulls first, role, txt) as bs from i group by conv_id
+), crc as (  -- of each byte: xor it in, then eight shifts (marked -1)
+    select conv_id, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''),
+        lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) % 9 as h from own
+), seq as (
+    select o.conv_id, list_concat(coalesce(b.ids[1:h], []), o.ids[h + 1:]) as ids, list_concat(coalesce(b.bs[1:h], []), o.bs[h + 1:]) as bs
+    from own as o join crc using (conv_id) left join own as b on b.conv_id = o.conv_id - o.conv_id % 5
+), p as materialized (
+    select conv_id, d, ids[1:d] as key, case when d = 0 then 0 else bs[d] end as bytes, len(ids) = d as over
+    from (select *, unnest(range(len(ids) + 1)) as d from seq)
+), n as materialized (
+    select d, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (over), '')) as ends_sha256
+    from p group by d, key
+), kids as (select d - 1 as d, key[1:d - 1] as key, count(*) as n_children from n where d > 0 group by all
+), m as (
+    select n.*, coalesce(n_children, 0) as n_children from n left join kids using (d, key)
+), sums as (
+    select p.d, p.key, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * m.bytes) as saved_tokens
+    from m join p on p.conv_id = m.conv_id and p.d <= m.d group by p.d, p.key
+)
+select m.conv_id, m.d as depth, up.conv_id as parent_conv_id, m.n_convs, m.n_children, cast(n_leaves as bigint) as n_leaves,
+    cast(saved_tokens as bigint) as saved_tokens, m.ends_sha256
+from m join sums using (d, key) left join n as up on up.d = m.d - 1 and up.key = m.key[1:m.d - 1]
 """,
     "op12_ngram_join": rf"""
 with recursive d as (
-    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w
     from documents
 ), s as materialized (
     select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

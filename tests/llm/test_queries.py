@@ -27,6 +27,7 @@ def odd(spark, tmp_path_factory):
         "pages": spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as rule", "3 as k"),
         "benchmark": spark.createDataFrame([(None, None), (1, prose), (2, "")], "item_id long, text string"),
         "labels": spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"),
+        "conversations": spark.createDataFrame([(None, 1, "user", "hi"), (1, None, None, None), (1, 0, "user", "é" * 9000), (1, 0, "user", "é" * 9000), (2, 0, "user", "hi")], "conv_id long, turn long, role string, text string").selectExpr("*", "1 as conv", "2 as id"),
         "embeddings": spark.createDataFrame([(None, None), (None, [0.5] * 64), (1, [0.1] * 64), (1, [0.1] * 64), (2, [None] * 64), (3, [0.1])], "vec_id long, embedding array<float>").selectExpr("*", "1 as cluster"),
     }
     for name, df in tables.items():
@@ -36,7 +37,7 @@ def odd(spark, tmp_path_factory):
 
 
 #: Rows of the odd tables that a query returns.
-ROWS = {"op3_warc": 5, "op6_url_filter": 5, "op7_language_id": 11, "op10_decontaminate": 3, "op13_centroids": 3}
+ROWS = {"op3_warc": 5, "op6_url_filter": 5, "op7_language_id": 11, "op10_decontaminate": 3, "op11_prefix_trie": 1, "op13_centroids": 3}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
