@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.stats import grade_p
 from ..operators import fusion, linkage, spatial
 from ..storage import cut
+from ..streaming import recluster
 from .adapter import NOW, NOW_SQL, dim, ev, rp, sql, table
 from .places import km
 
@@ -115,6 +118,17 @@ def review_pairs(spark, d):
     return linkage.review_pairs(scored, found)
 
 
+@query()
+def reclustered(spark, d):
+    """The reports as three landings of a stream, ten days each; of an earlier landing the last week is still open."""
+    r, none = cut(rec(spark, d)), spark.createDataFrame([], "cluster_id long")
+    state, limits = recluster.empty_state(r), recluster.Limits(grace=timedelta(days=7), most=None)
+    ends = [NOW - timedelta(days=20), NOW - timedelta(days=10)]
+    for landed in (F.col("ts") < F.lit(ends[0]), F.col("ts").between(F.lit(ends[0]), F.lit(ends[1])), F.col("ts") > F.lit(ends[1])):
+        state = recluster.flush(state, r.where(landed), none, limits)
+    return state.select("id", "ts", "cluster_id", "frozen", "late")
+
+
 @query()
 def merged_events(spark, d):
     r, _, found = _clustered(spark, d)
