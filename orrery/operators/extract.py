@@ -18,8 +18,9 @@ from ..functions.text import certainty, detect_language, fold_key, summarise, to
 from ..functions.times import resolve_time
 from ..storage import cut
 from .classify import classified
-from .fusion import posterior
+from .fusion import posterior_of_sums
 from .scanner import longest_matches
+from .series import decayed
 from .spatial import settlement_at
 
 # Words for numbers in three languages.
@@ -150,10 +151,12 @@ def with_sources(x: DataFrame, observations: DataFrame, now: datetime, spark: Sp
     sources = known.select(
         "source_type", "handle", F.coalesce("family", F.lit(default[1])).alias("family"), F.coalesce("grade", F.lit(default[2])).alias("grade"), F.coalesce("strength", F.lit(default[4])).alias("strength"),
     )
-    # An observation counts for every source of its type, or for the one of its type and handle.
+    # An observation counts for every source of its type, or for the one of its type and handle. Observations are summed
+    # by key first, and a source looks up two sums: the join has two rows a source, however many observations there are.
     each = sources.select("source_type", "handle", F.explode(F.array_compact(F.array("source_type", F.concat_ws(":", "source_type", "handle")))).alias("key")).distinct()
-    seen = each.join(observations, "key").withColumn("handle", F.coalesce("handle", F.lit("")))
-    graded = posterior(sources.withColumn("handle", F.coalesce("handle", F.lit(""))), seen, ["source_type", "handle"], now)
+    found = each.join(decayed(observations, ["key"], now), "key").withColumn("handle", F.coalesce("handle", F.lit("")))
+    seen = found.groupBy("source_type", "handle").agg(*[F.sum(c).alias(c) for c in ("alpha", "beta", "n")])
+    graded = posterior_of_sums(sources.withColumn("handle", F.coalesce("handle", F.lit(""))), seen, ["source_type", "handle"])
     graded = graded.select("source_type", F.col("handle").alias("_handle"), "family", F.col("mean").alias("_mean"), F.col("posterior_grade").alias("source_grade"))
     y = x.withColumn("_handle", F.coalesce("handle", F.lit(""))).join(graded, ["source_type", "_handle"])
     credible = credibility_of(F.col("certainty"), F.col("location").isNotNull(), F.size("actors") > 0, F.col("when").isNotNull())

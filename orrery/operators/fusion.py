@@ -21,7 +21,12 @@ CERTAINTY = {"asserted": 1.0, "attributed": 0.85, "hedged": 0.45, "denied": -0.9
 def posterior(sources: DataFrame, observations: DataFrame, keys: list[str], now: datetime) -> DataFrame:
     """sources (the keys, grade, strength) with mean, sd, n and the posterior's grade: Beta counts of the grade's prior
     and of decayed observations (the keys, correct, weight, at)."""
-    seen = decayed(observations, keys, now).withColumnsRenamed({"alpha": "_a", "beta": "_b", "n": "_n"})
+    return posterior_of_sums(sources, decayed(observations, keys, now), keys)
+
+
+def posterior_of_sums(sources: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``posterior`` from the decayed sums (the keys, alpha, beta, n) of the observations."""
+    seen = sums.withColumnsRenamed({"alpha": "_a", "beta": "_b", "n": "_n"})
     p0 = grade_p(F.col("grade"))
     rows = sources.join(seen, keys, "left").withColumns({"_a": F.coalesce("_a", F.lit(0.0)) + p0 * F.col("strength"), "_b": F.coalesce("_b", F.lit(0.0)) + (1 - p0) * F.col("strength")})
     total = F.col("_a") + F.col("_b")

@@ -39,14 +39,27 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def deletions(word: Column, most: Column) -> Column:
+    """The word, and what is left of it without one letter, or two, as far as ``most`` allows."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    own, one = F.array(word), F.array_distinct(less(word))
+    two = F.array_distinct(F.flatten(F.transform(one, less)))
+    return F.when(most <= 0, own).when(most == 1, F.concat(own, one)).otherwise(F.array_distinct(F.concat(own, one, two)))
+
+
 def _near(words: DataFrame, keys: DataFrame) -> DataFrame:
     """word, ord, edits: the entity nearest to each of the words, if it is near enough; ties by the order of keys.
 
-    An entity is looked at if any of its keys begins with the word's letter, then by all its keys of one word."""
+    An entity is looked at if any of its keys begins with the word's letter, then by all its keys of one word. Words that
+    so many edits apart lie from a key leave the same letters when they lose as many, so the two meet in a join on what is
+    left; only such pairs are measured, about as many as there are matches, whatever the size of the dictionary."""
     letters = keys.select(F.substring("key", 1, 1).alias("letter"), "ord").distinct()
-    pool = letters.join(keys.where(~F.contains("key", F.lit(" "))), "ord")
-    asked = words.withColumn("letter", F.substring("word", 1, 1)).withColumn("most", edits_allowed(F.length("word"))).where("most > 0")
-    pairs = asked.join(pool, (asked["letter"] == pool["letter"]) & (F.abs(F.length("word") - F.length("key")) <= F.col("most")))
+    single = keys.where(~F.contains("key", F.lit(" ")) & (F.length("key") >= 4))  # shorter ones are near no word that may be edited
+    index = single.select("key").distinct().select("key", F.explode(deletions(F.col("key"), F.lit(2))).alias("left"))
+    asked = words.withColumn("most", edits_allowed(F.length("word"))).where("most > 0")
+    met = asked.select("word", "most", F.explode(deletions(F.col("word"), F.col("most"))).alias("left")).join(index, "left").select("word", "most", "key").distinct()
+    met = met.where(F.abs(F.length("word") - F.length("key")) <= F.col("most")).withColumn("letter", F.substring("word", 1, 1))
+    pairs = met.join(single, "key").join(letters, ["ord", "letter"])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
