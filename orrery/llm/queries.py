@@ -63,10 +63,10 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Sites whose pages are blocked where no rule says otherwise. Beside them the list has the canonical url (host and
-#: path) of each page that holds this mark of junk: thousands in the larger tables.
+#: The list has the canonical url (host and path) of each page that holds this mark of junk.
 JUNK = "***"
-LISTED = [
+#: Sites whose pages are blocked where no rule says otherwise.
+SITES = [
     ("ads-track.example.org", "/"),
     ("adult-x.example.net", "/"),
     ("casino-win.example.org", "/"),
@@ -81,8 +81,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     host, path = url_filter.host_and_path(F.col("url"))
     junk = pages.where(F.contains("html", F.lit(JUNK))).select(host.alias("host"), path.alias("path")).distinct()
-    listed = spark.sql(f"select * from values {', '.join(map(str, LISTED))} as t(host, path)").unionByName(junk)
-    return url_filter.judge_urls(pages, rules, listed)
+    sites = spark.sql(f"select * from values {', '.join(map(str, SITES))} as t(host, path)")
+    return url_filter.judge_urls(pages, rules, sites, junk)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ from n{rounds} join e using (r) join (select j, sha256(string_agg(cast(x as varc
 #: Words of a text in DuckDB: the runs that are not ASCII blanks.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_LIST = ", ".join([*(f"('{h}', '{p}', '{v}')" for h, p, v in RULES), *(f"('{h}', '{p}', null)" for h, p in LISTED)])
+_LIST = ", ".join([*(f"('{h}', '{p}', '{v}')" for h, p, v in RULES), *(f"('{h}', '{p}', null)" for h, p in SITES)])
 
 ORACLES: dict[str, str] = {
     "op3_warc": """
@@ -208,11 +208,10 @@ u as (select row_number() over () as r, page_id, contains(html, '{JUNK}') as jun
 p as (
     select r, page_id, junk, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
         translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from u
-), list as (
-    select * from named union all select distinct host, path, null from p where junk and host <> ''
 ), fits as (
-    select r, lhost || lpath as key, verdict from p join list
+    select r, lhost || lpath as key, verdict from p join named
     on (host = lhost or ends_with(host, '.' || lhost)) and starts_with(path, lpath)
+    union all select r, null, null from p semi join (select host, path from p where junk and host <> '') using (host, path)
 ), best as (
     select r, arg_max(key, len(key)) filter (verdict is not null) as rule,
         arg_max(verdict, len(key)) filter (verdict is not null) as verdict from fits group by r

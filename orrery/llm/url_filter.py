@@ -1,15 +1,18 @@
 """URL lists: a blocked Bloom filter passes possible hits to an exact hash join that removes false positives.
 
-A list entry is a host and a path: it fits the host itself and every subdomain, where the path starts with the entry's.
-A url's possible entries are its canonical keys (a host suffix and a beginning of its path). Paths begin anywhere, so a
-url has many keys; but an entry's path, cut after its last ``/`` (its stem), begins there too, and a url has few stems.
-Each distinct (host, path) looks up its host suffixes with its stems: the keys that the Bloom filter of the entries'
-stems passes are joined with the list on suffix and stem, and the join's rows are held against the whole entry, so the
-filter saves work and never decides. Of several fitting rules the longest wins; a url that no rule fits is blocked if a
-listed entry fits it, else allowed.
+The list holds canonical urls: a host in lower case and a path, without what follows ``?`` or ``#``. Whole canonical urls
+go into the filter (``bloom.py``), and each distinct url of the table asks it once; what passes is joined with the list
+on the whole url. So pairs are hits, whatever the number of pages of a site on either side.
 
-The filter's blocks are dealt into parts of at most ``MAX_PART_BYTES``. One part is broadcast; of more, each is built and
-asked in the task that its part's keys are shuffled to, so a list of any size has its filter and no worker holds it all.
+Entries that stand for more than one url (rules, and sites as a whole) are apart. They fit their host and every
+subdomain, where the path starts with theirs. A url's possible entries are the suffixes of its host with the beginnings
+of its path, of as many labels and characters as entries have; those ask a filter of the whole entries, and are joined on
+host and beginning. Of several fitting rules the longest wins; a url that no rule fits is blocked if it is listed or a
+site fits it, else allowed.
+
+A filter's blocks are dealt into parts of at most ``MAX_PART_BYTES``. One part is built in tasks and broadcast; of more,
+each is built and asked in the task that its part's keys are shuffled to, so a list of any size has its filter and no
+worker holds it all.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits nothing and is allowed; equal
 rows get equal verdicts; urls of any length are read whole; an empty table or list gives an empty or all-allowed
@@ -26,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._common import cut
 
-BITS_PER_KEY = 16
-PROBES = 7
-WORDS_PER_BLOCK = 8  # 512 bits, a cache line
 #: A part of the filter that one worker holds.
 MAX_PART_BYTES = 64 << 20
 #: A key that many urls share is spread over so many tasks.
@@ -45,113 +46,77 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-class BlockedBloom:
-    """One 512-bit block a key; ``PROBES`` bits in it."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words  # (blocks, WORDS_PER_BLOCK) uint64
-
-    def add(self, h1: np.ndarray, h2: np.ndarray) -> BlockedBloom:
-        """``h1``, ``h2``: the keys' xxhash64 as int64, plain and with an extra 1. The block comes from the first."""
-        block = np.mod(h1, len(self.words))
-        for bit in self.bits(h2):
-            np.bitwise_or.at(self.words, (block, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-        return self
-
-    @staticmethod
-    def bits(h2: np.ndarray) -> Iterator[np.ndarray]:
-        for i in range(PROBES):
-            yield (h2.view(np.uint64) >> np.uint64(9 * i)) & np.uint64(511)
-
-    def passes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        block = np.mod(h1, len(self.words))
-        ok = np.ones(len(h1), bool)
-        for bit in self.bits(h2):
-            ok &= (self.words[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        return ok
-
-
-def stem(path: Column) -> Column:
-    """The path up to its last ``/``, itself included; empty without one."""
-    return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
-
-
-def hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
-
-
-def stem_keys(urls: DataFrame, labels: int, depth: int) -> DataFrame:
-    """(host, path, suffix, stem) for the suffixes of a url's host and the stems of its path, as far as entries have so
-    many labels and slashes. ``urls``: host, path."""
-    names, parts = F.split("host", r"\."), F.split("path", "/")
+def beginnings(urls: DataFrame, labels: int, lengths: list[int]) -> DataFrame:
+    """(host, path, key): the suffixes of a url's host, of so many labels at most, each with the beginnings of its path
+    of the given lengths. ``urls``: host, path."""
+    names = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda i: F.array_join(F.slice(names, -i, i), "."))
-    stems = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(depth))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    each = urls.where(F.col("host") != "").select("host", "path", F.explode(suffixes).alias("suffix"))
-    return each.select("host", "path", "suffix", F.explode(stems).alias("stem"))
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    each = urls.select("host", "path", F.explode(suffixes).alias("suffix"))
+    return each.select("host", "path", F.explode(F.transform(starts, lambda p: F.concat("suffix", p))).alias("key"))
 
 
 def possible(keys: DataFrame, entries: DataFrame, n: int) -> DataFrame:
     """The rows of ``keys`` whose ``key`` a blocked Bloom filter of the entries' keys passes: all hits, and few others.
     ``entries``: key, of which there are ``n`` different ones."""
-    blocks = max(1, -(-n * BITS_PER_KEY // 512))
-    parts = -(-blocks * 64 // MAX_PART_BYTES)
-    each = -(-blocks // parts)
-    columns = keys.columns
+    blocks = bloom.n_blocks(n)
+    parts = -(-blocks * bloom.BLOCK_BITS // 8 // MAX_PART_BYTES)
+    columns, hashes = keys.columns, bloom.hashes(F.col("key"))
     if parts == 1:
-        some = entries.select(*hashes(F.col("key"))).toPandas()  # at most MAX_PART_BYTES * 8 / BITS_PER_KEY keys
-        bloom = keys.sparkSession.sparkContext.broadcast(BlockedBloom(np.zeros((each, WORDS_PER_BLOCK), np.uint64)).add(some["h1"].to_numpy(np.int64), some["h2"].to_numpy(np.int64)))
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h1, h2 = (b.column(i).to_numpy() for i in (len(columns), len(columns) + 1))
-                yield pa.RecordBatch.from_arrays(b.columns[:-2], names=columns).filter(pa.array(bloom.value.passes(h1, h2)))
-
-        return keys.select(*columns, *hashes(F.col("key"))).mapInArrow(probe, keys.schema)
+        return bloom.sifted(keys, bloom.built(entries.select(*hashes), n), "key")
+    each = -(-blocks // parts)
     part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(parts)).cast("int").alias("part")
     salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
-    listed = entries.select(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("asked"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in keys.schema], *hashes(F.col("key")))
-    asked = keys.select(part, salt, F.lit(1).alias("asked"), *columns, *hashes(F.col("key")))
+    listed = entries.select(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("asked"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in keys.schema], *hashes)
+    asked = keys.select(part, salt, F.lit(1).alias("asked"), *columns, *hashes)
     by = ["part", "salt"]  # a hot key's urls meet its part in several tasks
     both = listed.unionByName(asked).repartition(parts * SALTS, *by).sortWithinPartitions(*by, "asked")  # entries come first
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bloom = None, BlockedBloom(np.zeros((0, WORDS_PER_BLOCK), np.uint64))
+        now, own = None, bloom.BlockedBloom(0)
         for b in batches:
             of, asked = b.column(0).to_numpy() * np.int64(SALTS) + b.column(1).to_numpy(), b.column(2).to_numpy() == 1
             h1, h2 = (b.column(i).to_numpy() for i in (len(columns) + 3, len(columns) + 4))
             ok = np.zeros(b.num_rows, bool)
             for p in np.unique(of):  # in the order of the rows
                 if p != now:
-                    now, bloom = p, BlockedBloom(np.zeros((each, WORDS_PER_BLOCK), np.uint64))
-                bloom.add(h1[(of == p) & ~asked], h2[(of == p) & ~asked])
-                ok[(of == p) & asked] = bloom.passes(h1[(of == p) & asked], h2[(of == p) & asked])
+                    now, own = p, bloom.BlockedBloom(each)
+                own.add(h1[(of == p) & ~asked], h2[(of == p) & ~asked])
+                ok[(of == p) & asked] = own.passes(h1[(of == p) & asked], h2[(of == p) & asked])
             yield pa.RecordBatch.from_arrays([b.column(i + 3) for i in range(len(columns))], names=columns).filter(pa.array(ok))
 
     return both.mapInArrow(sift, keys.schema)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """``key``, host, path, rule, verdict for every row. ``rules``: host, path, verdict; ``listed``: host, path."""
+def listed_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """The urls (host, path) that are listed (host, path)."""
+    keyed = lambda df: df.where("host <> ''").select("host", "path", F.concat("host", "path").alias("key"))  # noqa: E731  (a path is empty or begins with /)
+    entries = cut(keyed(listed).select("key").distinct())
+    return possible(keyed(urls), entries, entries.count()).join(entries, "key").select("host", "path")
+
+
+def entry_hits(urls: DataFrame, entries: DataFrame) -> DataFrame:
+    """host, path, key, verdict of the entries (host, path, verdict) that fit the urls (host, path). An entry that many
+    urls meet is read in several tasks."""
+    held = cut(entries.where("host <> ''").select("host", F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").distinct())
+    keys = held.select("key").distinct()
+    n, labels, lengths = held.agg(F.count_distinct("key"), F.max(F.size(F.split("host", r"\."))), F.sort_array(F.collect_set("n"))).first()
+    if not n:
+        return urls.limit(0).select("host", "path", F.lit("").alias("key"), F.lit(None).cast("string").alias("verdict"))
+    hits = possible(beginnings(urls.where("host <> ''"), labels, lengths), keys, n)
+    salted = held.select("key", "verdict").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("host", "path", "key", "verdict")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, sites: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """``key``, host, path, rule, verdict for every row. ``rules``: host, path, verdict; ``sites``: host, path, blocked as
+    a whole; ``listed``: host, path of canonical urls."""
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{key}`"), host.alias("host"), path.alias("path"))
-    entries = cut(
-        rules.select("host", "path", "verdict")
-        .unionByName(listed.select("host", "path", F.lit(None).cast("string").alias("verdict")))
-        .where("host <> ''")
-        .select(F.col("host").alias("suffix"), stem(F.col("path")).alias("stem"), F.col("path").alias("entry"), "verdict")
-        .distinct()
-    )
-    keyed = lambda df: df.withColumn("key", F.concat("suffix", "stem"))  # noqa: E731  (a stem is empty or begins with /)
-    stems = keyed(entries.select("suffix", "stem").distinct())
-    n, labels, depth = stems.agg(F.count(F.lit(1)), F.max(F.size(F.split("suffix", r"\."))), F.max(F.size(F.split("stem", "/")) - 1)).first()
-    hits = possible(keyed(stem_keys(rows.select("host", "path").distinct(), labels or 1, depth or 0)), stems, n)
-    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    fits = (
-        hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["suffix", "stem", "salt"])
-        .where(F.startswith("path", F.col("entry")))
-        .select("host", "path", F.concat("suffix", "entry").alias("key"), "verdict")
-    )
+    urls = cut(rows.select("host", "path").distinct())
+    none = F.lit(None).cast("string")
+    fits = entry_hits(urls, rules.select("host", "path", "verdict").unionByName(sites.select("host", "path", none.alias("verdict"))))
+    fits = fits.unionByName(listed_hits(urls, listed).select("host", "path", none.alias("key"), none.alias("verdict")))
     best = fits.groupBy("host", "path").agg(
         F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("best"),
     )
