@@ -232,13 +232,35 @@ def review_pairs(scored: DataFrame, found: DataFrame, most: int = 50, review: fl
     return x.select("a", "b", "score").orderBy(F.round("score", 9).desc(), "a", "b").limit(most)
 
 
+def one_a_source(records: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (id, cluster_id) with one report of each source in a cluster, its earliest (of several the smallest id):
+    what two adapters pick up is one report."""
+    first = records.join(found, "id").groupBy("cluster_id", "source_key").agg(F.min_by("id", F.struct("ts", "id")).alias("id"))
+    return first.select("id", "cluster_id")
+
+
+def agreement_marks(records: DataFrame, found: DataFrame) -> DataFrame:
+    """id, cluster_id, agreement of each report with its cluster's type: a contradicting one (where ``records`` has an
+    agreement) stays so, another agrees if its own type is the cluster's, else in part."""
+    x = records.join(found, "id")
+    said = F.col("agreement") == "contradict" if "agreement" in records.columns else F.lit(False)
+    mark = F.when(said, "contradict").when(F.col("event_type") == F.col("_kind"), "agree").otherwise("partial")
+    return x.join(consensus(x).withColumnRenamed("event_type", "_kind"), "cluster_id").select("id", "cluster_id", mark.alias("agreement"))
+
+
+def consensus(x: DataFrame) -> DataFrame:
+    """cluster_id, event_type: the type of most votes, each weighing its source's prior; of equal ones, the first report's."""
+    votes = x.groupBy("cluster_id", "event_type").agg(F.sum("prior").alias("v"), F.min("id").alias("i"))
+    return votes.groupBy("cluster_id").agg(F.max_by("event_type", F.struct(F.round("v", 9), -F.col("i"))).alias("event_type"))
+
+
 def merge_clusters(records: DataFrame, found: DataFrame) -> DataFrame:
     """One row a cluster. ``records`` also has prior (reliability). The base record is the most reliable, then the most
-    precise, then the earliest; the type is voted by reliability, the position weighted by precision."""
+    precise, then the earliest; the type is voted by reliability, the position weighted by precision; the longest
+    description is kept, and of injured, abducted and displaced (where ``records`` has them) the largest figure."""
     x = records.join(found, "id")
     base = F.struct((-F.col("prior")).alias("p"), F.coalesce("radius_km", F.lit(999.0)).alias("r"), "ts", "id")
-    votes = x.groupBy("cluster_id", "event_type").agg(F.sum("prior").alias("v"), F.min("id").alias("i"))
-    kind = votes.groupBy("cluster_id").agg(F.max_by("event_type", F.struct(F.round("v", 9), -F.col("i"))).alias("event_type"))
+    most = [F.max(c).alias(c) for c in ("injured", "abducted", "displaced") if c in records.columns]
     w = F.when(F.col("lat").isNotNull(), 1 / F.pow(F.greatest(F.lit(0.5), "radius_km"), F.lit(2.0)))
     out = x.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("reports"),
@@ -248,9 +270,11 @@ def merge_clusters(records: DataFrame, found: DataFrame) -> DataFrame:
         F.greatest(0.75 * F.min(F.when(F.col("lat").isNotNull(), F.col("radius_km"))), F.sqrt(1 / F.sum(w))).alias("radius_km"),
         F.min("ts").alias("ts"),
         F.min("time_uncertainty_min").alias("time_uncertainty_min"),
-        F.percentile("fatalities", 0.5).alias("fatalities"),
+        F.floor(F.percentile("fatalities", 0.5) + 0.5).cast("long").alias("fatalities"),
+        *most,
+        F.max_by("description", F.struct(F.length("description").alias("n"), (-F.col("id")).alias("i"))).alias("description"),
         F.min("fatalities").alias("fatalities_low"),
         F.max("fatalities").alias("fatalities_high"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("actors")))).alias("actors"),
     )
-    return out.join(kind, "cluster_id")
+    return out.join(consensus(x), "cluster_id")

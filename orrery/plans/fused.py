@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -129,10 +130,56 @@ def reclustered(spark, d):
     return state.select("id", "ts", "cluster_id", "frozen", "late")
 
 
+def _by_place(spark, d):
+    """Records with injured, displaced and a stand of their own, in clusters of one place, type family and day."""
+    r = rec(spark, d).withColumns({"injured": F.expr("id % 31"), "displaced": F.expr("case when id % 4 = 0 then id % 900 end"), "agreement": F.expr("case when id % 11 = 0 then 'contradict' else 'agree' end")})
+    r = cut(r.withColumn("source_key", F.expr("concat('src:', id % 3)")))
+    day = F.struct("place", F.col("ts").cast("date").alias("day"))
+    return r, r.select("id", F.min("id").over(Window.partitionBy(day)).alias("cluster_id"))
+
+
+_BY_PLACE = f"""{_REC},
+x0 as (select * exclude (source_key), concat('src:', id % 3) as source_key, id % 31 as injured, case when id % 4 = 0 then id % 900 end as displaced,
+    case when id % 11 = 0 then 'contradict' else 'agree' end as agreement, min(id) over (partition by place, cast(ts as date)) as cluster_id from rec)"""
+
+
+@query(
+    sql(
+        f"""{_BY_PLACE},
+x as (select *, case when lat is not null then 1 / pow(greatest(0.5e0, radius_km), 2) end as w from x0 qualify row_number() over (partition by cluster_id, source_key order by ts, id) = 1),
+v as (select cluster_id, event_type, round(sum(prior), 9) as v, min(id) as i from x group by all),
+k as (select cluster_id, event_type from v qualify row_number() over (partition by cluster_id order by v desc, i) = 1),
+b as (select cluster_id, source_key as base_source, description from x qualify row_number() over (partition by cluster_id order by prior desc, coalesce(radius_km, 999), ts, id) = 1),
+t as (select cluster_id, description from x qualify row_number() over (partition by cluster_id order by len(description) desc, id) = 1)
+select x.cluster_id, k.event_type, count(*) as reports, base_source, round(sum(w * lat) / sum(w), 9) as lat, round(sum(w * lon) / sum(w), 9) as lon,
+    round(greatest(0.75e0 * min(radius_km) filter (lat is not null), sqrt(1 / sum(w))), 9) as radius_km, min(ts) as ts, min(time_uncertainty_min) as time_uncertainty_min,
+    cast(floor(quantile_cont(fatalities, 0.5) + 0.5) as bigint) as fatalities, max(injured) as injured, max(displaced) as displaced, t.description
+from x join k using (cluster_id) join b using (cluster_id) join t using (cluster_id) group by x.cluster_id, k.event_type, base_source, t.description"""
+    )
+)
+def merged_by_place(spark, d):
+    r, found = _by_place(spark, d)
+    out = linkage.merge_clusters(r, linkage.one_a_source(r, found))
+    return out.select(
+        "cluster_id", "event_type", "reports", "base_source", *[F.round(c, 9).alias(c) for c in ("lat", "lon", "radius_km")], "ts", "time_uncertainty_min", "fatalities", "injured", "displaced", "description"
+    )
+
+
+@query(
+    sql(
+        f"""{_BY_PLACE}, v as (select cluster_id, event_type, round(sum(prior), 9) as v, min(id) as i from x0 group by all),
+k as (select cluster_id, event_type as kind from v qualify row_number() over (partition by cluster_id order by v desc, i) = 1)
+select id, cluster_id, case when agreement = 'contradict' then agreement when event_type = kind then 'agree' else 'partial' end as agreement from x0 join k using (cluster_id)"""
+    )
+)
+def agreement_marks(spark, d):
+    return linkage.agreement_marks(*_by_place(spark, d))
+
+
 @query()
 def merged_events(spark, d):
     r, _, found = _clustered(spark, d)
-    return linkage.merge_clusters(r, found)
+    return linkage.merge_clusters(r, linkage.one_a_source(r, found))
 
 
 _GRADE_P = "case grade " + " ".join(f"when '{k}' then {v}e0" for k, v in dims.GRADE_P.items()) + " end"

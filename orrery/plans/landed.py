@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import landed
+from ..sources import bridge, landed
 from .adapter import ev, sql, table
 
 QUERIES: dict = {}
@@ -22,8 +22,8 @@ def query(oracle=None):
 
 
 def _payloads(rows, item, wrap):
-    """A payload of each fifty rows or so: ``item`` is one record, ``wrap`` what holds the list of them."""
-    return rows.groupBy(F.pmod(F.col("event_id"), F.lit(20))).agg(F.to_json(wrap(F.collect_list(item))).alias("payload"))
+    """A payload of each fifty ids: ``item`` is one record, ``wrap`` what holds the list of them."""
+    return rows.groupBy(F.floor(F.col("event_id") / 50)).agg(F.to_json(wrap(F.collect_list(item))).alias("payload"))
 
 
 @query(
@@ -54,7 +54,7 @@ def thermal_feed(spark, d):
     ]
     lines = table(spark, d, "events").withColumn("line", F.concat_ws(",", *[F.expr(f"cast({c} as string)") for c in cells]))
     head = "latitude,longitude,bright_ti4,acq_date,acq_time,confidence,frp,daynight"
-    csv = lines.groupBy(F.pmod("event_id", F.lit(20))).agg(F.concat(F.lit(head + "\r\n"), F.array_join(F.collect_list("line"), "\r\n")).alias("payload"))
+    csv = lines.groupBy(F.floor(F.col("event_id") / 50)).agg(F.concat(F.lit(head + "\r\n"), F.array_join(F.collect_list("line"), "\r\n")).alias("payload"))
     return landed.thermal_points(csv.select("payload").unionByName(spark.range(1).select(F.lit("<html>busy</html>").alias("payload"))))
 
 
@@ -113,3 +113,22 @@ def aircraft_states(spark, d):
         text("event_id % 2 = 0"), text("event_id % 300"), F.lit(None).cast("string"),
     )
     return landed.aircraft(_payloads(ev(spark, d), item, lambda xs: F.struct(xs.alias("states"))))
+
+
+@query(
+    sql(
+        """f as (select strftime(ts, '%Y-%m-%d') as date, strftime(date_trunc('minute', ts), '%H%M') as hm, date_trunc('minute', ts) as moment, cast(event_id % 800 as double) / 100 as lat,
+    cast(user_id % 90 as double) as lon, value as brightness, case when event_id % 7 <> 0 then cast(event_id % 50 as double) end as frp from events),
+c as (select *, strftime(ts, '%Y-%m-%d') as date from ev)
+select concat('acled:', date, ':', printf('%.3f', lat), ':', printf('%.3f', lon), ':', event_type) as source_id, 'acled' as source_type,
+    concat(description, case when fatalities > 0 then concat(' ', fatalities, ' morts rapportés.') else '' end, ' Localité : ', place, ', ', coalesce(territory, ''), '.') as text,
+    date_trunc('day', ts) + interval 12 hour as created_at, lat as geo_lat, lon as geo_lon, 5.0e0 as geo_radius_km, 'raw.news' as topic, cast(null as double) as frp, cast(null as double) as brightness from c
+union all select concat('firms:', date, ':', hm, ':', printf('%.4f', lat), ':', printf('%.4f', lon)), 'firms',
+    concat('Anomalie thermique VIIRS détectée. Puissance radiative ', coalesce(printf('%.1f', frp), '?'), ' MW, luminosité ', cast(floor(brightness + 0.5) as bigint), ' K, confiance capteur n.'),
+    moment, lat, lon, 0.4e0, 'raw.sensors', coalesce(frp, 0), brightness from f"""
+    )
+)
+def bridged_reports(spark, d):
+    """Records of the conflict index and thermal points as reports."""
+    both = bridge.conflict_reports(conflict_feed(spark, d)).unionByName(bridge.thermal_reports(thermal_feed(spark, d)))
+    return both.drop("handle", "url", "lang")
