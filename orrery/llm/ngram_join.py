@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from . import bloom
 from ._common import HOT, cut, look_up, small_batches
 from .simhash import SEED, deal, hashes, in_tasks, signed, with_sets
 
@@ -53,6 +54,8 @@ MORE = 15
 BUCKET, TASK, TASK_BYTES = 32, 4096, 64 << 20
 #: Signatures that a task gathers before it passes them on, and rows of them that it looks through at a time.
 GATHERED, SORTED = 1 << 20, 1 << 16
+#: Up to so many nodes, a filter (64 MB then) spares the shuffle of other texts.
+FILTERED = 1 << 25
 #: A sketch has at least so many bits for each shingle in which similar sets may differ.
 SKETCH_BITS = 8
 
@@ -377,9 +380,12 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     each = cut(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"), least))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        """node, t: the text of one row of each node."""
-        asked = each.join(nodes, "node").select("node", F.col("least.k").alias("_k"), F.col("least.h").alias("_h"))
-        found = texts.join(asked, texts["k"].eqNullSafe(asked["_k"]) & (texts["h"] == asked["_h"]))
+        """node, t: the text of one row of each node. While a filter of the nodes' texts fits, only what it passes is
+        shuffled; the join decides."""
+        asked = cut(each.join(nodes, "node").select("node", F.col("least.k").alias("_k"), F.col("least.h").alias("_h")))
+        n = asked.count()
+        some = bloom.sifted(texts, bloom.built(asked.select(*bloom.hashes(F.col("_h"))), n), "h") if n <= FILTERED else texts
+        found = some.join(asked, some["k"].eqNullSafe(asked["_k"]) & (some["h"] == asked["_h"]))
         return found.select("node", "t").dropDuplicates(["node"])
 
     # A set that many rows have is signed once; there are fewer than a thousand such sets.
