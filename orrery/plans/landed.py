@@ -132,3 +132,40 @@ def bridged_reports(spark, d):
     """Records of the conflict index and thermal points as reports."""
     both = bridge.conflict_reports(conflict_feed(spark, d)).unionByName(bridge.thermal_reports(thermal_feed(spark, d)))
     return both.drop("handle", "url", "lang")
+
+
+@query(
+    sql(
+        """select concat('DON', event_id) as id, trim(case when event_id % 3 = 0 then concat('Update on ', place) else event_type end) as title, date_trunc('second', ts) as published, description as summary
+from ev where event_id % 11 <> 0"""
+    )
+)
+def outbreak_feed(spark, d):
+    """Outbreak notices; those without an id are left out."""
+    item = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("PublicationDate"), F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("Summary"), F.col("event_type").alias("Title"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" Update on "), "place")).otherwise("").alias("OverrideTitle"),
+        F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("DON"), F.col("event_id"))).otherwise("").alias("DonId"),
+    )
+    return landed.outbreak_notices(_payloads(ev(spark, d), item, lambda xs: F.struct(xs.alias("value"))))
+
+
+@query(
+    sql(
+        """g as (select place as donor, cast(sum(event_id % 97) as double) as funding from ev group by place), t as (select sum(funding) as total from g),
+n as (select *, row_number() over (order by funding desc, donor) as rank from g)
+select total, donor, funding, cast(rank as integer) as rank, 'Plan of 2024' as plan, 2 * total as required, 0.5e0 as coverage from n, t where rank <= 8"""
+    )
+)
+def funding_feed(spark, d):
+    """The largest donors of a year's flows, with its plan, whose requirements were revised."""
+    given = ev(spark, d).groupBy("place").agg(F.sum(F.col("event_id") % 97).cast("double").alias("totalFunding"))
+    names = given.agg(F.sum("totalFunding").alias("total"), F.collect_list(F.struct(F.col("place").alias("name"), "totalFunding")).alias("one"))  # fifty places
+    totals = F.struct("total", F.array(F.struct(F.col("one").alias("singleFundingObjects"))).alias("objects"))
+    flows = names.select(F.to_json(F.struct(F.struct(F.struct(totals.alias("fundingTotals")).alias("report1")).alias("data"))).alias("payload"))
+    plan = lambda i, year, original, revised: F.struct(
+        F.lit(i).alias("id"), F.struct(F.lit(f"Plan of {year}").alias("name")).alias("planVersion"), F.array(F.struct(F.lit(str(year)).alias("year"))).alias("years"),
+        original.alias("origRequirements"), revised.alias("revisedRequirements"),
+    )
+    plans = names.select(F.to_json(F.struct(F.array(plan(1, 2023, F.lit(1.0), F.lit(2.0)), plan(2, 2024, F.col("total"), 2 * F.col("total"))).alias("data"))).alias("payload"))
+    return landed.funding(flows, plans, 2024)
