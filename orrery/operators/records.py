@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,35 @@ def retrieve(records: DataFrame, question: str, most: int = 6) -> DataFrame:
     return out.orderBy(F.col("score").desc(), F.col("updated_at").desc(), "id").limit(most)
 
 
+#: Status that stands for all but the archive.
+ACTIVE, ARCHIVED = "active", "archived"
+
+
+def selected(query: str = "", sector: str | None = None, status: str | None = ACTIVE) -> Column:
+    """Whether a record (title, summary, country, region, sector, status, entities: array, sources: array of structs with
+    title and publisher) is of the sector (none: any) and status (``active``: all but archived ones; none: any), and holds
+    every word of the query somewhere, its entities and the titles and publishers of its sources included. Case and marks
+    do not count; a word may be part of another. Nulls are empty, and a null status is not the archive."""
+    own = F.lit(True) if sector is None else F.coalesce(F.col("sector") == sector, F.lit(False))
+    if status == ACTIVE:
+        own &= F.coalesce(F.col("status") != ARCHIVED, F.lit(True))
+    elif status is not None:
+        own &= F.coalesce(F.col("status") == status, F.lit(False))
+    terms = question_words(query)
+    if not terms:
+        return own
+    nested = F.flatten(F.transform("sources", lambda x: F.array(x["title"], x["publisher"])))
+    fields = F.concat(F.array(*[F.col(c) for c in ("title", "summary", "country", "region", "sector")]), F.coalesce("entities", F.array().cast("array<string>")), F.coalesce(nested, F.array().cast("array<string>")))
+    hay = unmark(F.array_join(F.array_compact(fields), " "))
+    return own & F.forall(F.array(*map(F.lit, terms)), lambda t: F.contains(hay, t))
+
+
+def question_words(query: str) -> list[str]:
+    """The query's different words without case and marks, in order."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", query) if not unicodedata.combining(c)).lower()
+    return list(dict.fromkeys(plain.split()))
+
+
 def cooccurrence(mentions: DataFrame, record: str, entity: str) -> DataFrame:
     """a, b (a < b), shared: in how many records two entities meet; ``mentions`` has a row each. A record's entities are
     paired within it, so a record should name no more than a few hundred."""

@@ -184,6 +184,16 @@ def attention_index(spark, d):
     return rows.select("doc_id", score.alias("score"))
 
 
+@query(f"""with {_REC_SQL}, h as (select doc_id, status, {unmark("concat_ws(' ', text, lang, source, concat('Digest of ', source), concat('House of ', lang))")} as hay from d join r using (doc_id))
+select doc_id, status from h where status <> 'archived' and contains(hay, 'license') and contains(hay, 'digest') and contains(hay, 'house')""")
+def record_search(spark, d):
+    """Records that are not archived and hold three words, of which two stand in their nested sources alone."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, d, "documents").select(
+        "doc_id", none.alias("title"), F.col("text").alias("summary"), F.col("lang").alias("country"), none.alias("region"), F.col("source").alias("sector"), F.expr(_REC["status"]).alias("status"),
+        F.array("source", none).alias("entities"), F.array(F.struct(F.concat(F.lit("Digest of "), "source").alias("title"), F.concat(F.lit("House of "), "lang").alias("publisher"))).alias("sources"),
+    )
+    return docs.where(records.selected("  LICENSE dïgest House license ")).select("doc_id", "status")
 
 
 @query(
