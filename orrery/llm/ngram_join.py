@@ -16,8 +16,8 @@ that two similar sets have in common, a set has only spoiled ones. So min(2 H, m
 first in that order, are enough, and empty or nearly empty ranges, which unlike sets share, are hardly ever among them.
 
 Rows of signatures are sorted in tasks. A bucket (the sets that share a signature) gives candidates: a small one its
-pairs, a large one (``BUCKET``) a chain and a star first, and, once these links are known, the pairs of different
-components, found in tasks. Candidates pass a parity sketch (bits of a sketch that differ never outnumber the shingles
+pairs, a large one (``BUCKET``) a star first, and, once these links are known, the pairs of different components, found
+in tasks. Candidates pass a parity sketch (bits of a sketch that differ never outnumber the shingles
 that do), and sets that do are compared whole. No candidate is dropped otherwise: every link is found that is needed to
 join a component, and ``n_links`` is counted inside components, whose parts meet in tasks.
 
@@ -212,42 +212,57 @@ def signed_lists(texts: DataFrame, width: int, percent: int, groups: int, skip:
     return texts.select("t").mapInArrow(run, "g int, sig array<long>, node array<long>")
 
 
-def shared(lists: DataFrame) -> DataFrame:
-    """sig, node, first, last of the signatures in ``lists`` that several nodes have: a node once, with the first node of
-    its signature and the one before it (for the first: itself). Rows come sorted, and a task holds some at a time."""
+def met(lists: DataFrame) -> DataFrame:
+    """What the signatures in ``lists`` bring together. Of a signature of at most ``BUCKET`` nodes, its pairs (a < b, no
+    sig); of a larger one, its nodes (sig, a). Rows come sorted; a task holds some of them and one small bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last: tuple[int, int, int, bool] | None = None  # the last row: sig, node, first, and whether it waits for another
+        s, x, large = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last bucket, still open; of a large one, its last row
 
-        def out() -> pa.RecordBatch:
-            nonlocal last
-            s, x = (np.concatenate([*([np.array([last[i]])] if last else []), *[b.column(i).to_numpy() for b in held]]) for i in (0, 1))
+        def out(end: bool) -> pa.RecordBatch:
+            nonlocal s, x, large
+            before = int(large)  # rows that were passed on already
+            s, x = (np.concatenate([old, *[b.column(i).to_numpy() for b in held]]) for i, old in enumerate((s, x)))
             held.clear()
             own = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
             s, x = s[own], x[own]
-            new = np.concatenate([[last is None or last[3]], s[1:] != s[:-1]])
-            at = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), np.arange(len(s)), 0))
-            begins = x[at]
-            if last:
-                begins[at == 0] = last[2]
-            before = np.where(new, x, np.concatenate([x[:1], x[:-1]]))
-            passed = ~new | np.append(s[1:] == s[:-1], False)
-            if last and not last[3]:
-                passed[0] = False  # it was passed on before
-            last = int(s[-1]), int(x[-1]), int(begins[-1]), bool(new[-1])
-            return pa.RecordBatch.from_arrays([pa.array(y[passed]) for y in (s, x, begins, before)], names=["sig", "node", "first", "last"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-            if sum(x.num_rows for x in held) >= SORTED:
-                yield out()
-        if held:
-            yield out()
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(starts, len(s)))
+            big = size > BUCKET
+            big[0] |= large
+            open_ = 0 if end or big[-1] else int(size[-1])  # an open small bucket waits
+            bucket, many = np.repeat(np.arange(len(size)), size), np.repeat(big, size)
+            n = len(s) - open_
+            lone = np.arange(n)[many[:n]][before:] if before else np.flatnonzero(many[:n])
+            firsts, seconds = [], []
+            for d in range(1, BUCKET):
+                i = np.flatnonzero((bucket[: max(0, n - d)] == bucket[d:n]) & ~many[: max(0, n - d)])
+                if not len(i):
+                    break
+                firsts.append(x[i])
+                seconds.append(x[i + d])
+            pairs = sum(map(len, firsts))
+            a = pa.array(np.concatenate([*firsts, x[lone]]))
+            b = pa.array(np.concatenate([*seconds, np.zeros(len(lone), np.int64)]), mask=np.arange(pairs + len(lone)) >= pairs)
+            sig = pa.array(np.concatenate([np.zeros(pairs, np.int64), s[lone]]), mask=np.arange(pairs + len(lone)) < pairs)
+            large = bool(big[-1])
+            s, x = (s[-1:], x[-1:]) if large else (s[n:], x[n:])
+            return pa.RecordBatch.from_arrays([a, b, sig], names=["a", "b", "sig"])
+
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= SORTED:
+                yield out(False)
+                rows = 0
+        if held or len(s):
+            yield out(True)
 
     rows = lists.repartition("g").select(F.inline(F.arrays_zip("sig", "node"))).sortWithinPartitions("sig", "node")
-    return rows.mapInArrow(run, "sig long, node long, first long, last long")
+    return rows.mapInArrow(run, "a long, b long, sig long")
 
 
 def pairs_of(links: DataFrame) -> DataFrame:
@@ -345,19 +360,24 @@ def in_parts(members: DataFrame, group: str, weight: str, find: Callable) -> Dat
     return in_tasks(deal(placed, "node", F.col("_parts")).drop("_parts"), find)
 
 
+def stars(large: DataFrame) -> DataFrame:
+    """a, b: of every large bucket (rows sig, node), each node and the one that is in the most large buckets: of copies
+    changed in different places, that is the text that they were made of, if it is there."""
+    often = large.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
+    heads = large.join(often, "node").groupBy("sig").agg(F.max(F.struct("often", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("size"))
+    return look_up(large, heads, "sig", "size").select("a", F.col("node").alias("b")).distinct()
+
+
 def links_of(rows: DataFrame, each: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (as ``shared`` returns them): links (a, b) whose components are those of all links, and the sets of the
+    """Of ``rows`` (as ``met`` returns them): links (a, b) whose components are those of all links, and the sets of the
     nodes in them. ``each``: node, n, bits. ``fetch``: a table of nodes to their sets (node, set)."""
-    size = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    sized = cut(look_up(rows, size, "sig", "size"))
-    small, large = sized.where(F.col("size") <= BUCKET), sized.where(F.col("size") > BUCKET)
-    listed = small.select("sig", F.col("node").alias("a")).join(small.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b")
-    starred = large.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(large.select(F.col("last").alias("a"), F.col("node").alias("b")))
-    close = cut(sketched(pairs_of(listed.unionByName(starred)), each, percent))
+    listed, large = rows.where("sig is null").select("a", "b"), rows.where("sig is not null").select("sig", F.col("a").alias("node"))
+    none = large.isEmpty()
+    close = cut(sketched(pairs_of(listed if none else listed.unionByName(stars(large))), each, percent))
     nodes = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = cut(fetch(nodes))
     links = cut(compared(close, sets, percent))
-    if large.isEmpty():
+    if none:
         return links, sets
     joined = components(links)
     rooted = large.select("sig", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -394,7 +414,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     lists = signed_lists(texts, width, percent, groups, hot)
     if hot:
         lists = lists.unionByName(signed_lists(texts_of(spark.createDataFrame([(x,) for x in hot], "node long")), width, percent, groups))
-    links, sets = links_of(cut(shared(lists)), each, lambda nodes: with_sets(texts_of(nodes), width), percent)
+    links, sets = links_of(cut(met(lists)), each, lambda nodes: with_sets(texts_of(nodes), width), percent)
 
     joined = components(links)
     rooted = cut(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(each.select("node", "n", "copies", "least"), "node"))
