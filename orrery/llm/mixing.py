@@ -16,8 +16,8 @@ Permuted orders are summed in two levels (buckets of about ``BUCKET`` blocks), s
 depend on hashes and seeds alone: reruns agree.
 
 Defined results: a null or empty text has size 0 and may be taken without counting; a null source is a source of its
-own, after all others; rows that are equal in key, source and text are drawn together; a source without words has
-target 0; an empty table gives an empty mix. Other columns pass through ``Mix.rows_of``; names that would clash with
+own, after all others; rows that are equal in key, source and text are numbered, and drawn apart as others are; a source
+without words has target 0; an empty table gives an empty mix. Other columns pass through ``Mix.rows_of``; names that would clash with
 the appended ones are replaced.
 """
 
@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ._common import cut, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -108,6 +109,7 @@ class Mix:
     rows: DataFrame  # key, skey, size, h, block: one for each input row
     draws: DataFrame  # skey, block, pass, cut, shard: one for each block that a shard draws
     taken: DataFrame  # skey, h: the rows that are taken of cut blocks
+    repeats: DataFrame  # h: hashes of rows that are equal in key, source and text
     key: str
     text: str
     source: str
@@ -135,6 +137,7 @@ class Mix:
             source_key(F.col(f"`{self.source}`")).alias("_skey"),
             row_hash(self.key, self.source, self.text, self.seed).alias("_h"),
         )
+        held = apart(held, self.repeats, "_h")
         drawn = self.draws.select(F.col("skey").alias("_skey"), F.col("block").alias("_block"), F.col("pass").alias("_pass"), F.col("cut").alias("_cut"), "shard")
         once = self.taken.select(F.col("skey").alias("_skey"), F.col("h").alias("_h"), F.lit(True).alias("_once")).distinct()
         few_once = F.broadcast if self.taken.count() <= BROADCAST_ROWS else lambda df: df
@@ -156,6 +159,21 @@ def row_hash(key: str, source: str, text: str, seed: int) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`"), F.lit(seed))
 
 
+def apart(rows: DataFrame, repeats: DataFrame, h: str) -> DataFrame:
+    """``rows``, where those whose hash ``h`` is among ``repeats`` get hashes of their own: the first keeps it, the k-th
+    hashes it with k. Which of equal rows is the k-th is open. They are numbered over ranges, so a row of any number of
+    copies is spread; rows of other hashes are not moved."""
+    n = repeats.count()
+    if not n:
+        return rows
+    again = F.broadcast(repeats) if n <= BROADCAST_ROWS else repeats
+    again = again.withColumnRenamed("h", h)
+    others = [c for c in rows.columns if c != h]
+    packed = rows.join(again, h, "left_semi").select(h, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.monotonically_increasing_id().alias("_tie"))
+    own = numbered(packed, [h], ["_tie"], "_k").withColumn(h, F.when(F.col("_k") > 1, F.xxhash64(h, "_k")).otherwise(F.col(h)))
+    return rows.join(again, h, "left_anti").unionByName(own.select(h, "_row.*"))
+
+
 def block_of(h: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(h, F.lit("block")), blocks)
 
@@ -176,6 +194,8 @@ def mix(
             row_hash(key, source, text, seed).alias("h"),
         )
     )
+    repeats = cut(base.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h"))
+    base = apart(base, repeats, "h")
     sizes = base.groupBy("skey", "source").agg(F.sum("size").cast("long").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     sources = cut(
@@ -250,4 +270,4 @@ def mix(
     # One block a source, of about block_words words in rows of at least one.
     last = rows.where("size > 0").join(own.where("cut").select("skey", "block", "room"), ["skey", "block"])
     taken = cut(last.groupBy("skey", "room", "h", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("skey").applyInPandas(choose, "skey string, h long"))
-    return Mix(sources, rows, draws, taken, key, text, source, seed)
+    return Mix(sources, rows, draws, taken, repeats, key, text, source, seed)
