@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.geo import haversine_km
 from ..functions.stats import excess_llr
+from .folds import fold
 from .numbering import numbered
 
 # Learning rates, samples before detection, threshold, share learnt from anomalies; cylinders of the scan.
@@ -25,27 +27,26 @@ def season(ts: Column) -> Column:
     return F.hour(ts) + F.when(F.dayofweek(ts).isin(1, 7), 24).otherwise(0)
 
 
-def seasonal_hits(samples: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+def _learn(state: tuple, row: tuple, threshold: float) -> tuple[tuple, tuple | None]:
+    """One sample (ts, value) into (n, level, scale) of its key and season; what it emits if it is anomalous."""
+    (n, level, scale), (ts, v) = state, row
+    if n == 0:
+        return (1, v, max(1e-6, abs(v) * 0.12)), None
+    z = (v - level) / max(scale, abs(level) * 0.03, 1e-6)
+    hit = n >= LEAST and abs(z) >= threshold
+    rate = DAMPED if hit else 1.0
+    learnt = (n + 1, level + rate * LEVEL * (v - level), scale + rate * SCALE * (abs(v - level) - scale))
+    return learnt, (ts, v, level, z) if hit else None
+
+
+def seasonal_hits(samples: DataFrame, key: str, threshold: float = THRESHOLD, parts: int | None = None) -> DataFrame:
     """key, ts, value, expected, z, direction, score of the anomalous samples (key, ts, value). Each (key, season) is
-    folded on its own: an exponential mean of level and deviation, learnt more slowly from anomalies. What a fold holds
-    is one key's samples of one hour of the day."""
-    double = lambda x: F.lit(x).cast("double")
-    start = F.struct(F.lit(0).alias("n"), double(0.0).alias("level"), double(0.0).alias("scale"), F.array().cast("array<struct<ts:timestamp_ntz,value:double,expected:double,z:double>>").alias("hits"))
-
-    def step(a: Column, s: Column) -> Column:
-        v = s["value"]
-        width = F.greatest(a["scale"], F.abs(a["level"]) * 0.03, double(1e-6))
-        z = (v - a["level"]) / width
-        hit = (a["n"] >= LEAST) & (F.abs(z) >= threshold)
-        rate = F.when(hit, DAMPED).otherwise(1.0)
-        level = F.when(a["n"] == 0, v).otherwise(a["level"] + rate * LEVEL * (v - a["level"]))
-        scale = F.when(a["n"] == 0, F.greatest(double(1e-6), F.abs(v) * 0.12)).otherwise(a["scale"] + rate * SCALE * (F.abs(v - a["level"]) - a["scale"]))
-        found = F.struct(s["ts"].alias("ts"), v.alias("value"), a["level"].alias("expected"), z.alias("z"))
-        hits = F.when(hit, F.array_append(a["hits"], found)).otherwise(a["hits"])
-        return F.struct((a["n"] + 1).alias("n"), level.alias("level"), scale.alias("scale"), hits.alias("hits"))
-
-    rows = samples.where("value is not null").groupBy(key, season(F.col("ts")).alias("_s")).agg(F.array_sort(F.collect_list(F.struct("ts", F.col("value").cast("double").alias("value")))).alias("x"))
-    hits = rows.select(key, F.inline(F.aggregate("x", start, step)["hits"]))
+    folded on its own: an exponential mean of level and deviation, learnt more slowly from anomalies. Samples are taken by
+    ts, then value; nulls are left out. A key of any length is spread over ranges (``folds.fold``)."""
+    kind = dict(samples.dtypes)["ts"]
+    rows = samples.where("value is not null").select(key, season(F.col("ts")).alias("_s"), "ts", F.col("value").cast("double").alias("value"))
+    out = f"ts {kind}, value double, expected double, z double"
+    hits = fold(rows, [key, "_s"], ["ts", "value"], (0, 0.0, 0.0), partial(_learn, threshold=threshold), "n long, level double, scale double", out, parts).drop("_s")
     over = (F.abs(F.col("z")) - threshold) / threshold
     return hits.withColumns(
         {"direction": F.when(F.col("z") < 0, "drop").otherwise("spike"), "score": F.least(F.lit(0.99), 0.5 + 0.5 * (1 - F.exp(-over)))}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .feed import active, age_hours, hours_before, timestamp
+from .folds import run_lengths
 from .tallies import incident, window_of
 
 
@@ -54,18 +55,14 @@ def latest_as_of(samples: DataFrame, key: str, now: datetime) -> DataFrame:
 
 
 def runs(samples: DataFrame, key: str, hit: Column, order: list[str]) -> DataFrame:
-    """Appends run: how many hits in a row end at this sample (0 where it is none)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = samples.withColumn("hit", hit)
-    rows = rows.withColumn("_island", F.count_if(~F.col("hit")).over(w))
-    within = Window.partitionBy(key, "_island").orderBy(*order)
-    return rows.withColumn("run", F.when(F.col("hit"), F.count_if("hit").over(within)).otherwise(0).cast("long")).drop("_island")
+    """Appends hit, and run: how many hits in a row end at this sample (0 where it is none). A long history is spread."""
+    return run_lengths(samples.drop("hit"), [key], order, hit)
 
 
 def outages(samples: DataFrame, key: str, order: list[str], least: int = 3) -> DataFrame:
     """The state of each key after its last sample: run length, and whether it is an outage (a run of drops).
     samples: key, order columns, hit (boolean), drop (boolean)."""
-    rows = runs(samples, key, F.col("hit"), order)
+    rows = runs(samples.withColumnRenamed("hit", "_hit"), key, F.col("_hit"), order)
     last = F.struct(*order, "run", "drop")
     state = rows.groupBy(key).agg(F.max(last).alias("m"))
     return state.select(key, F.col("m.run").alias("run"), ((F.col("m.run") >= least) & F.col("m.drop")).alias("outage"))

@@ -220,10 +220,26 @@ def entity_cooccurrence(spark, d):
     return records.cooccurrence(m, "l_orderkey", "p_brand")
 
 
-@query()
+@query(
+    f"""with recursive h as (select event_type, date_trunc('hour', ts) as ts, sum(value) as v from events where value is not null group by all),
+s as (select *, hour(ts) + case when dayofweek(ts) in (0, 6) then 24 else 0 end as b from h), k as (select *, row_number() over (partition by event_type, b order by ts, v) as i from s),
+f as (
+    select event_type, b, i, ts, v, v as level, greatest(1e-6, abs(v) * 0.12e0) as scale, 0.0e0 as expected, 0.0e0 as z, false as hit from k where i = 1
+    union all
+    select event_type, b, i, ts, v, level + r * {anomaly.LEVEL}e0 * (v - level), scale + r * {anomaly.SCALE}e0 * (abs(v - level) - scale), level, z, hit
+    from (
+        select *, case when hit then {anomaly.DAMPED}e0 else 1.0e0 end as r
+        from (select *, i > {anomaly.LEAST} and abs(z) >= {anomaly.THRESHOLD}e0 as hit
+            from (select k.*, f.level, f.scale, (k.v - f.level) / greatest(f.scale, abs(f.level) * 0.03e0, 1e-6) as z from f join k on k.event_type = f.event_type and k.b = f.b and k.i = f.i + 1))
+    )
+)
+select event_type, ts, round(v, 4) as value, round(expected, 4) as expected, round(z, 4) as z, case when z < 0 then 'drop' else 'spike' end as direction,
+    round(least(0.99e0, 0.5e0 + 0.5e0 * (1 - exp(-(abs(z) - {anomaly.THRESHOLD}e0) / {anomaly.THRESHOLD}e0))), 4) as score from f where hit"""
+)
 def seasonal_hits(spark, d):
     hourly = table(spark, d, "events").groupBy("event_type", F.date_trunc("HOUR", F.col("ts")).cast("timestamp_ntz").alias("ts")).agg(F.sum("value").alias("value"))
-    return anomaly.seasonal_hits(hourly, "event_type")
+    hits = anomaly.seasonal_hits(hourly, "event_type")
+    return hits.select("event_type", "ts", "direction", *[F.round(c, 4).alias(c) for c in ("value", "expected", "z", "score")])
 
 
 def _scanned(spark, d):
