@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
+# Axis and square of the excentricity of the ellipsoid, scale on a zone's meridian, letters of bands, columns and rows.
+AXIS_M, ECC2, SCALE = 6378137.0, 0.00669438, 0.9996
+BANDS, COLUMNS, ROWS = "CDEFGHJKLMNPQRSTUVWX", "ABCDEFGHJKLMNPQRSTUVWXYZ", "ABCDEFGHJKLMNPQRSTUV"
 KM_LAT, KM_LON = 110.57, 111.32
 
 
@@ -81,3 +84,68 @@ def cell_in(band: Column, lon: Column, km: float) -> Column:
     edge = F.greatest(F.abs(band), F.abs(band + 1)) + 1
     width = F.least(F.lit(360.0), km / (KM_LON * F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), edge * km / KM_LAT))))))
     return F.floor(lon / width).cast("int")
+
+
+def utm_zone(lat: Column, lon: Column) -> Column:
+    """Number of a point's zone, wider ones of the north included."""
+    plain = F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1)
+    far = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+    return F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when((lat >= 72) & (lon >= 0) & (lon < 42), far).otherwise(plain)
+
+
+def utm(lat: Column, lon: Column) -> Column:
+    """struct(zone, east, north) in metres by the transverse Mercator series; north counts from the equator, negative south
+    of it. Null outside of -80 to 84 degrees or -180 to 180, and for nulls."""
+    bind = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  binds a value: inlined, it would be computed anew at each use
+
+    def series(v: Column) -> Column:
+        second = ECC2 / (1 - ECC2)
+        n = AXIS_M / F.sqrt(1 - ECC2 * v["s"] * v["s"])
+        t, c = F.pow(v["t"], F.lit(2.0)), second * v["c"] * v["c"]
+        a = v["c"] * v["l"]
+        east = a + (1 - t + c) * F.pow(a, F.lit(3.0)) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * second) * F.pow(a, F.lit(5.0)) / 120
+        e4, e6 = ECC2**2, ECC2**3
+        arc = AXIS_M * (
+            (1 - ECC2 / 4 - 3 * e4 / 64 - 5 * e6 / 256) * v["p"]
+            - (3 * ECC2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024) * F.sin(2 * v["p"])
+            + (15 * e4 / 256 + 45 * e6 / 1024) * F.sin(4 * v["p"])
+            - (35 * e6 / 3072) * F.sin(6 * v["p"])
+        )
+        up = a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, F.lit(4.0)) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * second) * F.pow(a, F.lit(6.0)) / 720
+        return F.struct(v["zone"].alias("zone"), (SCALE * n * east + 500000).alias("east"), (SCALE * (arc + n * v["t"] * up)).alias("north"))
+
+    p = F.radians(lat)
+    inside = lat.between(-80, 84) & lon.between(-180, 180)
+    parts = bind(
+        F.struct(utm_zone(lat, lon).alias("zone"), p.alias("p"), lon.alias("lon")),
+        lambda z: F.struct(
+            z["zone"].alias("zone"), z["p"].alias("p"), F.sin(z["p"]).alias("s"), F.cos(z["p"]).alias("c"), F.tan(z["p"]).alias("t"), F.radians(z["lon"] - (z["zone"] * 6 - 183)).alias("l")
+        ),
+    )
+    return F.when(inside, bind(parts, series))
+
+
+def mgrs(lat: Column, lon: Column, digits: int = 5) -> Column:
+    """The military grid reference: zone, band, square of 100 km, and so many digits each of east and north, cut off. Null
+    where ``utm`` is; the grid of the poles is not offered."""
+    if not 0 <= digits <= 5:
+        raise ValueError("a grid reference has 0 to 5 digits")
+    band = F.substring(F.lit(BANDS), F.least(F.lit(20), F.floor((lat + 80) / 8).cast("int") + 1), F.lit(1))
+
+    def text(u: Column) -> Column:
+        east, north = F.floor(u["east"]), F.floor(u["north"] + F.when(u["north"] < 0, 10000000.0).otherwise(0.0))
+        column = F.pmod(u["zone"] - 1, F.lit(3)) * 8 + F.floor(east / 100000)
+        row = F.pmod(F.floor(north / 100000) + F.when(u["zone"] % 2 == 0, 5).otherwise(0), F.lit(20)) + 1
+        within = lambda x: F.lpad(F.floor(F.pmod(x, F.lit(100000)) / 10 ** (5 - digits)).cast("string"), digits, "0") if digits else F.lit("")
+        square = F.concat(F.substring(F.lit(COLUMNS), column.cast("int"), F.lit(1)), F.substring(F.lit(ROWS), row.cast("int"), F.lit(1)))
+        return F.concat(u["zone"].cast("string"), u["band"], square, within(east), within(north))
+
+    at = utm(lat, lon)
+    whole = F.transform(F.array(at), lambda u: F.struct(u["zone"].alias("zone"), u["east"].alias("east"), u["north"].alias("north"), band.alias("band")))
+    return F.transform(whole, text)[0]
+
+
+def position_text(lat: Column, lon: Column, decimals: int = 4) -> Column:
+    """A point for display: absolute degrees with up to eight decimals, and their letters."""
+    one = lambda x, pos, neg: F.concat(F.format_string(f"%.{max(0, min(8, decimals))}f", F.abs(x)), F.lit("°"), F.when(x >= 0, pos).otherwise(neg))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat_ws("  ", one(lat, "N", "S"), one(lon, "E", "W")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
+from .patterns import contained
 
 # Type, weight, cues of a rule; the first cue that the folded text contains counts once.
 RULES = [
@@ -98,24 +99,34 @@ OFF_TOPIC = [
 VIOLENT = ["armed_clash", "shelling", "airstrike", "drone_strike", "ied", "abduction", "massacre", "sexual_violence", "looting", "arson", "troop_movement"]
 HABIT, FACING, ABDUCTED, DISPLACED, INJURED, MANY_DEAD, MANY_DEAD_FOUGHT, MANY = 0.55, 1.8, 1.6, 1.4, 0.4, 1.9, 0.7, 8
 TEMPERATURE, ALTERNATES, EVIDENCE = 2.0, 3, 6
+FOUND = T.StructType().add("cues", T.ArrayType(T.StringType())).add("cuts", T.ArrayType(T.BooleanType())).add("leisure", T.BooleanType())
 
 
+#: All cues in one list, and of each what it stands for: a rule, a suppressor or what is off topic.
+_CUES = [(i, None, c) for i, (_, _, cues) in enumerate(RULES) for c in cues] + [(None, i, c) for i, (_, cues) in enumerate(SUPPRESSORS) for c in cues] + [(None, None, c) for c in OFF_TOPIC]
+_WORDS = tuple(c for *_, c in _CUES)
 
 
-FOUND = T.StructType().add("cues", T.ArrayType(T.StringType())).add("cuts", T.ArrayType(T.BooleanType())).add("leisure", T.BooleanType())
+def _cues_of(text: str) -> tuple[list[str | None], list[bool], bool]:
+    first: list[str | None] = [None] * len(RULES)
+    cuts, leisure = [False] * len(SUPPRESSORS), False
+    for i in sorted(contained(_WORDS, text), reverse=True):  # a rule's earlier cues come later
+        rule, cut, word = _CUES[i]
+        if rule is not None:
+            first[rule] = word
+        elif cut is not None:
+            cuts[cut] = True
+        else:
+            leisure = True
+    return first, cuts, leisure
 
 
 @F.pandas_udf(FOUND)
 def cues_in(texts: pd.Series) -> pd.DataFrame:
-    """What of the rules a folded text contains: each rule's first cue or null, each suppressor or not, off-topic or not."""
-    given = texts.fillna("")
-    return pd.DataFrame(
-        {
-            "cues": [[next((c for c in cues if c in t), None) for _, _, cues in RULES] for t in given],
-            "cuts": [[any(c in t for c in cues) for _, cues in SUPPRESSORS] for t in given],
-            "leisure": [any(c in t for c in OFF_TOPIC) for t in given],
-        }
-    )
+    """What of the rules a folded text contains: each rule's first cue or null, each suppressor or not, off-topic or not.
+    One pass over a text finds all."""
+    each = [_cues_of(t) for t in texts.fillna("")]
+    return pd.DataFrame({"cues": [x[0] for x in each], "cuts": [x[1] for x in each], "leisure": [x[2] for x in each]})
 
 
 def classified(rows: DataFrame, folded: Column, actors: Column, fatalities: Column, injured: Column, abducted: Column, displaced: Column, name: str = "class") -> DataFrame:

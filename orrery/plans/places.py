@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import geo
 from ..operators import spatial
 from .adapter import ev, sql, table, values
 
@@ -159,3 +160,28 @@ def terrain_class(spark, d):
 def geo_enrichment(spark, d):
     rows = ev(spark, d).select("event_id", "lat", "lon", "radius_km", F.expr(_PROV).alias("known_province"))
     return spatial.enrich(rows)
+
+
+_GRID = "k as (select c_custkey, (c_custkey * 7919 % 168001) / 1000.0e0 - 82 as lat, (c_custkey * 104729 % 360000) / 1000.0e0 - 180 as lon from customer)"
+
+
+@query(
+    f"""with {_GRID},
+z as (select *, case when lat >= 56 and lat < 64 and lon >= 3 and lon < 12 then 32 when lat >= 72 and lon >= 0 and lon < 9 then 31 when lat >= 72 and lon >= 9 and lon < 21 then 33
+    when lat >= 72 and lon >= 21 and lon < 33 then 35 when lat >= 72 and lon >= 33 and lon < 42 then 37 else least(60, cast(floor((lon + 180) / 6) as int) + 1) end as z from k),
+p as (select *, radians(lat) as f, radians(lon - (z * 6 - 183)) as l, {geo.ECC2}e0 as e, {geo.ECC2}e0 / (1 - {geo.ECC2}e0) as g from z where lat between -80 and 84),
+q as (select *, {geo.AXIS_M}e0 / sqrt(1 - e * sin(f) ** 2) as n, tan(f) ** 2 as t, g * cos(f) ** 2 as c, cos(f) * l as a from p),
+u as (select *, {geo.SCALE}e0 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * g) * a ** 5 / 120) + 500000 as east,
+    {geo.SCALE}e0 * ({geo.AXIS_M}e0 * ((1 - e / 4 - 3 * e ** 2 / 64 - 5 * e ** 3 / 256) * f - (3 * e / 8 + 3 * e ** 2 / 32 + 45 * e ** 3 / 1024) * sin(2 * f)
+        + (15 * e ** 2 / 256 + 45 * e ** 3 / 1024) * sin(4 * f) - (35 * e ** 3 / 3072) * sin(6 * f))
+        + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * g) * a ** 6 / 720)) as north from q),
+w as (select *, cast(floor(east) as bigint) as x, cast(floor(north + case when north < 0 then 10000000 else 0 end) as bigint) as y from u),
+m as (select c_custkey, concat(z, substr('{geo.BANDS}', least(20, cast(floor((lat + 80) / 8) as int) + 1), 1), substr('{geo.COLUMNS}', ((z - 1) % 3) * 8 + x // 100000, 1),
+    substr('{geo.ROWS}', (y // 100000 + case when z % 2 = 0 then 5 else 0 end) % 20 + 1, 1), lpad(cast(x % 100000 // 10 as varchar), 4, '0'), lpad(cast(y % 100000 // 10 as varchar), 4, '0')) as grid from w)
+select c_custkey, grid, concat(printf('%.4f', abs(lat)), '°', case when lat >= 0 then 'N' else 'S' end, '  ', printf('%.4f', abs(lon)), '°', case when lon >= 0 then 'E' else 'W' end) as position
+from k left join m using (c_custkey)"""
+)
+def grid_references(spark, d):
+    """Grid references to ten metres of points all over the world; null near the poles."""
+    k = table(spark, d, "customer").selectExpr("c_custkey", "(c_custkey * 7919 % 168001) / 1000.0e0 - 82 as lat", "(c_custkey * 104729 % 360000) / 1000.0e0 - 180 as lon")
+    return k.select("c_custkey", geo.mgrs(F.col("lat"), F.col("lon"), 4).alias("grid"), geo.position_text(F.col("lat"), F.col("lon")).alias("position"))

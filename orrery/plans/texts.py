@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import stats, text, times
-from ..operators import anomaly, records
+from ..operators import anomaly, patterns, records
 from .adapter import NOW, NOW_SQL, ev, rp, sql, table, values
 from .places import km
 
@@ -276,3 +276,22 @@ def source_validation(spark, d):
     p = table(spark, d, "pages").selectExpr("page_id", "substr(html, 1, 5) as t", "'press' as pub", "url", "case when page_id % 3 = 0 then '2024-02-30' end as published", "'2024-01-20' as retrieved")
     e = records.source_errors(*[F.col(c) for c in ("t", "pub", "url", "published", "retrieved")], date(2024, 1, 31))
     return p.select("page_id", F.array_join(e, ",").alias("errors"))
+
+
+def _any(x: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+#: A report's text in both engines: a document with a dateline before it, of which some name the region.
+_DATED = "concat(case doc_id % 7 when 0 then 'GOMA: ' when 1 then 'Kasaï-Oriental, ' when 2 then 'Lyon, ' when 3 then 'Les Maï-Maï, ' when 4 then 'CODECO; ' else '' end, coalesce(text, ''))"
+
+
+@query(
+    f"""with d as (select doc_id, {_DATED} as text from documents), r as (select doc_id, {_any("lower(text)", patterns.RELEVANT)} as browsed, {_any(unmark('text'), patterns.RELEVANT_COLLECTED)} as collected from d)
+select * from r where browsed or collected"""
+)
+def relevant_reports(spark, d):
+    """Whole texts that name the region, by either list of words."""
+    x = F.expr(_DATED)
+    rows = table(spark, d, "documents").select("doc_id", patterns.relevant(F.lower(x)).alias("browsed"), patterns.relevant(text.unmark(x), patterns.RELEVANT_COLLECTED).alias("collected"))
+    return rows.where("browsed or collected")
