@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, unmark
 from ..storage import cut
-from .feed import active, age_hours
+from .feed import active, age_hours, highlights, hours_before, timestamp
+from .folds import run_lengths
 from .records import retrieve, scored
-from .tallies import periods, silent, upper_median_lag
+from .tallies import actor_activity, period_counts, periods, silent, trend_lines, upper_median_lag
 
 #: A level that writes but does not review.
 WRITER = "analyst"
@@ -117,3 +118,55 @@ def brief(records: DataFrame, question: str, most: int = 6) -> DataFrame:
     checks = {"open_record": F.col("found") == 0, "add_sources": F.col("unsourced") > 0, "second_source": F.col("single") > 0, "settle_dispute": F.col("disputed") > 0, "submit_drafts": F.col("drafts") > 0, "approve_brief": F.col("found") > 0}
     steps = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
     return out.select("found", "usable", "verified", "disputed", "unsourced", "illustrative", level.alias("level"), "findings", missed.alias("missed"), "unresolved", steps.alias("steps"))
+
+
+# States of a region's connectivity.
+DEGRADED, WATCHED, NOMINAL = "DÉGRADÉ", "SURVEILLÉ", "NOMINAL"
+
+
+def connectivity(samples: DataFrame, key: str, order: list[str], least: int = 3) -> DataFrame:
+    """``key``, status, run, drop: how each key stands after its last sample (``key``, ``order``, hit, drop). Degraded after
+    so many hits in a row of which the last is a drop, watched after any hit ever, else nominal. ``run`` counts the hits at
+    the end, ``drop`` tells of the last hit (null without one)."""
+    rows = run_lengths(samples.select(key, *order, F.coalesce("hit", F.lit(False)).alias("_hit"), "drop"), [key], order, F.col("_hit"))
+    at = F.struct(*order)
+    ends = rows.groupBy(key).agg(F.max_by("run", at).alias("run"), F.max_by("drop", F.when(F.col("hit"), at)).alias("drop"), F.count_if("hit").alias("_hits"))
+    state = F.when((F.col("run") >= least) & F.col("drop"), DEGRADED).when(F.col("_hits") > 0, WATCHED).otherwise(NOMINAL)
+    return ends.select(key, state.alias("status"), "run", "drop")
+
+
+def _listed(rows: DataFrame, name: str, order: list[Column], *columns: str) -> DataFrame:
+    """One row: an array of the rows' columns as structs, in an order that their values settle."""
+    first = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.struct(*columns).alias("x"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["x"]).alias(name))
+
+
+def sitrep(
+    events: DataFrame, now: datetime, hours: float = 24, province: str | None = None, monitors: DataFrame | None = None,
+    clusters: DataFrame | None = None, least: float = 0.45, gap_key: str = "territory",
+) -> DataFrame:
+    """A situation report as one row: province, period_start, period_end; the columns of ``tallies.period_counts``; and
+    arrays of structs: highlights (event_id, priority, confidence), trends, actors, gaps, connectivity (from ``monitors``:
+    province, status, run, drop) and clusters (as ``anomaly.scan`` gives them), each in its own order; empty where there
+    is nothing. A province (null: all) restricts events and monitors. A list is as long as there are types and places,
+    never as events, so the row stays small whatever their number."""
+    rows = events if province is None else events.where(F.col("province") == province)
+    cur, _ = periods(now, hours)
+    best = highlights(active(rows).where(cur), least)
+    change = -F.abs(F.col("current") - F.col("previous"))
+    parts = [
+        _listed(best, "highlights", [-F.col("priority"), F.col("event_id")], "event_id", "priority", "confidence"),
+        _listed(trend_lines(rows, now, hours), "trends", [~F.col("significant"), change, F.col("kind"), F.col("label")], "kind", "label", "current", "previous", "delta_pct", "significant", "direction"),
+        _listed(actor_activity(rows, now, hours), "actors", [-F.col("current"), F.col("actor")], "actor", "current", "previous", "delta_pct"),
+        _listed(gaps(rows, now, hours, gap_key), "gaps", [F.col("gap")], "gap", "n", "detail"),
+    ]
+    if monitors is not None:
+        own = monitors if province is None else monitors.where(F.col("province") == province)
+        parts.append(_listed(own, "connectivity", [F.col("province")], "province", "status", "run", "drop"))
+    if clusters is not None:
+        parts.append(_listed(clusters, "clusters", [-F.col("llr"), F.col("centre"), F.col("radius_km"), F.col("hours")], *clusters.columns))
+    out = period_counts(rows, now, hours)
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    head = [F.lit(province).cast("string").alias("province"), hours_before(now, hours).alias("period_start"), timestamp(now).alias("period_end")]
+    return out.select(*head, "*")

@@ -185,3 +185,18 @@ def grid_references(spark, d):
     """Grid references to ten metres of points all over the world; null near the poles."""
     k = table(spark, d, "customer").selectExpr("c_custkey", "(c_custkey * 7919 % 168001) / 1000.0e0 - 82 as lat", "(c_custkey * 104729 % 360000) / 1000.0e0 - 180 as lon")
     return k.select("c_custkey", geo.mgrs(F.col("lat"), F.col("lon"), 4).alias("grid"), geo.position_text(F.col("lat"), F.col("lon")).alias("position"))
+
+
+@query(
+    sql(
+        f"""s(i, la, lo, label) as (select s_suppkey, -4 + (s_suppkey * 61 % 8000) / 1000.0e0, 27 + (s_suppkey * 37 % 4000) / 1000.0e0, s_name from supplier),
+a as (select event_id, lat, lon, 8.0e0 * (1 + event_id % 5) as r from ev),
+k as (select event_id, i, label, {km('lat', 'lon', 'la', 'lo')} as km, r from a, s), o as (select *, row_number() over (partition by event_id order by km, i) as n from k where km <= r),
+m as (select event_id, count(*) as n, string_agg(label, '–' order by n) as x from o where n <= 3 group by 1)
+select event_id, case when m.n > 1 then concat('axe ', x) when m.n = 1 then x else printf('%.3f, %.3f', lat, lon) end as name, cast(coalesce(m.n, 0) as int) as n from a left join m using (event_id)"""
+    )
+)
+def area_names(spark, d):
+    """What areas around events are called by the nearest settlements in them."""
+    f = table(spark, d, "supplier").selectExpr("s_suppkey as feature", "s_name as label", "-4 + (s_suppkey * 61 % 8000) / 1000.0e0 as lat", "27 + (s_suppkey * 37 % 4000) / 1000.0e0 as lon")
+    return spatial.named_areas(ev(spark, d).selectExpr("event_id", "lat", "lon", "8.0e0 * (1 + event_id % 5) as radius_km"), f, "event_id")

@@ -10,7 +10,7 @@ from ..operators import anomaly, reports, scanner
 from ..operators import classify as rules
 from .adapter import NOW, NOW_SQL, ev, sql, table, values
 from .texts import fold, unmark
-from .views import CUR, PERIOD_H, back
+from .views import CUR, PERIOD_H, PREV, back
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -157,6 +157,50 @@ def period_gaps(spark, d):
     return reports.gaps(ev(spark, d), NOW, PERIOD_H, "handle")
 
 
+_LINE = "case when c > p then 'up' when c < p then 'down' else 'flat' end"
+_ONE = "province-3"
+
+
+@query(
+    sql(
+        f"""a as (select * from act where province = '{_ONE}'),
+n as (select count(*) as total, count(*) filter (status = 'confirmed') as confirmed, count(*) filter (status = 'disputed') as disputed, cast(sum(coalesce(fatalities, 0)) as bigint) as fatalities,
+    count(*) filter (independent_sources <= 1) as single from a where {CUR}),
+h as (select event_id, priority from a where {CUR} and confidence >= 0.45e0 order by priority desc, event_id limit 6),
+k as (select 'type' as kind, event_type as label, ts, 2 as least from a union all select 'place', coalesce(territory, province), ts, 3 from a),
+t as (select kind, label, count(*) filter ({CUR}) as c, count(*) filter ({PREV}) as p from k group by kind, label, least having c + p >= least),
+w as (select actor, count(*) filter ({CUR}) as c, count(*) filter ({PREV}) as p from (select ts, unnest(actors) as actor from a) group by 1 having c + p >= 2 order by c desc, actor limit 8),
+q as (select handle from a where ts >= {back(720)} group by 1 having count(*) filter ({CUR}) = 0),
+l as (select lag_min as lag, row_number() over (order by lag_min) - 1 as i, count(*) over () as n from a where {CUR} and lag_min >= 0),
+g as (select 'single_family' as gap, single as n, concat('of ', total) as detail from n union all select 'disputed', disputed, concat('of ', total) from n
+    union all select 'silent', (select count(*) from q), (select string_agg(handle, ', ' order by handle) from (select * from q order by handle limit 6))
+    union all select 'slow', n, printf('%.1f h', lag / 60.0e0) from l where i = n // 2 and lag / 60.0e0 > 6),
+s as (select province, event_id, ts, value > 25 as hit, value > 60 as low from ev),
+i as (select *, count(*) filter (not hit) over (partition by province order by ts, event_id) as island from s),
+r as (select *, count(*) filter (hit) over (partition by province, island order by ts, event_id) as run from i),
+z as (select province, arg_max(case when hit then run else 0 end, (ts, event_id)) as run, arg_max(low, (ts, event_id)) filter (hit) as low, count(*) filter (hit) as hits from r where province = '{_ONE}' group by 1)
+select '{_ONE}' as province, {back(PERIOD_H)} as period_start, {NOW_SQL} as period_end, total, confirmed, disputed, fatalities,
+    (select coalesce(list(concat(event_id, ' ', priority) order by priority desc, event_id), []) from h) as highlights,
+    (select coalesce(list(concat(kind, ' ', label, ' ', c, ' ', p, ' ', {_LINE}) order by (c + p >= 5 and abs(c - p) > 1.96e0 * sqrt(c + p)) desc, abs(c - p) desc, kind, label), []) from t) as trends,
+    (select coalesce(list(concat(actor, ' ', c, ' ', p) order by c desc, actor), []) from w) as actors,
+    (select coalesce(list(concat(gap, ' ', n, ' ', detail) order by gap), []) from g where n > 0) as gaps,
+    (select coalesce(list(concat(province, ' ', case when run >= 3 and low then '{reports.DEGRADED}' when hits > 0 then '{reports.WATCHED}' else '{reports.NOMINAL}' end, ' ', run)), []) from z) as connectivity
+from n"""
+    )
+)
+def situation_report(spark, d):
+    """A province's week as one row, its connectivity with it."""
+    events = ev(spark, d)
+    samples = events.select("province", "ts", "event_id", (F.col("value") > 25).alias("hit"), (F.col("value") > 60).alias("drop"))
+    out = reports.sitrep(events.selectExpr("*", "fatalities as fatalities_low", "fatalities as fatalities_high"), NOW, PERIOD_H, _ONE, reports.connectivity(samples, "province", ["ts", "event_id"]), gap_key="handle")
+    line = lambda name, *parts: F.transform(name, lambda x: F.concat_ws(" ", *[x[p].cast("string") for p in parts])).alias(name)
+    return out.select(
+        "province", "period_start", "period_end", "total", "confirmed", "disputed", "fatalities", line("highlights", "event_id", "priority"),
+        line("trends", "kind", "label", "current", "previous", "direction"), line("actors", "actor", "current", "previous"), line("gaps", "gap", "n", "detail"),
+        line("connectivity", "province", "status", "run"),
+    )
+
+
 _ASKED = "Clash or shelling near province-3 by actor-7?"
 
 
