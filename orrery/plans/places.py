@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import geo
+from ..functions import geo, weather
 from ..operators import spatial
 from .adapter import ev, sql, table, values
 
@@ -200,3 +200,27 @@ def area_names(spark, d):
     """What areas around events are called by the nearest settlements in them."""
     f = table(spark, d, "supplier").selectExpr("s_suppkey as feature", "s_name as label", "-4 + (s_suppkey * 61 % 8000) / 1000.0e0 as lat", "27 + (s_suppkey * 37 % 4000) / 1000.0e0 as lon")
     return spatial.named_areas(ev(spark, d).selectExpr("event_id", "lat", "lon", "8.0e0 * (1 + event_id % 5) as radius_km"), f, "event_id")
+
+
+#: Weather at an event, the same in both engines, each value now and then unknown.
+_WEATHER = {
+    "base": "case when event_id % 5 <> 0 then event_id * 37 % 2500 end",
+    "sight": "case when event_id % 4 <> 0 then event_id * 91 % 14000 end",
+    "cover": "case when event_id % 3 <> 0 then event_id * 13 % 101 end",
+    "r24": "case when event_id % 7 > 1 then event_id * 17 % 50 end",
+    "r72": "case when event_id % 6 > 1 then event_id * 29 % 110 end",
+}
+
+
+@query(
+    f"""with w as (select event_id, {', '.join(f'{x} as {c}' for c, x in _WEATHER.items())} from events)
+select event_id, case when base is null and sight is null and cover is null then 'INCONNU' when base < 600 or sight < 3000 then 'DÉFAVORABLE'
+    when base < 1500 or sight < 8000 or cover > 80 then 'DÉGRADÉ' else 'FAVORABLE' end as observation,
+case when r24 is null and r72 is null then 'INCONNU' when coalesce(r24, 0) > 40 or coalesce(r72, 0) > 90 then 'IMPRATICABLE'
+    when coalesce(r24, 0) > 12 or coalesce(r72, 0) > 35 then 'DIFFICILE' else 'PRATICABLE' end as mobility from w"""
+)
+def weather_bands(spark, d):
+    """What weather allows at each event: seeing from the air, and moving on unpaved roads."""
+    w = table(spark, d, "events").selectExpr("event_id", *[f"{x} as {c}" for c, x in _WEATHER.items()])
+    seen = weather.observation_band(F.col("base"), F.col("sight"), F.col("cover"))
+    return w.select("event_id", seen.alias("observation"), weather.mobility_band(F.col("r24"), F.col("r72")).alias("mobility"))
