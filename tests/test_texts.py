@@ -1,7 +1,11 @@
 """Queries over whole texts against plain loops."""
 
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from orrery.functions import text
 from orrery.plans import texts
 
 
@@ -21,3 +25,16 @@ def test_trigram_dice_reads_whole_texts(spark, tmp_path):
             x, y = held[a], held[a + 1]
             want[a, a + 1] = round(2 * len(x & y) / (len(x) + len(y)), 6) if x or y else 0
     assert got == want and got[1, 2] < 1
+
+
+def test_trigrams_of_long_texts(spark):
+    """Work grows with a text's length: sought from the text's start, these trigrams took minutes. Their order is the text's."""
+    long = "abc0 " * 400_000 + "xyz"
+    rows = spark.createDataFrame([(1, long), (2, "aba aba"), (3, ""), (4, None)], "i long, t string")
+    began = time.time()
+    got = {r["i"]: (r["g"], r["n"]) for r in rows.select("i", text.trigrams(F.col("t")).alias("g"), text.trigram_codes(F.col("t")).alias("n")).collect()}
+    assert time.time() - began < 60
+    assert got[1][0] == [" ab", "abc", "bc0", "c0 ", "0 a", "0 x", " xy", "xyz", "yz "] and got[2][0] == [" ab", "aba", "ba ", "a a"]
+    assert got[3] == got[4] == ([], [])
+    for g, n in got.values():
+        assert sorted(ord(x[0]) * 16384 + ord(x[1]) * 128 + ord(x[2]) for x in g) == n
