@@ -107,9 +107,11 @@ def summaries(spark, d):
 @query()
 def time_resolution(spark, d):
     """What the turns of conversations say of their time, against a fixed day."""
-    folded = text.fold_key(F.coalesce("text", F.lit("")))
-    t = times.resolve_time(folded, text.tokens(folded), F.lit(NOW).cast("timestamp_ntz"))
-    return table(spark, d, "conversations").select("conv_id", "turn", t["ts"].alias("ts"), t["uncertainty_min"].alias("uncertainty_min"))
+    # A text is folded once, and its time resolved once: inlined, it would be folded anew for each cue that is sought.
+    x = table(spark, d, "conversations").select("conv_id", "turn", text.fold_key(F.coalesce("text", F.lit(""))).alias("folded"))
+    x = x.withColumn("words", text.tokens(F.col("folded")))
+    x = x.withColumn("t", times.resolve_time(F.col("folded"), F.col("words"), F.lit(NOW).cast("timestamp_ntz")))
+    return x.select("conv_id", "turn", F.col("t.ts").alias("ts"), F.col("t.uncertainty_min").alias("uncertainty_min"))
 
 
 @query(

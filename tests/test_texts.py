@@ -38,3 +38,10 @@ def test_trigrams_of_long_texts(spark):
     assert got[3] == got[4] == ([], [])
     for g, n in got.values():
         assert sorted(ord(x[0]) * 16384 + ord(x[1]) * 128 + ord(x[2]) for x in g) == n
+
+
+def test_a_text_is_folded_once_for_its_time(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "Hier à 5h30"), (1, 2, None)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = texts.QUERIES["time_resolution"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert {r["turn"]: (str(r["ts"]), r["uncertainty_min"]) for r in out.collect()} == {1: ("2024-01-30 05:30:00", 45), 2: ("None", None)}
