@@ -71,3 +71,27 @@ def test_names_of_areas(spark):
     assert {r["a"]: (r["name"], r["n"]) for r in got.collect()} == want
     assert want[900][1] == 2
     assert spatial.named_areas(spark.createDataFrame(areas[:1], "a int, lat double, lon double, radius_km double").where(F.lit(False)), spark.createDataFrame(places, "feature int, label string, lat double, lon double"), "a").count() == 0
+
+
+def test_names_of_areas_meet_few_places(spark, monkeypatch):
+    """Of 2,500 places within each area three name it; the pairs formed stay near what is kept, and the names are those of
+    brute force, places at one position and areas smaller than the first circle among them."""
+    places = [(i, f"P{i}", -1.0 + (i % 50) * 0.01, 29.0 + (i // 50) * 0.01) for i in range(2500)] + [(9000 + i, f"Q{i}", -0.9, 29.1) for i in range(400)]
+    areas = [(i, -0.95 + i * 0.004, 29.05 + i * 0.003, 200.0 if i % 5 else 0.6) for i in range(100)] + [(200, 5.0, 29.0, 900.0), (201, -0.9, 29.1, 50.0)]
+    pairs, plain = [], spatial.within_km
+
+    def counted(*args):
+        out = plain(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "within_km", counted)
+    got = spatial.named_areas(spark.createDataFrame(areas, "a int, lat double, lon double, radius_km double"), spark.createDataFrame(places, "feature int, label string, lat double, lon double"), "a")
+    got = {r["a"]: (r["name"], r["n"]) for r in got.collect()}
+    apart = lambda p, q: 2 * 6371.0 * math.asin(math.sqrt(math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2))
+    for i, la, lo, r in areas:
+        near = sorted((apart((la, lo), p[2:]), p[0], p[1]) for p in places)[:3]
+        assert got[i][1] == sum(k <= r for k, *_ in near)
+        if got[i][1] > 1 and near[2][0] - near[1][0] > 1e-9 and near[1][0] - near[0][0] > 1e-9:
+            assert got[i][0] == "axe " + "–".join(n for k, _, n in near if k <= r)
+    assert sum(pairs) < 100 * len(areas)
