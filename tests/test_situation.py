@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from orrery import dims
 from orrery.operators import reports, spatial
 
 NOW = datetime(2024, 1, 31)
@@ -95,3 +96,29 @@ def test_names_of_areas_meet_few_places(spark, monkeypatch):
         if got[i][1] > 1 and near[2][0] - near[1][0] > 1e-9 and near[1][0] - near[0][0] > 1e-9:
             assert got[i][0] == "axe " + "–".join(n for k, _, n in near if k <= r)
     assert sum(pairs) < 100 * len(areas)
+
+
+def test_discs_that_no_settlement_reaches(spark):
+    """Sampled or not, a disc has the persons of brute force: near, at the rim of and far from a settlement, small and wide."""
+    discs = [(i, -1.5 + 0.03 * i, 29.1, [0.5, 3.0, 12.0][i % 3], "Northreach" if i % 2 else None) for i in range(40)] + [(90, 70.0, 29.1, 40.0, "Westvale"), (91, None, 1.0, 1.0, None)]
+    got = spatial.with_population_at_risk(spark.createDataFrame(discs, "i int, lat double, lon double, radius_km double, province string"))
+    got = {r["i"]: r["population_at_risk"] for r in got.collect()}
+
+    def density(la, lo, province):
+        total = dims.RURAL_DENSITY.get(province, dims.RURAL_DEFAULT)
+        for _, y, x, pop, radius, *_ in dims.PLACES:
+            sigma = max(2.0, radius * 0.8)
+            h = math.sin(math.radians(y - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lo) / 2) ** 2
+            km = 2 * 6371.0 * math.asin(math.sqrt(h))
+            total += pop / (math.pi * max(1.0, radius) ** 2) * math.exp(-0.5 * (km / sigma) ** 2) if km <= 3 * sigma else 0.0
+        return math.floor(total + 0.5)
+
+    for i, la, lo, radius, province in discs[:-1]:
+        r, total = max(1.0, radius), 0.0
+        for ring in range(4):
+            n = 8 if ring else 1
+            m, ts = r * (ring + 0.5) / 4, [2 * math.pi * k / n for k in range(n)]
+            mean = sum(density(la + m * math.cos(t) / 110.57, lo + m * math.sin(t) / (111.32 * math.cos(math.radians(la))), province) for t in ts) / n
+            total += mean * r * r * math.pi * ((ring + 1) ** 2 - ring**2) / 16
+        assert abs(got[i] - total) <= 0.51
+    assert got[91] is None
