@@ -50,6 +50,16 @@ def add_minutes(t: Column, n: Column | int) -> Column:
 def resolve_time(folded: Column, words: Column, published: Column) -> Column:
     """struct(ts, uncertainty_min) of what a folded text says of its time, null where it says nothing: an age, else the
     first cue (a clock time pins its hour), else a weekday, else a clock time, of the day before if it were ahead."""
+    once = F.array(stated_time(folded, words))  # bound, since the time is made of it in many places
+    return F.get(F.transform(once, lambda x: at_stated(x, published)), F.lit(0))
+
+
+#: What a text may say: minutes from publication, those and an hour of that day, a weekday, an hour alone.
+_OFFSET, _PINNED, _WEEKDAY, _CLOCK = range(4)
+
+
+def stated_time(folded: Column, words: Column) -> Column:
+    """What ``resolve_time`` needs of the text, which is the same for all equal texts."""
     number = F.regexp_extract(folded, r"il y a (\d+|un|une|deux|trois|quatre|cinq|six|sept)\s+(minutes?|heures?|jours?)", 1)
     unit_word = F.regexp_extract(folded, r"il y a (\d+|un|une|deux|trois|quatre|cinq|six|sept)\s+(minutes?|heures?|jours?)", 2)
     n = number.try_cast("int")
@@ -57,26 +67,34 @@ def resolve_time(folded: Column, words: Column, published: Column) -> Column:
         n = F.when(number == word, x).otherwise(n)
     unit = F.when(unit_word.startswith("minute"), 1).when(unit_word.startswith("heure"), 60).otherwise(1440)
     spread = F.when(unit == 1, 10).when(unit == 60, 45).otherwise(360)
-    pair = lambda t, u: F.struct(t.alias("ts"), (u if isinstance(u, Column) else F.lit(u)).cast("int").alias("uncertainty_min"))
     hour = F.regexp_extract(folded, r"(\d{1,2})\s*(?:h|:)\s*(\d{2})?", 1).try_cast("int")
     minute = F.coalesce(F.regexp_extract(folded, r"(\d{1,2})\s*(?:h|:)\s*(\d{2})?", 2).try_cast("int"), F.lit(0))
-    has_clock = (hour <= 23) & (minute <= 59)
-    pinned = lambda t: add_minutes(F.date_trunc("DAY", t).cast("timestamp_ntz"), hour * 60 + minute)
-
-    out = [F.when(number != "", pair(add_minutes(published, -n * unit), spread))]
+    has_clock, clock = (hour <= 23) & (minute <= 59), hour * 60 + minute
+    col = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
+    said = lambda kind, uncertainty, offset=0, at=None: F.struct(col(kind).alias("kind"), col(offset).alias("offset"), col(at).alias("at"), col(uncertainty).alias("uncertainty_min"))
+    out = [F.when(number != "", said(_OFFSET, spread, -n * unit))]
     for cues, offset, uncertainty in TIME_CUES:
         hit = F.lit(False)
         for c in cues:
             hit |= folded.contains(c)
-        t = add_minutes(published, offset)
-        out.append(F.when(hit & has_clock, pair(pinned(t), 45)).when(hit, pair(t, uncertainty)))
-    today = F.dayofweek(published) - 1
-    for i, day in enumerate(WEEKDAYS):
-        back = F.pmod(today - i, F.lit(7))
-        out.append(F.when(F.array_contains(words, day), pair(add_minutes(published, -1440 * F.when(back == 0, 7).otherwise(back)), 720)))
+        out.append(F.when(hit & has_clock, said(_PINNED, 45, offset, clock)).when(hit, said(_OFFSET, uncertainty, offset)))
+    out += [F.when(F.array_contains(words, day), said(_WEEKDAY, 720, 0, i)) for i, day in enumerate(WEEKDAYS)]
+    return F.coalesce(*out, F.when(has_clock, said(_CLOCK, 60, 0, clock)))
+
+
+def at_stated(stated: Column, published: Column) -> Column:
+    """struct(ts, uncertainty_min) of a ``stated_time``, for a text published then."""
+    kind, at, t = stated["kind"], stated["at"], add_minutes(published, stated["offset"])
+    pinned = lambda x: add_minutes(F.date_trunc("DAY", x).cast("timestamp_ntz"), at)
+    back = F.pmod(F.dayofweek(published) - 1 - at, F.lit(7))
     clock = pinned(published)
-    out.append(F.when(has_clock, pair(F.when(clock > published, add_minutes(clock, -1440)).otherwise(clock), 60)))
-    return F.coalesce(*out)
+    ts = (
+        F.when(kind == _PINNED, pinned(t))
+        .when(kind == _WEEKDAY, add_minutes(published, -1440 * F.when(back == 0, 7).otherwise(back)))
+        .when(kind == _CLOCK, F.when(clock > published, add_minutes(clock, -1440)).otherwise(clock))
+        .otherwise(t)
+    )
+    return F.when(stated.isNotNull(), F.struct(ts.alias("ts"), stated["uncertainty_min"].alias("uncertainty_min")))
 
 
 def ago(t: Column, now: datetime) -> Column:

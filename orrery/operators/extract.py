@@ -7,6 +7,7 @@ texts are scanned once; reports keep their rows, whatever repeats; a source type
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.stats import credibility_of
 from ..functions.text import certainty, detect_language, fold_key, summarise, tokens
-from ..functions.times import resolve_time
+from ..functions.times import at_stated, stated_time
 from ..storage import cut
 from .classify import classified
 from .fusion import posterior_of_sums
@@ -98,25 +99,28 @@ def named(matches: DataFrame, names: list[str], key: str) -> DataFrame:
     return first.groupBy(key).agg(ordered["name"].alias("actors"), F.min_by("phrase", "start").alias("actor_text"))
 
 
-def extract(reports: DataFrame, text: str = "text", published: str = "created_at") -> DataFrame:
+def extract(reports: DataFrame, text: str = "text", published: str = "created_at", also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``reports`` with folded, words, language, certainty, cue, when (struct(ts, uncertainty_min) or null), fatalities,
-    injured, abducted, displaced, location, place_text, actors, actor_text."""
+    injured, abducted, displaced, location, place_text, actors, actor_text.
+
+    All that follows from a text alone is worked out once for each different text, and joined to the reports. ``also``
+    adds further columns of that kind to the table of texts, which has those above but ``when``."""
     spark, has = reports.sparkSession, F.coalesce(F.col(text), F.lit(""))
-    x = reports.withColumn("folded", fold_key(has)).withColumn("words", tokens(F.col("folded"))).withColumn("_h", F.struct(F.xxhash64("folded"), F.xxhash64("folded", F.lit(1))))
-    x = cut(x)  # folded once, read for the texts, for either dictionary, and for the rest
-    once = x.groupBy("_h").agg(F.first("words").alias("words"))
+    x = reports.withColumn("folded", fold_key(has)).withColumn("_h", F.struct(F.xxhash64("folded"), F.xxhash64("folded", F.lit(1))))
+    x = cut(x)  # folded once, read for the texts and for the rest
+    once = cut(x.groupBy("_h").agg(F.first("folded").alias("folded")).withColumn("words", tokens(F.col("folded"))))
     people = [(a[0], a[3]) for a in dims.ACTORS]
     places = gazetteer(spark)
     found = longest_matches(once, dictionary(spark, [(p[0], p[7]) for p in dims.PLACES] + [(p[0], []) for p in dims.PROVINCES]), "_h", "words")
     where = located(found, places, "_h")
     who = named(longest_matches(once, dictionary(spark, people), "_h", "words"), [p[0] for p in people], "_h")
-    x = x.join(where, "_h", "left").join(who, "_h", "left").drop("_h").withColumn("_n", F.transform("words", numeral))
-    sure = certainty(F.col("folded"))
-    x = x.withColumns({**casualties(F.col("words"), F.col("_n")), "_sure": sure, "when": resolve_time(F.col("folded"), F.col("words"), F.col(published))}).drop("_n")
-    x = x.withColumns(
-        {"language": detect_language(F.col("words")), "certainty": F.col("_sure.level"), "cue": F.col("_sure.cue"), "actors": F.coalesce("actors", F.array().cast("array<string>"))}
-    ).drop("_sure")
-    return cut(x)  # later steps use these columns many times over
+    said = once.join(where, "_h", "left").join(who, "_h", "left").withColumn("_n", F.transform("words", numeral))
+    folded, words = F.col("folded"), F.col("words")
+    said = said.withColumns({**casualties(words, F.col("_n")), "_sure": certainty(folded), "_stated": stated_time(folded, words), "language": detect_language(words)})
+    said = said.withColumns({"certainty": F.col("_sure.level"), "cue": F.col("_sure.cue"), "actors": F.coalesce("actors", F.array().cast("array<string>"))}).drop("_n", "_sure")
+    said = cut(also(said) if also else said)
+    x = x.drop(*[c for c in said.columns if c != "_h"]).join(said, "_h")
+    return x.withColumn("when", at_stated(F.col("_stated"), F.col(published))).drop("_h", "_stated")
 
 
 def normalise(reports: DataFrame, observations: DataFrame, now: datetime) -> DataFrame:

@@ -1,6 +1,6 @@
 """Decisions, extraction's edges, and the selection of the scan, by hand."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -75,3 +75,24 @@ def test_scan_selects_apart():
     assert anomaly.apart(found, [], 1)[0]["centre"] == "Amaro"
     near = anomaly.apart([row("Amaro", 8, 9.0), row("Garrow", 200, 8.0)], [], 5)
     assert [c["centre"] for c in near] == ["Amaro"]
+
+
+def test_texts_once(spark):
+    """Equal texts are read once, whatever their number: each report gets its own time and all that the text says."""
+    seen = []
+
+    def also(said):
+        seen.append(said.count())
+        return said.withColumn("long", F.size("words") > 3)
+
+    texts = ["Deux morts lundi a Goma", "hier a 14h30", "il y a 3 heures", "vers 9h", "", None]
+    rows = [(i, texts[i % 6], datetime(2024, 1, 1 + i % 9, 12)) for i in range(90)]
+    got = extract.extract(spark.createDataFrame(rows, "id long, text string, created_at timestamp_ntz").withColumn("fatalities", F.lit(7)), also=also).collect()
+    assert seen == [5] and len(got) == 90
+    monday = lambda t: t - timedelta(days=t.weekday() or 7)
+    for r in got:
+        t = r["created_at"]
+        day = t.replace(hour=0)
+        want = [(monday(t), 720), (day - timedelta(days=1) + timedelta(hours=14, minutes=30), 45), (t - timedelta(hours=3), 45), (day + timedelta(hours=9), 60), None, None][r["id"] % 6]
+        assert (None if r["when"] is None else tuple(r["when"])) == want
+        assert r["fatalities"] == (2 if r["id"] % 6 == 0 else None) and r["long"] == (len((r["text"] or "").split()) > 3)
