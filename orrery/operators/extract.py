@@ -131,8 +131,8 @@ def normalise(reports: DataFrame, observations: DataFrame, now: datetime) -> Dat
     of its type and of its own; a report's confidence is its prior times its type's score. What has neither a place nor
     a type is dropped."""
     spark = reports.sparkSession
-    x = extract(reports)
-    x = classified(x, F.col("folded"), F.col("actors"), *(F.col(c) for c in ("fatalities", "injured", "abducted", "displaced")), name="class")
+    counts = [F.col(c) for c in ("fatalities", "injured", "abducted", "displaced")]
+    x = extract(reports, also=lambda said: classified(said, F.col("folded"), F.col("actors"), *counts, name="class"))
     geo = F.col("geo_lat").isNotNull() & F.col("geo_lon").isNotNull()
     near = settlement_at(F.col("geo_lat"), F.col("geo_lon"), NAMED_KM)
     x = cut(x.withColumn("_near", F.when(geo, near)).drop("folded", "words"))  # columns, not what they come from, go on
