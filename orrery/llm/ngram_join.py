@@ -16,8 +16,9 @@ that two similar sets have in common, a set has only spoiled ones. So min(2 H, m
 first in that order, are enough, and empty or nearly empty ranges, which unlike sets share, are hardly ever among them.
 
 Rows of signatures are sorted in tasks. A bucket (the sets that share a signature) gives candidates: a small one its
-pairs, a large one (``BUCKET``) a star first, and, once these links are known, the pairs of different components, found
-in tasks. Candidates pass a parity sketch (bits of a sketch that differ never outnumber the shingles
+pairs, a large one (``BUCKET``) a star first. Once these links are known, tasks seek pairs of different components in large
+buckets: a first pass gives the sets that have one, a second, which holds these sets whole, compares them and gives the
+links that join components, so that neither gives more rows than a task has. Candidates pass a parity sketch (bits of a sketch that differ never outnumber the shingles
 that do), and sets that do are compared whole. No candidate is dropped otherwise: every link is found that is needed to
 join a component, and ``n_links`` is counted inside components, whose parts meet in tasks.
 
@@ -52,6 +53,8 @@ PARTS = 3
 MORE = 15
 #: Sets of a bucket whose pairs are listed; sets, and bytes of sets, of a task.
 BUCKET, TASK, TASK_BYTES = 32, 4096, 64 << 20
+#: Smallest signatures of large buckets that a node is listed with, which tell where a pair is compared.
+SMALLEST = 64
 #: Signatures that a task gathers before it passes them on, and rows of them that it looks through at a time.
 GATHERED, SORTED = 1 << 20, 1 << 16
 #: Up to so many nodes, a filter (64 MB then) spares the shuffle of other texts.
@@ -304,14 +307,15 @@ def sides(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
     return own, own if one else np.flatnonzero(~mine), one
 
 
-def apart(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a task (node, root, n, bits) in different components whose sketches allow that they are similar."""
+def apart(x: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a task's rows (node, root, n, bits, sigs) each asked one and those in other components that it may be similar to
+    by their sketches. A pair of which both lists of signatures have a smaller one than the task's is left to that one."""
     own, asked, one = sides(x)
     if not len(own) or not len(asked):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     size = min(map(len, x["bits"]))
     bits = np.array([folded(np.frombuffer(s, np.uint8), size) for s in x["bits"]]).view(np.uint64)
-    a, b = [], []
+    smaller = [s[s < x["v"][0]] for s in x["sigs"]]
     for i in asked:
         other = own[x["root"][own] != x["root"][i]]
         if one:
@@ -319,9 +323,40 @@ def apart(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
         n, m = x["n"][i], x["n"][other]
         other = other[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
         other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= differing(n + x["n"][other], percent)]
-        a.append(np.full(len(other), x["node"][i]))
-        b.append(x["node"][other])
-    return np.concatenate(a), np.concatenate(b)
+        if len(other) and len(smaller[i]):
+            lists = [smaller[k] for k in other]
+            met = np.isin(np.concatenate(lists), smaller[i])
+            other = other[np.bincount(np.repeat(np.arange(len(other)), [len(s) for s in lists])[met], minlength=len(other)) == 0]
+        if len(other):
+            yield i, other
+
+
+def doubtful(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a task that have a pair to compare, each once, with the task's signature."""
+    found = [k for i, other in apart(x, percent) for k in (i, *other)]
+    nodes = np.unique(x["node"][found]) if found else np.empty(0, np.int64)
+    return nodes, np.full(len(nodes), x["v"][0])
+
+
+def joining(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a task (rows also with set) that join two components, fewer than it has: sets of components that an
+    earlier link of the task has joined are not compared again."""
+    of = {r: r for r in x["root"].tolist()}
+
+    def top(r: int) -> int:
+        while of[r] != r:
+            of[r] = r = of[of[r]]
+        return r
+
+    sets, roots, a, b = [np.frombuffer(s, np.uint64) for s in x["set"]], x["root"].tolist(), [], []
+    for i, other in apart(x, percent):
+        for k in other:
+            p, q = top(roots[i]), top(roots[k])
+            if p != q and similar(sets[i], sets[k], percent):
+                of[max(p, q)] = min(p, q)
+                a.append(x["node"][i])
+                b.append(x["node"][k])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def counted(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -382,10 +417,13 @@ def links_of(rows: DataFrame, each: DataFrame, fetch: Callable[[DataFrame], Data
     joined = components(links)
     rooted = large.select("sig", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    mixed_ = look_up(rooted, open_.select("sig", "size"), "sig", "size").drop("size").join(each.select("node", "n", "bits"), "node")
-    found = in_parts(mixed_.withColumn("_weight", F.octet_length("bits")), "sig", "_weight", lambda x: apart(x, percent))
-    late = compared(pairs_of(found).join(close, ["a", "b"], "left_anti"), sets, percent)
-    return cut(links.unionByName(late)), sets
+    mixed_ = look_up(rooted, open_.select("sig", "size"), "sig", "size").drop("size")
+    lists = mixed_.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, SMALLEST).alias("sigs"))  # a node has a signature a shingle
+    mixed_ = cut(mixed_.join(each.select("node", "n", "bits"), "node").join(lists, "node"))
+    asked = in_parts(mixed_.withColumn("_weight", F.octet_length("bits")), "sig", "_weight", lambda x: doubtful(x, percent)).distinct()
+    asked = mixed_.join(asked.select(F.col("a").alias("node"), F.col("b").alias("sig")), ["sig", "node"]).join(sets, "node")
+    late = in_parts(cut(asked.withColumn("_weight", F.octet_length("set"))), "sig", "_weight", lambda x: joining(x, percent))
+    return cut(links.unionByName(pairs_of(late))), sets
 
 
 def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:

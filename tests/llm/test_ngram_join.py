@@ -115,3 +115,22 @@ def test_unlike_sets_share_hardly_any():
     for i in range(60):
         met += sum(np.intersect1d(signed[i], signed[j]).size > 0 for j in range(i))
     assert met < 0.03 * 60 * 59 / 2
+
+
+def test_large_buckets_give_no_pairs():
+    """Tasks of one group of near copies, all in many common buckets: what they give is bounded by their rows, and joins all."""
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 64, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(200, 9, replace=False)), rng.integers(0, 1 << 64, 9, dtype=np.uint64)])) for _ in range(60)]
+    obj = lambda xs: np.array([*xs, None], object)[:-1]
+    x = {
+        "v": np.full(60, 5), "i": np.zeros(60, int), "j": np.zeros(60, int), "p": np.zeros(60, int), "node": np.arange(60) * 3, "root": np.arange(60) * 3,
+        "n": np.array([len(u) for u in sets]), "bits": obj(nj.sketch(u) for u in sets), "set": obj(u.tobytes() for u in sets), "sigs": obj(np.array([5, 8]) for _ in sets),
+    }
+    assert [len(a) for a in nj.doubtful(x, 80)] == [60, 60]
+    a, b = nj.joining(x, 80)
+    assert len(a) == len(b) == 59 and len({*a.tolist(), *b.tolist()}) == 60
+    x["sigs"] = obj(np.array([4, 5, 8]) for _ in sets)  # all pairs are those of a smaller signature
+    assert [len(a) for a in (*nj.doubtful(x, 80), *nj.joining(x, 80))] == [0, 0, 0, 0]
+    x["sigs"][:2] = [np.array([3, 5]), np.array([2, 5])]  # but these two have none in common
+    assert len(nj.doubtful(x, 80)[0]) == 60 and len(nj.joining(x, 80)[0]) == 59
