@@ -32,8 +32,10 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from . import bloom
 from ._common import HOT, cut, look_up, small_batches
-from .simhash import SEED, deal, hashes, in_tasks, signed, with_sets
+from .simhash import SEED, deal, in_tasks, signed
 
 WORDS, PERCENT = 5, 80
 #: Ranges of a part.
@@ -59,6 +61,8 @@ SMALLEST = 64
 GATHERED, SORTED = 1 << 20, 1 << 16
 #: Up to so many nodes, a filter (64 MB then) spares the shuffle of other texts.
 FILTERED = 1 << 25
+#: Ranges of sets that are signed at a time.
+CELLS = 1 << 18
 #: A sketch has at least so many bits for each shingle in which similar sets may differ.
 SKETCH_BITS = 8
 
@@ -94,38 +98,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def band_signatures(u: np.ndarray, sums: np.ndarray, top: int, percent: int) -> np.ndarray:
-    """Signatures of the sorted hashes ``u`` (``sums``: their running sums from 0) for one band, as many as are needed."""
-    n = len(u)
-    most = int(differing(n + min(n * 100 // percent, top), percent))
-    if not most:  # only an equal set is similar
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of the text's different shingles, mixed from its words' hashes in their order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() and split() know ASCII alone
+    if not words:
         return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    n = min(width, len(each))
+    last = len(each) - n + 1
+    h = each[:last] + np.uint64(n)
+    for i in range(1, n):
+        h = (h ^ (h >> np.uint64(32))) * MIX[2] + each[i : last + i]
+    h = np.sort(mixed(h))
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
+def band_signatures(sets: list[np.ndarray], top: int, percent: int) -> list[np.ndarray]:
+    """Signatures of sets (sorted hashes, none empty) for one band, of each as many as are needed."""
     parts, starts = edges(top, percent)
-    at = np.concatenate([[0], np.searchsorted(u, starts), [n]])
-    held, size = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, PARTS), np.diff(at).reshape(parts, PARTS)
+    n, ranges = np.array([len(u) for u in sets]), np.uint64(parts * PARTS)
+    u, low = np.concatenate(sets), np.uint64(32)
+    of = ((u >> low) * ranges + (((u & np.uint64(0xFFFFFFFF)) * ranges) >> low)) >> low  # the range of a hash: the starts that it has reached
+    cell = np.repeat(np.arange(len(sets)) * parts * PARTS, n) + of.astype(np.int64)
+    size = np.bincount(cell, minlength=len(sets) * parts * PARTS)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u, dtype=np.uint64)])
+    ends = np.cumsum(size)
+    held, size = (sums[ends] - sums[ends - size]).reshape(-1, parts, PARTS), size.reshape(-1, parts, PARTS)
     where = np.arange(parts * PARTS, dtype=np.uint64).reshape(parts, PARTS) * MIX[2] + np.uint64(top)
     # The signature that leaves range d out: what the other two hold, in their order, and where they are.
-    first, second = held[:, [1, 0, 0]], held[:, [2, 2, 1]]
-    value = mixed(mixed(first + where) * MIX[2] + second + where).ravel()
-    count = (size.sum(1)[:, None] - size).ravel()
-    wanted = min(2 * most, parts + most) + 1
-    if wanted >= len(value):
-        return value
-    least = np.partition(count, len(count) - wanted)[len(count) - wanted]
-    more = value[count > least]
-    return np.concatenate([more, np.sort(value[count == least])[: wanted - len(more)]])
+    first, second = held[:, :, [1, 0, 0]], held[:, :, [2, 2, 1]]
+    values = mixed(mixed(first + where) * MIX[2] + second + where).reshape(len(sets), -1)
+    counts = (size.sum(2)[:, :, None] - size).reshape(len(sets), -1)
+    most = differing(n + np.minimum(n * 100 // percent, top), percent)
+    found = []
+    for value, count, wanted in zip(values, counts, np.where(most > 0, np.minimum(2 * most, parts + most) + 1, 0).tolist(), strict=True):
+        if not wanted:  # only an equal set is similar
+            found.append(value[:0])
+        elif wanted >= len(value):
+            found.append(value)
+        else:
+            least = np.partition(count, len(count) - wanted)[len(count) - wanted]
+            more = value[count > least]
+            found.append(np.concatenate([more, np.sort(value[count == least])[: wanted - len(more)]]))
+    return found
+
+
+def signatures_of(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
+    """Signatures of each set (sorted hashes) for its own band and, where its partners reach it, the next. Sets of a band
+    are signed together."""
+    found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in sets]
+    of: dict[int, list[int]] = {}
+    for i, n in enumerate(map(len, sets)):
+        if n:
+            tops = bands(percent, 1 << (2 * n).bit_length())
+            own = bisect_left(tops, n)
+            for top in tops[own : own + 1 + (n * 100 // percent > tops[own])]:
+                of.setdefault(top, []).append(i)
+    for top, rows in of.items():
+        step = max(1, CELLS // (PARTS * edges(top, percent)[0]))
+        for k in range(0, len(rows), step):
+            for i, x in zip(rows[k : k + step], band_signatures([sets[i] for i in rows[k : k + step]], top, percent), strict=True):
+                found[i].append(x)
+    return [np.concatenate(x) for x in found]
 
 
 def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set (sorted hashes) for its own band and, where its partners reach it, the next."""
-    n = len(u)
-    if not n:
-        return np.empty(0, np.uint64)
-    tops = bands(percent, 1 << (2 * n).bit_length())
-    own = int(np.searchsorted(tops, n))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u, dtype=np.uint64)])
-    found = [band_signatures(u, sums, top, percent) for top in tops[own : own + 1 + (n * 100 // percent > tops[own])]]
-    return np.concatenate(found)
+    return signatures_of([u], percent)[0]
 
 
 def sketch(u: np.ndarray, percent: int = PERCENT) -> bytes:
@@ -157,6 +195,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def with_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, set of rows (node, t): the text's set of shingles, as sorted hashes in a binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set binary")
+
+
 def node_of(u: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(u.tobytes(), SEED))
 
@@ -166,7 +215,7 @@ def described(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(hashes(t, width)) for t in b.column(2).to_pylist()]
+            sets = [shingle_set(t, width) for t in b.column(2).to_pylist()]
             new = [
                 pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()),
                 pa.array([len(u) for u in sets], pa.int64()),
@@ -200,9 +249,11 @@ def signed_lists(texts: DataFrame, width: int, percent: int, groups: int, skip:
 
         held = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                u = np.unique(hashes(t, width))
-                if len(u) and (node := node_of(u)) not in skip and len(s := signatures(u, percent)):
+            sets = [u for t in b.column(0).to_pylist() if len(u := shingle_set(t, width))]
+            own = [node_of(u) for u in sets]
+            kept = [i for i, node in enumerate(own) if node not in skip]
+            for node, s in zip([own[i] for i in kept], signatures_of([sets[i] for i in kept], percent), strict=True):
+                if len(s):
                     sigs.append(s)
                     nodes.append(node)
                     held += len(s)

@@ -134,3 +134,22 @@ def test_large_buckets_give_no_pairs():
     assert [len(a) for a in (*nj.doubtful(x, 80), *nj.joining(x, 80))] == [0, 0, 0, 0]
     x["sigs"][:2] = [np.array([3, 5]), np.array([2, 5])]  # but these two have none in common
     assert len(nj.doubtful(x, 80)[0]) == 60 and len(nj.joining(x, 80)[0]) == 59
+
+
+def test_sets_and_signatures_of_many():
+    """Hashes of shingles tell them apart as their words do, in their order; sets that are signed together have the signatures they have alone."""
+    rng = random.Random(4)
+    texts = [None, "", " \t", "a", "A", "a b", "b a", "a b c d", "a b c d e", "e d c b a", "a a a a a a a", "é x y", "a\x0bb"] + [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    seen, words = {}, lambda t: "".join(c.lower() if c < "\x80" else c for c in t or "").replace("\x0b", " ").replace("\t", " ").split(" ")
+    for t in texts:
+        w = [x for x in words(t) if x]
+        whole = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        u = nj.shingle_set(t, 5)
+        assert len(u) == len(whole) and (u[1:] > u[:-1]).all()
+        assert seen.setdefault(u.tobytes(), whole) == whole
+    assert len(set(map(frozenset, seen.values()))) == len(seen)
+    draw = np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 1 << 64, n, np.uint64)) for n in [0, 1, 3, 7, 50, 51, 52, 400, 401, 5000, 400, 1]]
+    for u, s in zip(sets, nj.signatures_of(sets), strict=True):
+        assert sorted(s) == sorted(nj.signatures(u))
+        assert len(u) < 7 or len(s) > 0.5 * len(u)
